@@ -11,7 +11,7 @@ Both sides are first cast to one type per column, so the digest does not depend
 on how each side happens to store a value. The digest is two seeded 64-bit
 hashes of the typed values, so it never renders a number as text, stays in
 generated code, and moves 16 bytes per row through a shuffle. The hash function
-skips NULLs, so the positions of NULLs are hashed as well.
+skips NULLs, so whether each value is NULL is hashed as well.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ _INTEGRAL_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
-_NULL_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -122,18 +121,6 @@ def normalised(df: DataFrame, shared: SharedColumn) -> Column:
     return column if own == shared.type else column.cast(shared.type)
 
 
-def _null_positions(values: Sequence[Column]) -> list[Column]:
-    flags = []
-    for start in range(0, len(values), _NULL_BITS):
-        bits = F.lit(0).cast("bigint")
-        for place, value in enumerate(values[start : start + _NULL_BITS]):
-            bits = bits + F.when(value.isNull(), F.lit(1 << place).cast("bigint")).otherwise(
-                F.lit(0).cast("bigint")
-            )
-        flags.append(bits)
-    return flags
-
-
 def digest(df: DataFrame, shared: Sequence[SharedColumn]) -> dict[str, Column]:
     values = [normalised(df, c) for c in shared]
     nullable = [
@@ -141,7 +128,7 @@ def digest(df: DataFrame, shared: Sequence[SharedColumn]) -> dict[str, Column]:
         for value, c in zip(values, shared)
         if not isinstance(c.type, (T.StringType, *_NESTED))
     ]
-    parts = [*_null_positions(nullable), *values]
+    parts = [*[value.isNull() for value in nullable], *values]
     return {
         H1: F.xxhash64(F.lit(1).cast("bigint"), *parts),
         H2: F.xxhash64(F.lit(2).cast("bigint"), *parts),

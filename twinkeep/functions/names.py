@@ -48,3 +48,16 @@ def namespace_text(server: str, database: str) -> str:
 def split_text(name: str) -> tuple[str, str]:
     schema, dot, table = name.partition(".")
     return (schema, table) if dot else (DEFAULT_SCHEMA, name)
+
+
+def identifier(*parts: str) -> str:
+    """A catalog identifier, each part quoted."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
+def target_table(server: str, database: str, table: str) -> str:
+    """``<server>_<database>.<schema>_<table>`` as a catalog identifier. Dots,
+    dashes and blanks of a table name become ``_``: catalogs refuse them."""
+    return identifier(
+        namespace_text(server, database), re.sub("[-. ]", "_", "_".join(split_text(table)))
+    )

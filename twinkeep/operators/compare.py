@@ -5,9 +5,11 @@ stacked, counted per digest with map-side combining, and reduced. A digest that
 a third of all rows share is one partial count per task, so it is not skew.
 
 Rows are fetched in a second step. The digests that differ are written to the
-shared folder, so their size is a fact: Spark broadcasts them when they are
-below its threshold and the full rows never shuffle; above it the rows take a
-sort-merge semi join whose row side adaptive execution can split on hot digests.
+shared folder, so their number is a fact. Up to ``BROADCAST_DIGESTS`` of them
+are broadcast and the full rows never shuffle. Beyond that the rows take a
+shuffled semi join, but rows with many copies do not: their digests are few
+whatever the table size (a digest counts as hot from a share of all rows that
+bounds how many there can be), so those are broadcast and bypass the shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinkeep.functions.digest import (
@@ -35,8 +37,13 @@ from twinkeep.functions.status import count_status
 from twinkeep.session import work_path
 from twinkeep.sources.tables import subset
 
-MISSING, EXTRA = "missing", "extra"
-_DIFFERENCE_SCHEMA = f"{H1} bigint, {H2} bigint, copies bigint, kind string"
+MISSING, EXTRA, BOTH = "missing", "extra", "both"
+_STORED = f"{H1} bigint, {H2} bigint, n_source bigint, n_destination bigint, kind string"
+
+# At most this many digests are broadcast, some 50 MB in memory.
+BROADCAST_DIGESTS = 500_000
+# From this many copies on, a row is kept out of shuffles.
+HOT_COPIES = 100_000
 
 
 def digest_counts(
@@ -119,37 +126,101 @@ def partial_preview(
 
 @dataclass(frozen=True)
 class Differences:
-    """Digests that only one side has, stored with their numbers of copies."""
+    """Digests that only one side has, and digests with many copies, stored with
+    their numbers of copies."""
 
     source: DataFrame
     destination: DataFrame
     shared: list[SharedColumn]
     path: str
+    broadcast_digests: int = BROADCAST_DIGESTS
+    hot_copies: int = HOT_COPIES
 
     @cached_property
     def digests(self) -> DataFrame:
-        return self.source.sparkSession.read.schema(_DIFFERENCE_SCHEMA).parquet(self.path)
+        return self.source.sparkSession.read.schema(_STORED).parquet(self.path)
 
-    def _side(self, kind: str) -> DataFrame:
-        return self.digests.where(F.col("kind") == kind)
+    @cached_property
+    def _sizes(self) -> dict[str, Row]:
+        """Per kind, how many digests and copies are stored: at most three rows."""
+        s, d = F.col("n_source"), F.col("n_destination")
+        sizes = self.digests.groupBy("kind").agg(
+            F.count("*").alias("digests"),
+            F.sum(s + d).alias("copies"),
+            _total(F.when(s >= self.hot_copies, s)).alias("hot_source"),
+            _total(F.when(d >= self.hot_copies, d)).alias("hot_destination"),
+        )
+        return {row.kind: row for row in sizes.collect()}
 
-    def _rows(self, df: DataFrame, kind: str) -> DataFrame:
-        found = with_digest(df, self.shared).join(
-            self._side(kind).select(*DIGEST), DIGEST, "left_semi"
+    def copies(self, kind: str) -> int:
+        """Number of missing or extra rows."""
+        return self._sizes[kind].copies if kind in self._sizes else 0
+
+    def _hot_from(self, side: str) -> int | None:
+        """Copies from which a digest is hot, or None where none is. The copies
+        of hot digests add up to ``total``, so at most ``broadcast_digests``
+        digests can have ``total / broadcast_digests`` copies each."""
+        total = sum(row[f"hot_{side}"] for row in self._sizes.values())
+        if total == 0:
+            return None
+        return max(self.hot_copies, -(-total // self.broadcast_digests))
+
+    def _rows(self, df: DataFrame, kind: str, side: str) -> DataFrame:
+        rows = with_digest(df, self.shared)
+        wanted = self.digests.where(F.col("kind") == kind)
+        if kind not in self._sizes:
+            return df.limit(0)
+        names = [F.col(f"`{c}`") for c in df.columns]
+        if self._sizes[kind].digests <= self.broadcast_digests:
+            few = F.broadcast(wanted.select(*DIGEST))
+            return rows.join(few, DIGEST, "left_semi").select(*names)
+        hot_from = self._hot_from(side)
+        if hot_from is None:
+            return rows.join(wanted.select(*DIGEST), DIGEST, "left_semi").select(*names)
+        is_hot = F.col(f"n_{side}") >= hot_from
+        hot = self.digests.where(is_hot)
+        hot_wanted = F.broadcast(hot.where(F.col("kind") == kind).select(*DIGEST))
+        cold_wanted = wanted.where(~is_hot).select(*DIGEST)
+        cold = rows.join(F.broadcast(hot.select(*DIGEST)), DIGEST, "left_anti")
+        return (
+            rows.join(hot_wanted, DIGEST, "left_semi")
+            .unionAll(cold.join(cold_wanted, DIGEST, "left_semi"))
+            .select(*names)
         )
-        return found.select(*[F.col(f"`{c}`") for c in df.columns])
 
     def missing(self) -> DataFrame:
         """Source rows, copies included, that the destination lacks."""
-        return self._rows(self.source, MISSING)
+        return self._rows(self.source, MISSING, "source")
 
     def extra(self) -> DataFrame:
         """Destination rows, copies included, that the source lacks."""
-        return self._rows(self.destination, EXTRA)
+        return self._rows(self.destination, EXTRA, "destination")
 
-    def copies(self, kind: str) -> int:
-        """Number of missing or extra rows; reads the stored digests only."""
-        return self._side(kind).agg(_total(F.col("copies"))).first()[0]
+
+def _store(
+    counts: DataFrame,
+    source: DataFrame,
+    destination: DataFrame,
+    shared: list[SharedColumn],
+    hot_copies: int = HOT_COPIES,
+    broadcast_digests: int = BROADCAST_DIGESTS,
+) -> Differences:
+    """Keep what differs, and what has many copies on either side."""
+    path = work_path(source.sparkSession, "differences")
+    s, d = F.col("n_source"), F.col("n_destination")
+    (
+        counts.where((s == 0) | (d == 0) | (s >= hot_copies) | (d >= hot_copies))
+        .select(
+            *DIGEST,
+            "n_source",
+            "n_destination",
+            F.when(d == 0, MISSING).when(s == 0, EXTRA).otherwise(BOTH).alias("kind"),
+        )
+        .hint("rebalance", "kind")
+        .write.partitionBy("kind")
+        .parquet(path)
+    )
+    return Differences(source, destination, shared, path, broadcast_digests, hot_copies)
 
 
 def find_differences(
@@ -158,6 +229,8 @@ def find_differences(
     columns: Sequence[str] | None = None,
     bucket: Column | None = None,
     buckets: int = 65_536,
+    hot_copies: int = HOT_COPIES,
+    broadcast_digests: int = BROADCAST_DIGESTS,
 ) -> Differences:
     """Run the comparison and store the digests that differ.
 
@@ -170,29 +243,64 @@ def find_differences(
         raise ValueError("source and destination share no column")
     left, right = source, destination
     if bucket is not None:
-        changed = (
-            bucket_fingerprints(source, destination, _bucket_number(bucket, buckets), shared)
+        numbered = _bucket_number(bucket, buckets)
+        path = work_path(source.sparkSession, "buckets")
+        (
+            bucket_fingerprints(source, destination, numbered, shared)
             .where(~F.col("is_equal"))
             .select("bucket")
+            .coalesce(1)
+            .write.parquet(path)
         )
-        left = _in_buckets(source, bucket, buckets, changed)
-        right = _in_buckets(destination, bucket, buckets, changed)
-    spark = source.sparkSession
-    path = work_path(spark, "differences")
-    s, d = F.col("n_source"), F.col("n_destination")
+        changed = source.sparkSession.read.schema("bucket bigint").parquet(path)
+        left = _in_buckets(source, numbered, changed)
+        right = _in_buckets(destination, numbered, changed)
+    return _store(
+        digest_counts(left, right, shared),
+        left,
+        right,
+        shared,
+        hot_copies,
+        broadcast_digests,
+    )
+
+
+def differences_from_few(
+    rows: DataFrame,
+    existing: DataFrame,
+    hot_copies: int = HOT_COPIES,
+    broadcast_digests: int = BROADCAST_DIGESTS,
+) -> Differences:
+    """The comparison for a small table against a much larger one; only what the
+    large one lacks is found.
+
+    The distinct digests of the rows are stored and counted first. When they are
+    few, the large side is probed where it lies and only its hits shuffle;
+    otherwise its digests are combined per task before they shuffle.
+    """
+    shared = shared_columns(rows, existing)
+    if not shared:
+        raise ValueError("the two tables share no column")
+    spark = rows.sparkSession
+    path = work_path(spark, "digests")
     (
-        digest_counts(left, right, shared)
-        .where((s == 0) | (d == 0))
-        .select(
-            *DIGEST,
-            (s + d).alias("copies"),
-            F.when(d == 0, MISSING).otherwise(EXTRA).alias("kind"),
-        )
-        .hint("rebalance", "kind")
-        .write.partitionBy("kind")
-        .parquet(path)
+        only_digest(rows, shared)
+        .groupBy(*DIGEST)
+        .agg(F.count("*").alias("n_source"))
+        .write.parquet(path)
+    )
+    wanted = spark.read.schema(f"{H1} bigint, {H2} bigint, n_source bigint").parquet(path)
+    large = only_digest(existing, shared)
+    keys = wanted.select(*DIGEST)
+    if wanted.count() <= broadcast_digests:
+        hits = large.join(F.broadcast(keys), DIGEST, "left_semi").distinct()
+    else:
+        hits = large.distinct().join(keys, DIGEST, "left_semi")
+    found = F.when(F.col("_hit"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counts = wanted.join(hits.withColumn("_hit", F.lit(True)), DIGEST, "left").select(
+        *DIGEST, "n_source", found.alias("n_destination")
     )
-    return Differences(source, destination, shared, path)
+    return _store(counts, rows, existing, shared, hot_copies, broadcast_digests)
 
 
 def missing_rows(source: DataFrame, destination: DataFrame) -> DataFrame:
@@ -251,10 +359,11 @@ def _bucket_number(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 
 
-def _in_buckets(df: DataFrame, key: Column, buckets: int, changed: DataFrame) -> DataFrame:
-    """At most ``buckets`` rows of one number each are broadcast."""
-    numbered = df.withColumn("bucket", _bucket_number(key, buckets))
-    return numbered.join(F.broadcast(changed), "bucket", "left_semi").drop("bucket")
+def _in_buckets(df: DataFrame, number: Column, changed: DataFrame) -> DataFrame:
+    """Rows of the changed buckets; at most one small row per bucket is broadcast."""
+    numbered = df.withColumn("_bucket", number)
+    few = F.broadcast(changed.withColumnRenamed("bucket", "_bucket"))
+    return numbered.join(few, "_bucket", "left_semi").drop("_bucket")
 
 
 _PIECE = 21

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,6 +133,16 @@ def _filled_rows(table: str, df: DataFrame) -> DataFrame:
     )
 
 
+def primary_keys(usage: DataFrame) -> DataFrame:
+    """Key columns in key order, from a listing of constraint columns with
+    ``constraint_name`` and ``ordinal_position``. In ``PK_%`` the ``_`` stands
+    for any one character, as it does in SQL."""
+    order = Window.partitionBy("table_name").orderBy("ordinal_position")
+    return usage.where(F.col("constraint_name").like("PK_%")).select(
+        "table_name", "column_name", F.row_number().over(order).alias("pk_position")
+    )
+
+
 def sync_candidates(metadata: DataFrame) -> DataFrame:
     """Columns that could drive an incremental sync, with their rank class: key
     columns in key order, then times by name, then identifiers by name."""

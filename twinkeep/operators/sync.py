@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinkeep.functions.digest import DIGEST, SharedColumn, only_digest, shared_columns, with_digest
-from twinkeep.functions.fixed import SYSTEM_SCHEMA, SYSTEM_TABLES
-from twinkeep.functions.names import clean_text, namespace_text, split_text
-from twinkeep.operators.compare import MISSING, find_differences
+from twinkeep.functions.digest import shared_columns
+from twinkeep.functions.fixed import SYSTEM_DATABASES, SYSTEM_SCHEMA, SYSTEM_TABLES
+from twinkeep.functions.names import clean_text, namespace_text, split_text, target_table
+from twinkeep.operators.compare import MISSING, differences_from_few, find_differences
 from twinkeep.operators.ledger import database_state, matching, table_state
-from twinkeep.session import work_path
 from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_rows
 from twinkeep.sources.sinks import append_evolving, ensure_namespace
 from twinkeep.sources.tables import table_or_empty
@@ -51,11 +50,6 @@ class Outcome:
     added_columns: list[str] = field(default_factory=list)
 
 
-def target_table(server: str, database: str, table: str) -> str:
-    """``<server>_<database>.<schema>_<table>``."""
-    return f"{namespace_text(server, database)}.{'_'.join(split_text(table))}"
-
-
 def is_system_table(table: str) -> bool:
     return split_text(table)[0].lower() == SYSTEM_SCHEMA or table in SYSTEM_TABLES
 
@@ -130,8 +124,8 @@ def _range_route(
             F.col(f"`{target_column}`") > last.column(present.schema[target_column].dataType)
         )
         if not beyond.limit(1).isEmpty():
-            fresh = rows_not_in(fresh, beyond)
-            rows = fresh.count()
+            found = differences_from_few(fresh, beyond)
+            fresh, rows = found.missing(), found.copies(MISSING)
     added = append_evolving(spark, fresh.hint("rebalance"), target) if rows else []
     return Outcome("range", rows, top, added)
 
@@ -157,28 +151,6 @@ def _digest_route(
     return Outcome("digest", missing, top, added)
 
 
-def rows_not_in(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows, copies included, that a much larger table lacks.
-
-    The distinct digests of the rows are stored, so that their size decides how
-    the large side is probed; the large side is reduced to its hits before
-    anything of it is shuffled, when those digests are small enough to broadcast.
-    """
-    shared = shared_columns(rows, existing)
-    path = work_path(rows.sparkSession, "digests")
-    only_digest(rows, shared).distinct().write.parquet(path)
-    return with_digest(rows, shared).join(
-        _hits(existing, shared, path), DIGEST, "left_anti"
-    ).drop(*DIGEST)
-
-
-def _hits(existing: DataFrame, shared: list[SharedColumn], path: str) -> DataFrame:
-    wanted = existing.sparkSession.read.schema(
-        ", ".join(f"{d} bigint" for d in DIGEST)
-    ).parquet(path)
-    return only_digest(existing, shared).join(wanted, DIGEST, "left_semi").distinct()
-
-
 def last_watermarks(state: DataFrame, server: str, database: str) -> dict[str, Watermark]:
     """Watermark per ``schema.table`` of one database: one small row per table."""
     rows = (
@@ -278,6 +250,47 @@ def sync_database(
     return _outcome_frame(spark, outcomes)
 
 
+@dataclass(frozen=True)
+class SourceDatabase:
+    """One database to bring up to date: its tables by ``schema.table`` and the
+    sync column of those that have one."""
+
+    server: str
+    database: str
+    tables: Mapping[str, DataFrame]
+    sync_columns: Mapping[str, str] = field(default_factory=dict)
+
+
+def sync_fleet(
+    spark: SparkSession,
+    ledger: str,
+    sources: Iterable[SourceDatabase],
+    skip: Mapping[str, Iterable[str]] | None = None,
+    target_root: str | None = None,
+    at_once: int = 4,
+) -> DataFrame:
+    """Bring every database of every server up to date, system databases and the
+    ones a server skips left out. Gives the outcome rows of all tables."""
+    outcomes = _outcome_frame(spark, [])
+    for source in sources:
+        skipped = set((skip or {}).get(source.server, ()))
+        if source.database in SYSTEM_DATABASES or source.database in skipped:
+            continue
+        outcomes = outcomes.unionAll(
+            sync_database(
+                spark,
+                ledger,
+                source.server,
+                source.database,
+                source.tables,
+                source.sync_columns,
+                target_root,
+                at_once,
+            )
+        )
+    return outcomes
+
+
 _OUTCOME = """server_name string, database_name string, schema_name string, table_name string,
     route string, rows_written bigint, last_pk_value string, sync_status string, error string"""
 

@@ -445,7 +445,7 @@ _SESSIONS = f""", totals AS (SELECT server_name, database_name, count(*) AS tota
     CAST(sum(rows_destination) AS BIGINT) AS total_rows_destination
 FROM snapshots GROUP BY server_name, database_name),
 sessions AS (SELECT server_name || ':' || database_name || ':'
-        || CAST(epoch_ms(updated_at) AS VARCHAR) AS session_id,
+        || CAST(epoch_us(updated_at) // 1000 AS VARCHAR) AS session_id,
     server_name, database_name, {_STARTED} AS started_at, updated_at AS finished_at,
     date_sub('millisecond', {_STARTED}, updated_at) AS duration_ms,
     coalesce(total_tables, 0) AS total_tables,

@@ -303,7 +303,7 @@ def report_union(spark: SparkSession, sf: str) -> DataFrame:
 def report_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     report, path = _report(spark, sf), work_path(spark, "report")
     sinks.export_report(report, path, "csv")
-    return spark.read.schema(report.schema).option("header", True).csv(path)
+    return csv_tree.read_export(spark, path, report.schema)
 
 
 @query

@@ -6,8 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinkeep.functions.names import clean_text
+from twinkeep.functions.names import clean_name, identifier
 from twinkeep.sources.sinks import ensure_namespace, replace_table
 
 
@@ -24,17 +25,19 @@ def list_exports(spark: SparkSession, root: str) -> DataFrame:
     parts = F.split("path", "/")
     return files.select(
         F.translate(F.element_at(parts, -2), "- ", "__").alias("namespace"),
-        F.regexp_replace(
-            F.regexp_replace(F.element_at(parts, -1), r"\.csv$", ""), r"[^\p{L}\p{N}_-]", ""
+        F.translate(
+            clean_name(F.regexp_replace(F.element_at(parts, -1), r"\.csv$", "")), "-", "_"
         ).alias("table_name"),
         "path",
     ).distinct()
 
 
-def read_export(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_export(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None
+) -> DataFrame:
     """One exported table. Types are inferred from the whole file unless a
     schema is given, which also saves a pass over large exports."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    reader = spark.read.option("header", True)
     return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
 
 
@@ -55,7 +58,7 @@ def load_csv_tree(
             schema = (schemas or {}).get(item.table_name)
             replace_table(
                 read_export(spark, item.path, schema),
-                f"{clean_text(item.namespace)}.{item.table_name}",
+                identifier(item.namespace, item.table_name),
             )
         except Exception as problem:  # the outcome row carries it
             error = str(problem)

@@ -21,8 +21,8 @@ def with_clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def _quoted(table: str) -> str:
-    return ".".join(f"`{part}`" for part in table.split("."))
+def _columns_by_name(names: list[str], case_sensitive: bool) -> dict[str, str]:
+    return {name if case_sensitive else name.lower(): name for name in names}
 
 
 def append_evolving(spark: SparkSession, df: DataFrame, table: str) -> list[str]:
@@ -36,13 +36,18 @@ def append_evolving(spark: SparkSession, df: DataFrame, table: str) -> list[str]
     if not spark.catalog.tableExists(table):
         rows.write.format("parquet").saveAsTable(table)
         return []
-    present = spark.table(table).columns
-    added = [f for f in rows.schema if f.name not in present]
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    given = _columns_by_name(rows.columns, exact)
+    present = _columns_by_name(spark.table(table).columns, exact)
+    added = [rows.schema[given[key]] for key in given if key not in present]
     if added:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
-        spark.sql(f"ALTER TABLE {_quoted(table)} ADD COLUMNS ({columns})")
-        present = spark.table(table).columns
-    aligned = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).alias(c) for c in present]
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
+        present = _columns_by_name(spark.table(table).columns, exact)
+    aligned = [
+        F.col(f"`{given[key]}`") if key in given else F.lit(None).alias(name)
+        for key, name in present.items()
+    ]
     rows.select(*aligned).write.insertInto(table)
     return [f.name for f in added]
 
@@ -56,12 +61,20 @@ def write_header(df: DataFrame, path: str) -> None:
     df.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+# The writers' own default keeps milliseconds only.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def export_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write report rows as CSV with a header or as JSON lines."""
+    """Write report rows as CSV with a header or as JSON lines, times in full."""
+    writer = rows.write.mode("overwrite").options(**TIME_FORMATS)
     if fmt == "csv":
-        rows.write.mode("overwrite").option("header", True).csv(path)
+        writer.option("header", True).csv(path)
     elif fmt == "json":
-        rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        writer.option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown report format: {fmt}")
 

@@ -101,6 +101,17 @@ def row_counts(tables: Mapping[str, DataFrame], label: str = "table_name") -> Da
     return reduce(DataFrame.unionByName, counts)
 
 
+def catalog_listing(spark: SparkSession, namespaces: Sequence[str]) -> DataFrame:
+    """(schema_name, table_name) of the catalog tables in the namespaces."""
+    rows = [
+        (namespace, table.name)
+        for namespace in namespaces
+        for table in spark.catalog.listTables(namespace)
+        if not table.isTemporary
+    ]
+    return spark.createDataFrame(rows, "schema_name string, table_name string")
+
+
 def is_user_table(schema: Column, table: Column) -> Column:
     return (F.lower(schema) != SYSTEM_SCHEMA) & ~qualified(schema, table).isin(*SYSTEM_TABLES)
 

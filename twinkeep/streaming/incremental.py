@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinkeep.functions.digest import own_columns, with_digest
-from twinkeep.operators.sync import rows_not_in
+from twinkeep.functions.digest import DIGEST, own_columns, with_digest
+from twinkeep.operators.compare import differences_from_few
 from twinkeep.session import work_path
 
 BATCH = "batch"
@@ -63,8 +63,8 @@ def _unknown_rows(
     range_column: str | None,
 ) -> DataFrame:
     staged = work_path(spark, "batch")
-    digests = with_digest(rows, own_columns(rows))
-    digests.dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2").write.parquet(staged)
+    digested = with_digest(rows, own_columns(rows))
+    digested.dropDuplicates(DIGEST).drop(*DIGEST).write.parquet(staged)
     fresh = spark.read.schema(schema).parquet(staged)
     if batch == 0:
         return fresh
@@ -75,4 +75,4 @@ def _unknown_rows(
         kind = schema[range_column].dataType
         inside = (value >= F.lit(low).cast(kind)) & (value <= F.lit(high).cast(kind))
         earlier = earlier.where(value.isNull() if low is None else inside | value.isNull())
-    return rows_not_in(fresh, earlier)
+    return differences_from_few(fresh, earlier).missing()
