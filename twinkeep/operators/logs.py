@@ -26,7 +26,7 @@ def _listed(text: Column) -> Column:
     else cut at commas."""
     parsed = F.from_json(F.translate(text, "'", '"'), "array<string>")
     pieces = F.split(F.regexp_replace(text, r"^[\[\]\s]+|[\[\]\s]+$", ""), ",")
-    return F.coalesce(parsed, F.filter(F.transform(pieces, F.trim), lambda c: c != ""))
+    return F.coalesce(parsed, F.filter(F.transform(pieces, lambda c: F.trim(c)), lambda c: c != ""))
 
 
 def schema_change_events(

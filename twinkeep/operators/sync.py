@@ -7,7 +7,7 @@ sides before it appends.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -26,6 +26,8 @@ from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_row
 from twinkeep.sources.sinks import append_evolving, ensure_namespace
 from twinkeep.sources.tables import table_or_empty
 
+SourceTable = DataFrame | Callable[[], DataFrame]
+
 
 @dataclass(frozen=True)
 class Watermark:
@@ -170,7 +172,7 @@ def sync_database(
     ledger: str,
     server: str,
     database: str,
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, SourceTable],
     sync_columns: Mapping[str, str],
     target_root: str | None = None,
     at_once: int = 4,
@@ -179,7 +181,9 @@ def sync_database(
     incrementally. Gives one outcome row per table, as appended to the ledger.
 
     Tables are independent Spark jobs, ``at_once`` of them at a time; one that
-    fails leaves an outcome with its error and does not stop the others.
+    fails leaves an outcome with its error and does not stop the others. A table
+    given as a function is opened inside its own job, so a source that cannot be
+    opened is such a failure too.
     """
     namespace = namespace_text(server, database)
     ensure_namespace(spark, namespace, target_root)
@@ -198,12 +202,14 @@ def sync_database(
         target = target_table(server, database, name)
         row: dict[str, object] = {"sync_status": "COMPLETED", "error": None}
         try:
+            given = tables[name]
+            source = given if isinstance(given, DataFrame) else given()
             if sync_type == "full" and not spark.catalog.tableExists(target):
-                done = full_sync(spark, tables[name], target, sync_columns.get(name))
+                done = full_sync(spark, source, target, sync_columns.get(name))
             else:
                 done = incremental_sync(
                     spark,
-                    tables[name],
+                    source,
                     target,
                     sync_columns.get(name),
                     last.get(".".join(split_text(name))),
@@ -257,7 +263,7 @@ class SourceDatabase:
 
     server: str
     database: str
-    tables: Mapping[str, DataFrame]
+    tables: Mapping[str, SourceTable]
     sync_columns: Mapping[str, str] = field(default_factory=dict)
 
 
