@@ -19,8 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 H1, H2 = "_h1", "_h2"
@@ -91,53 +90,57 @@ def own_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[Sha
     return shared_columns(df, df, columns)
 
 
-def _sorted_map(column: Column) -> Column:
-    return F.array_sort(
-        F.map_entries(column),
-        lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
-    )
+# Expressions are composed as SQL text: a table of a thousand columns then costs
+# one call into the engine per digest instead of several per column.
 
+_WITH_NULLS = "map('ignoreNullFields', 'false')"
+_BY_KEY = "(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END"
 
-def _as_text(column: Column, kind: T.DataType) -> Column:
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _as_text(column: str, kind: T.DataType) -> str:
+    if isinstance(kind, T.StringType):
+        return column
     if isinstance(kind, T.MapType):
-        return F.to_json(_sorted_map(column), {"ignoreNullFields": "false"})
+        return f"to_json(array_sort(map_entries({column}), {_BY_KEY}), {_WITH_NULLS})"
     if isinstance(kind, _NESTED):
-        return F.to_json(column, {"ignoreNullFields": "false"})
-    text = column.cast("string")
+        return f"to_json({column}, {_WITH_NULLS})"
+    text = f"CAST({column} AS STRING)"
     if isinstance(kind, T.DecimalType) and kind.scale > 0:
-        return F.regexp_replace(text, r"\.?0+$", "")
+        return rf"regexp_replace({text}, r'\.?0+$', '')"
     return text
 
 
-def normalised(df: DataFrame, shared: SharedColumn) -> Column:
-    """The value that is hashed for one column of ``df``."""
-    column = F.col(f"`{shared.name}`")
+def normalised(df: DataFrame, shared: SharedColumn) -> str:
+    """SQL text of the value that is hashed for one column of ``df``."""
+    column = _quoted(shared.name)
     own = df.schema[shared.name].dataType
     if isinstance(own, _FRACTIONAL):
-        column = F.when(~F.isnan(column), column + F.lit(0.0))
-    if isinstance(shared.type, T.StringType) or isinstance(shared.type, _NESTED):
-        text = column if isinstance(own, T.StringType) else _as_text(column, own)
-        return F.coalesce(text, F.lit(""))
-    return column if own == shared.type else column.cast(shared.type)
-
-
-def digest(df: DataFrame, shared: Sequence[SharedColumn]) -> dict[str, Column]:
-    values = [normalised(df, c) for c in shared]
-    nullable = [
-        value
-        for value, c in zip(values, shared)
+        column = f"CASE WHEN NOT isnan({column}) THEN {column} + 0.0F END"
+    if isinstance(shared.type, (T.StringType, *_NESTED)):
+        return f"coalesce({_as_text(column, own)}, '')"
+    return column if own == shared.type else f"CAST({column} AS {shared.type.simpleString()})"
+
+
+def digest(df: DataFrame, shared: Sequence[SharedColumn]) -> list[str]:
+    """SQL text of the two halves of the digest."""
+    values = {c: normalised(df, c) for c in shared}
+    flags = [
+        f"isnull({value})"
+        for c, value in values.items()
         if not isinstance(c.type, (T.StringType, *_NESTED))
     ]
-    parts = [*[value.isNull() for value in nullable], *values]
-    return {
-        H1: F.xxhash64(F.lit(1).cast("bigint"), *parts),
-        H2: F.xxhash64(F.lit(2).cast("bigint"), *parts),
-    }
+    parts = ", ".join([*flags, *values.values()])
+    return [f"xxhash64({seed}L, {parts}) AS {half}" for seed, half in enumerate(DIGEST, start=1)]
 
 
 def with_digest(df: DataFrame, shared: Sequence[SharedColumn]) -> DataFrame:
-    return df.withColumns(digest(df, shared))
+    return df.selectExpr("*", *digest(df, shared))
 
 
-def only_digest(df: DataFrame, shared: Sequence[SharedColumn]) -> DataFrame:
-    return df.select(*[c.alias(n) for n, c in digest(df, shared).items()])
+def only_digest(df: DataFrame, shared: Sequence[SharedColumn], *more: str) -> DataFrame:
+    """The digest of every row, and further columns given as SQL text."""
+    return df.selectExpr(*digest(df, shared), *more)

@@ -31,28 +31,24 @@ def delta_summary(source: DataFrame, destination: DataFrame) -> DataFrame:
 def table_deltas(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Deltas of many tables in one job: the digests of all tables in long form,
     counted per (table, digest) in one shuffle, then per table."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     sides = []
     for place, (source, destination) in enumerate(pairs.values(), start=1):
         shared = shared_columns(source, destination)
-        for df, s, d in ((source, one, none), (destination, none, one)):
+        for df, s, d in ((source, 1, 0), (destination, 0, 1)):
             sides.append(
-                only_digest(df, shared).select(
-                    F.lit(place).alias("place"), *DIGEST, s.alias("s"), d.alias("d")
-                )
+                only_digest(df, shared, f"{place} AS place", f"{s}L AS s", f"{d}L AS d")
             )
-    s, d = F.col("s"), F.col("d")
-    names = F.array(*[F.lit(name) for name in pairs])
     per_digest = (
         reduce(DataFrame.unionAll, sides)
         .groupBy("place", *DIGEST)
         .agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
     )
     found = per_digest.groupBy("place").agg(
-        F.coalesce(F.sum(F.when(d == 0, s)), none).alias("delta_count"),
+        F.expr("coalesce(sum(s) FILTER (WHERE d = 0), 0L) AS delta_count"),
         F.sum("s").alias("total_source_rows"),
         F.sum("d").alias("total_destination_rows"),
     )
+    names = F.array(*[F.lit(name) for name in pairs])
     named = found.select(F.element_at(names, F.col("place")).alias("table_name"), "*")
     return _with_empty_tables(named.drop("place"), list(pairs))
 

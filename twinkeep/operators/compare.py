@@ -51,9 +51,8 @@ def digest_counts(
 ) -> DataFrame:
     """Per digest, the number of rows on each side."""
     shared = shared_columns(source, destination) if shared is None else shared
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    left = only_digest(source, shared).select(*DIGEST, one.alias("s"), none.alias("d"))
-    right = only_digest(destination, shared).select(*DIGEST, none.alias("s"), one.alias("d"))
+    left = only_digest(source, shared, "1L AS s", "0L AS d")
+    right = only_digest(destination, shared, "0L AS s", "1L AS d")
     return (
         left.unionAll(right)
         .groupBy(*DIGEST)
@@ -70,18 +69,20 @@ def compare_counts(
 ) -> DataFrame:
     """One row with every count of a comparison. ``*_rows`` count copies,
     ``*_distinct`` count different rows, duplicates are all copies but the first."""
-    s, d = F.col("n_source"), F.col("n_destination")
     shared = shared_columns(source, destination, columns)
-    return digest_counts(source, destination, shared).agg(
-        _total(s).alias("rows_source"),
-        _total(d).alias("rows_destination"),
-        _total(F.greatest(s - 1, F.lit(0))).alias("duplicate_source_rows"),
-        _total(F.greatest(d - 1, F.lit(0))).alias("duplicate_destination_rows"),
-        _total(F.when(d == 0, s)).alias("missing_rows"),
-        _total(F.when(s == 0, d)).alias("extra_rows"),
-        F.count_if(d == 0).alias("missing_distinct"),
-        F.count_if(s == 0).alias("extra_distinct"),
-        F.count_if((s > 0) & (d > 0)).alias("both_distinct"),
+    totals = {
+        "rows_source": "sum(n_source)",
+        "rows_destination": "sum(n_destination)",
+        "duplicate_source_rows": "sum(greatest(n_source - 1, 0))",
+        "duplicate_destination_rows": "sum(greatest(n_destination - 1, 0))",
+        "missing_rows": "sum(n_source) FILTER (WHERE n_destination = 0)",
+        "extra_rows": "sum(n_destination) FILTER (WHERE n_source = 0)",
+        "missing_distinct": "count_if(n_destination = 0)",
+        "extra_distinct": "count_if(n_source = 0)",
+        "both_distinct": "count_if(n_source > 0 AND n_destination > 0)",
+    }
+    return digest_counts(source, destination, shared).selectExpr(
+        *[f"coalesce({total}, 0L) AS {name}" for name, total in totals.items()]
     )
 
 
@@ -99,9 +100,8 @@ def validate_table(source: DataFrame, destination: DataFrame) -> DataFrame:
 
 def verify_consistency(source: DataFrame, destination: DataFrame) -> DataFrame:
     """Row counts of both sides and their status; reads no column."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    stacked = source.select(one.alias("s"), none.alias("d")).unionAll(
-        destination.select(none.alias("s"), one.alias("d"))
+    stacked = source.selectExpr("1L AS s", "0L AS d").unionAll(
+        destination.selectExpr("0L AS s", "1L AS d")
     )
     return stacked.agg(
         _total(F.col("s")).alias("rows_source"), _total(F.col("d")).alias("rows_destination")
@@ -143,12 +143,15 @@ class Differences:
     @cached_property
     def _sizes(self) -> dict[str, Row]:
         """Per kind, how many digests and copies are stored: at most three rows."""
-        s, d = F.col("n_source"), F.col("n_destination")
+        many = self.hot_copies
         sizes = self.digests.groupBy("kind").agg(
-            F.count("*").alias("digests"),
-            F.sum(s + d).alias("copies"),
-            _total(F.when(s >= self.hot_copies, s)).alias("hot_source"),
-            _total(F.when(d >= self.hot_copies, d)).alias("hot_destination"),
+            F.expr("count(*) AS digests"),
+            F.expr("sum(n_source + n_destination) AS copies"),
+            F.expr(f"coalesce(sum(n_source) FILTER (WHERE n_source >= {many}), 0) AS hot_source"),
+            F.expr(
+                f"""coalesce(sum(n_destination) FILTER (WHERE n_destination >= {many}), 0)
+                    AS hot_destination"""
+            ),
         )
         return {row.kind: row for row in sizes.collect()}
 
@@ -207,14 +210,16 @@ def _store(
 ) -> Differences:
     """Keep what differs, and what has many copies on either side."""
     path = work_path(source.sparkSession, "differences")
-    s, d = F.col("n_source"), F.col("n_destination")
     (
-        counts.where((s == 0) | (d == 0) | (s >= hot_copies) | (d >= hot_copies))
-        .select(
+        counts.where(
+            f"n_source = 0 OR n_destination = 0 OR greatest(n_source, n_destination) >= {hot_copies}"
+        )
+        .selectExpr(
             *DIGEST,
             "n_source",
             "n_destination",
-            F.when(d == 0, MISSING).when(s == 0, EXTRA).otherwise(BOTH).alias("kind"),
+            f"""CASE WHEN n_destination = 0 THEN '{MISSING}'
+                     WHEN n_source = 0 THEN '{EXTRA}' ELSE '{BOTH}' END AS kind""",
         )
         .hint("rebalance", "kind")
         .write.partitionBy("kind")
@@ -349,7 +354,7 @@ def later_copies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Every different row that occurs more than once, with the number of its
     second and later copies. Copies are counted, not numbered: numbering would
     bring all copies of a row into one task."""
-    values = [normalised(df, c).alias(c.name) for c in own_columns(df, columns)]
+    values = [F.expr(normalised(df, c)).alias(c.name) for c in own_columns(df, columns)]
     return df.groupBy(*values).agg((F.count("*") - 1).alias("later_copies")).where(
         "later_copies > 0"
     )
@@ -385,17 +390,18 @@ def bucket_fingerprints(
     shared = shared_columns(source, destination) if shared is None else shared
 
     def side(df: DataFrame, is_source: bool) -> DataFrame:
-        return with_digest(df.withColumn("bucket", bucket), shared).select(
-            "bucket", *DIGEST, F.lit(is_source).alias("is_source")
+        return only_digest(
+            df.withColumn("_bucket", bucket),
+            shared,
+            "_bucket AS bucket",
+            f"{str(is_source).lower()} AS is_source",
         )
 
     def parts(is_source: bool) -> list[Column]:
-        mine = F.col("is_source") == is_source
-        mask = F.lit((1 << _PIECE) - 1).cast("bigint")
-        sums = [
-            F.sum(F.when(mine, F.shiftright(H1, _PIECE * i).bitwiseAND(mask))) for i in range(3)
-        ]
-        return [F.count_if(mine), *sums, F.bit_xor(F.when(mine, F.col(H2)))]
+        mine = f"FILTER (WHERE is_source = {str(is_source).lower()})"
+        mask = (1 << _PIECE) - 1
+        sums = [f"sum(shiftright({H1}, {_PIECE * i}) & {mask}L) {mine}" for i in range(3)]
+        return [F.expr(t) for t in (f"count(*) {mine}", *sums, f"bit_xor({H2}) {mine}")]
 
     names = ["n", "p0", "p1", "p2", "x"]
     return (

@@ -9,6 +9,7 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SQL: dict[str, str] = {
     "replica_src": """
@@ -154,8 +155,16 @@ def tables_in(text: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is inferred once per path: every inference is a
+    small job over file footers."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
