@@ -29,6 +29,19 @@ def test_restart_adds_nothing_and_overlap_adds_only_new_rows(spark, folder):
     assert drain() == [(1, "a"), (1, "b"), (9, "c"), (None, "n")]
 
 
+def test_a_backlog_is_cut_into_batches(spark, folder):
+    inbox, target, checkpoint = f"{folder}/in", f"{folder}/out", f"{folder}/state"
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for key in (1, 1, 2):
+        deliver(spark, inbox, (key, "a"))
+    incremental.append_new_files(
+        spark, inbox, schema, target, checkpoint, True, files_per_batch=1
+    )
+    batches = incremental.read_target(spark, target, schema)
+    assert target_rows(spark, target, schema) == [(1, "a"), (2, "a")]
+    assert batches.select(incremental.BATCH).distinct().count() == 2
+
+
 def test_plain_append_keeps_copies(spark, folder):
     inbox, target, checkpoint = f"{folder}/in", f"{folder}/out", f"{folder}/state"
     schema = spark.createDataFrame([], SCHEMA).schema

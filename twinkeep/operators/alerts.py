@@ -46,18 +46,38 @@ def _alert(
     ]
 
 
-def status_alerts(state: DataFrame) -> DataFrame:
+def state_alerts(state: DataFrame, as_of: str, hours: int = STALE_HOURS) -> DataFrame:
+    """Runs that did not complete and syncs gone stale, from one pass over the
+    state: each database gives up to two alerts."""
     level = severity(F.col("sync_status"))
-    return state.where(level != "INFO").select(
+    last = F.coalesce("last_incremental_sync", "last_full_sync")
+    age = hours_between(F.lit(as_of).cast("timestamp_ntz"), last)
+    server, database = F.col("server_name"), F.col("database_name")
+    unfinished = F.struct(
         _alert(
             level,
             F.lit("Database sync status not completed"),
             "status",
-            F.col("server_name"),
-            F.col("database_name"),
+            server,
+            database,
             at=F.col("updated_at"),
         )
     )
+    stale = F.struct(
+        _alert(
+            F.lit("WARNING"),
+            F.concat(F.lit("Stale sync ("), age.cast("string"), F.lit("h)")),
+            "stale",
+            server,
+            database,
+        )
+    )
+    found = F.array_compact(
+        F.array(
+            F.when(level != "INFO", unfinished), F.when(_is_stale(last, as_of, hours), stale)
+        )
+    )
+    return state.select(F.inline(found))
 
 
 def consistency_alerts(snapshots: DataFrame) -> DataFrame:
@@ -75,23 +95,17 @@ def consistency_alerts(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def _is_stale(last: Column, as_of: str, hours: int) -> Column:
+    return last < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+
+
 def stale_syncs(state: DataFrame, as_of: str, hours: int = STALE_HOURS) -> DataFrame:
     """Databases whose last sync is more than ``hours`` before ``as_of``."""
-    now = F.lit(as_of).cast("timestamp_ntz")
     last = F.coalesce("last_incremental_sync", "last_full_sync")
-    return state.where(last < now - F.make_dt_interval(hours=F.lit(hours))).select(
+    return state.where(_is_stale(last, as_of, hours)).select(
         *DATABASE_KEY,
         last.alias("last_sync"),
-        hours_between(now, last).alias("age_hours"),
-    )
-
-
-def stale_alerts(state: DataFrame, as_of: str) -> DataFrame:
-    message = F.concat(F.lit("Stale sync ("), F.col("age_hours").cast("string"), F.lit("h)"))
-    return stale_syncs(state, as_of).select(
-        _alert(
-            F.lit("WARNING"), message, "stale", F.col("server_name"), F.col("database_name")
-        )
+        hours_between(F.lit(as_of).cast("timestamp_ntz"), last).alias("age_hours"),
     )
 
 
@@ -127,9 +141,8 @@ def alerts_with_severity(
     server and are always kept."""
     of_database = {"server_name": server, "database_name": database}
     parts: Sequence[DataFrame] = (
-        status_alerts(matching(state, **of_database)),
+        state_alerts(matching(state, **of_database), as_of),
         consistency_alerts(matching(snapshots, **of_database)),
-        stale_alerts(matching(state, **of_database), as_of),
         job_alerts(matching(jobs, server_name=server)),
         log_alerts(lines),
     )

@@ -439,6 +439,18 @@ UNION ALL SELECT CASE WHEN rows_destination > 0 THEN 'warnings' ELSE 'failures'
     CASE WHEN rows_destination > 0 THEN 'Row counts differ' ELSE 'Destination empty' END
 FROM snapshots WHERE rows_source <> rows_destination"""
 )
+_SQL["alert_list_counts"] = (
+    "SELECT kind, count(*) AS alerts FROM (" + _SQL["alerts_basic"] + ") GROUP BY kind"
+)
+_SQL["history_counts"] = (
+    as_ctes("run_ledger", "table_ledger")
+    + _STATE_TAIL
+    + _TABLE_TAIL
+    + """SELECT 'databases' AS list, count(*) AS n FROM state
+UNION ALL SELECT 'failed', count(*) FROM state
+    WHERE sync_status IS NOT NULL AND sync_status <> 'COMPLETED'
+UNION ALL SELECT 'tables', count(*) FROM table_now"""
+)
 _STARTED = "coalesce(last_full_sync, last_incremental_sync, updated_at)"
 _SESSIONS = f""", totals AS (SELECT server_name, database_name, count(*) AS total_tables,
     CAST(sum(rows_source) AS BIGINT) AS total_rows_source,

@@ -473,6 +473,24 @@ def alerts_basic(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.alerts_basic(_state(spark, sf), _snapshots(spark, sf))
 
 
+@query
+def alert_list_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = alerts.alerts_basic(_state(spark, sf), _snapshots(spark, sf))
+    return found.groupBy("kind").agg(F.count("*").alias("alerts"))
+
+
+@query
+def history_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How long the lists of one report are."""
+    state = _state(spark, sf)
+    lists = {
+        "databases": state,
+        "failed": ledger.failed_syncs(state),
+        "tables": ledger.table_state(derived(spark, sf, "table_ledger")),
+    }
+    return tables.row_counts(lists, label="list")
+
+
 @query
 def recent_sessions(spark: SparkSession, sf: str) -> DataFrame:
     found = alerts.recent_sessions(_state(spark, sf), _snapshots(spark, sf))

@@ -30,6 +30,6 @@ def logged_at(line: Column) -> Column:
 def log_tail(lines: DataFrame, n: int = LOG_TAIL_LINES) -> DataFrame:
     """The newest lines. A distributed text scan has no line numbers, so newest
     means by time, then by text; lines without a time come last."""
-    return lines.orderBy(
-        logged_at(F.col("line")).desc_nulls_last(), F.col("line").desc()
-    ).limit(n)
+    timed = lines.withColumn("_at", logged_at(F.col("line")))
+    newest = timed.orderBy(F.col("_at").desc_nulls_last(), F.col("line").desc()).limit(n)
+    return newest.drop("_at")

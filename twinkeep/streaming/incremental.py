@@ -27,9 +27,10 @@ def append_new_files(
     checkpoint: str,
     drop_known: bool = False,
     range_column: str | None = None,
+    files_per_batch: int | None = None,
 ) -> None:
     """Append the files that arrived since the last call; the checkpoint is the
-    resume point. Each batch overwrites its own ``batch=<id>`` folder, so a
+    resume point. ``files_per_batch`` cuts a backlog into batches. Each batch overwrites its own ``batch=<id>`` folder, so a
     replay after a crash writes the same rows again instead of more.
 
     With ``drop_known`` copies inside a batch collapse and rows of earlier
@@ -43,9 +44,11 @@ def append_new_files(
             rows = _unknown_rows(spark, rows, batch, target, schema, range_column)
         rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch}")
 
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     (
-        spark.readStream.schema(schema)
-        .parquet(source)
+        reader.parquet(source)
         .writeStream.foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
