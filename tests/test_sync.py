@@ -188,6 +188,17 @@ def test_watermark_types_come_back(spark, namespace):
         assert source.where(F.col(column) == done.watermark.column(kind)).count() == 1
 
 
+def test_a_zoned_watermark_survives_another_session_zone(spark, namespace):
+    source = spark.sql("SELECT timestamp'2024-07-01 10:00:00.5 UTC' AS t")
+    done = sync.full_sync(spark, source, f"{namespace}.z", "t")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        kind = source.schema["t"].dataType
+        assert source.where(F.col("t") == done.watermark.column(kind)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_state_of_a_full_run_keeps_the_incremental_time(spark, namespace):
     create_ledgers(spark, namespace)
     from datetime import datetime

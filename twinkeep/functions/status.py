@@ -81,3 +81,8 @@ def millis_between(later: Column, earlier: Column) -> Column:
 
 def epoch_millis(at: Column) -> Column:
     return millis_between(at, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def printable(at: Column) -> Column:
+    """A time without zone to the second, as text."""
+    return F.substring(at.cast("string"), 1, 19)

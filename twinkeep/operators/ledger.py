@@ -20,7 +20,7 @@ from twinkeep.functions.fixed import (
     TABLE_HISTORY_ROWS,
 )
 from twinkeep.functions.names import qualified
-from twinkeep.functions.status import ever_synced
+from twinkeep.functions.status import ever_synced, printable
 
 DATABASE_KEY = ["server_name", "database_name"]
 TABLE_KEY = ["server_name", "database_name", "schema_name", "table_name"]
@@ -146,7 +146,7 @@ def last_syncs(log: DataFrame, n: int = RECENT_SYNCS) -> DataFrame:
     """The newest entries of the run log, with printable time and details."""
     return newest(log, ["sync_time", "run_id"], n).select(
         "server_name",
-        F.date_format("sync_time", "yyyy-MM-dd HH:mm:ss").alias("time"),
+        printable(F.col("sync_time")).alias("time"),
         "status",
         F.coalesce("details", F.lit("-")).alias("details"),
     )
@@ -206,9 +206,7 @@ def live_jobs(state: DataFrame) -> DataFrame:
         .select(
             F.col("server_name").alias("server"),
             F.col("job_type").alias("type"),
-            F.coalesce(F.date_format("last_run", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias(
-                "last_run"
-            ),
+            F.coalesce(printable(F.col("last_run")), F.lit("-")).alias("last_run"),
             "status",
             F.coalesce("error", F.lit("-")).alias("error"),
         )

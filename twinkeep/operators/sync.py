@@ -61,10 +61,12 @@ def _measure(df: DataFrame, column: str | None) -> tuple[int, Watermark | None]:
     that push aggregates down answer it without a scan."""
     if column is None:
         return df.count(), None
+    kind = df.schema[column].dataType
     highest = F.max(F.col(f"`{column}`"))
+    if isinstance(kind, T.TimestampType):  # a point in time needs its zone as text
+        highest = F.date_format(highest, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
     rows, top = df.agg(F.count("*").alias("n"), highest.cast("string").alias("top")).first()
-    kind = df.schema[column].dataType.simpleString()
-    return rows, None if top is None else Watermark(top, kind)
+    return rows, None if top is None else Watermark(top, kind.simpleString())
 
 
 def _up_to(df: DataFrame, column: str | None, top: Watermark | None) -> DataFrame:
