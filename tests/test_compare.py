@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from twinkeep.operators import changes, compare
+from twinkeep.operators import changes, compare, schema
 from twinkeep.plans.inputs import derived, table
 
 SCHEMA = "k bigint, v string"
@@ -164,6 +164,23 @@ def test_later_copies_fold_values(spark):
     assert [tuple(r) for r in compare.later_copies(df).collect()] == [(1, "", 2)]
 
 
+def test_odd_column_names(spark):
+    names = ["a.b", "it's", 'q"', "back`tick", "sl\\ash", "a b"]
+    plain = ", ".join(f"c{i} string" for i in range(len(names)))
+    source = spark.createDataFrame([tuple("abcdef"), tuple("ghijkl")], plain).toDF(*names)
+    destination = source.limit(1)
+    assert compare.missing_rows(source, destination).columns == names
+    assert compare.compare_counts(source, destination).first().missing_rows == 1
+    profile = schema.profile_types(source).collect()
+    assert [r.column_name for r in profile] == names
+    assert [tuple(r) for r in changes.delta_summary(source, source).collect()] == [(0, 2, 2)]
+
+
+def test_wide_tables(spark):
+    wide = spark.range(3).selectExpr(*[f"id + {i} AS c{i}" for i in range(400)])
+    assert compare.compare_counts(wide, wide.where("c0 > 0")).first().missing_rows == 1
+
+
 def test_ranking(spark):
     some = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], SCHEMA)
     none = some.limit(0)

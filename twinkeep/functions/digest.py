@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from twinkeep.functions.names import identifier
+
 H1, H2 = "_h1", "_h2"
 DIGEST = [H1, H2]
 
@@ -97,10 +99,6 @@ _WITH_NULLS = "map('ignoreNullFields', 'false')"
 _BY_KEY = "(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END"
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _as_text(column: str, kind: T.DataType) -> str:
     if isinstance(kind, T.StringType):
         return column
@@ -116,7 +114,7 @@ def _as_text(column: str, kind: T.DataType) -> str:
 
 def normalised(df: DataFrame, shared: SharedColumn) -> str:
     """SQL text of the value that is hashed for one column of ``df``."""
-    column = _quoted(shared.name)
+    column = identifier(shared.name)
     own = df.schema[shared.name].dataType
     if isinstance(own, _FRACTIONAL):
         column = f"CASE WHEN NOT isnan({column}) THEN {column} + 0.0F END"

@@ -55,6 +55,11 @@ def identifier(*parts: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
 
 
+def literal(text: str) -> str:
+    """SQL text of a string value."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def target_table(server: str, database: str, table: str) -> str:
     """``<server>_<database>.<schema>_<table>`` as a catalog identifier. Dots,
     dashes and blanks of a table name become ``_``: catalogs refuse them."""

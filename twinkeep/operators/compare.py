@@ -33,6 +33,7 @@ from twinkeep.functions.digest import (
     with_digest,
 )
 from twinkeep.functions.fixed import DEBUG_ROWS, HEAD_ROWS
+from twinkeep.functions.names import identifier
 from twinkeep.functions.status import count_status
 from twinkeep.session import work_path
 from twinkeep.sources.tables import subset
@@ -173,7 +174,7 @@ class Differences:
         wanted = self.digests.where(F.col("kind") == kind)
         if kind not in self._sizes:
             return df.limit(0)
-        names = [F.col(f"`{c}`") for c in df.columns]
+        names = [F.col(identifier(c)) for c in df.columns]
         if self._sizes[kind].digests <= self.broadcast_digests:
             few = F.broadcast(wanted.select(*DIGEST))
             return rows.join(few, DIGEST, "left_semi").select(*names)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinkeep.functions.fixed import ID_TYPES, TIME_TYPES
+from twinkeep.functions.names import identifier, literal
 from twinkeep.sources.tables import column_metadata
 
 SHORT_TEXT = 255
@@ -34,45 +35,35 @@ def stored_type(kind: T.DataType) -> str | None:
     return None if isinstance(kind, T.StringType) else "TEXT"
 
 
-def _column_profile(df: DataFrame, name: str) -> Column:
-    """Profile of one column, as one struct of aggregates."""
-    column = F.col(f"`{name}`")
+def _column_profile(df: DataFrame, name: str) -> str:
+    """Profile of one column, as SQL text of one struct of aggregates."""
+    column = identifier(name)
     kind = df.schema[name].dataType
     fixed = stored_type(kind)
-    filled = F.count(column)
-    none = F.lit(None)
+    filled = f"count({column})"
+    longest, uuid, whole = "CAST(NULL AS BIGINT)", "false", "false"
+    suggested = literal(fixed or "")
     if fixed is None:
-        dashes = F.length(column) - F.length(F.translate(column, "-", ""))
-        longest = F.max(F.length(column)).cast("bigint")
-        uuid = F.coalesce(
-            F.bool_and((F.length(column) == UUID_LENGTH) & (dashes == UUID_DASHES)), F.lit(False)
-        )
-        whole = F.coalesce(F.bool_and(column.rlike(r"^-?[0-9]+$")), F.lit(False))
-        suggested = (
-            F.when(uuid, "UUID")
-            .when(F.coalesce(longest, F.lit(0)) <= SHORT_TEXT, f"VARCHAR({SHORT_TEXT})")
-            .otherwise("TEXT")
-        )
-    else:
-        longest, uuid = none.cast("bigint"), F.lit(False)
-        whole = F.lit(fixed == "BIGINT") & (filled > 0)
-        suggested = F.lit(fixed)
-    return F.struct(
-        F.lit(name).alias("column_name"),
-        suggested.alias("suggested_type"),
-        filled.alias("filled_rows"),
-        (F.count("*") - filled).alias("null_rows"),
-        longest.alias("max_length"),
-        uuid.alias("looks_like_uuid"),
-        whole.alias("all_integers"),
-    )
+        dashes = f"length({column}) - length(translate({column}, '-', ''))"
+        longest = f"CAST(max(length({column})) AS BIGINT)"
+        uuid = f"""coalesce(bool_and(length({column}) = {UUID_LENGTH}
+            AND {dashes} = {UUID_DASHES}), false)"""
+        whole = f"coalesce(bool_and({column} RLIKE '^-?[0-9]+$'), false)"
+        suggested = f"""CASE WHEN {uuid} THEN 'UUID'
+            WHEN coalesce({longest}, 0) <= {SHORT_TEXT} THEN 'VARCHAR({SHORT_TEXT})'
+            ELSE 'TEXT' END"""
+    elif fixed == "BIGINT":
+        whole = f"{filled} > 0"
+    return f"""struct({literal(name)} AS column_name, {suggested} AS suggested_type,
+        {filled} AS filled_rows, count(*) - {filled} AS null_rows, {longest} AS max_length,
+        {uuid} AS looks_like_uuid, {whole} AS all_integers)"""
 
 
 def profile_types(df: DataFrame) -> DataFrame:
     """Suggested type of every column: one pass over the table, one row per
     column. UUID and integer tests look at every value, not at a sample."""
-    profiles = F.array(*[_column_profile(df, f.name) for f in df.schema])
-    return df.agg(profiles.alias("profiles")).select(F.inline("profiles"))
+    profiles = ", ".join(_column_profile(df, f.name) for f in df.schema)
+    return df.selectExpr(f"inline(array({profiles}))")
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -120,17 +111,12 @@ def drift_of_tables(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFra
 
 
 def _filled_rows(table: str, df: DataFrame) -> DataFrame:
-    counts = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("source_values")
-            )
-            for c in df.columns
-        ]
-    )
-    return df.agg(counts.alias("counts")).select(
-        F.lit(table).alias("table_name"), F.inline("counts")
+    counts = ", ".join(
+        f"struct({literal(c)} AS column_name, count({identifier(c)}) AS source_values)"
+        for c in df.columns
     )
+    found = df.selectExpr(f"inline(array({counts}))")
+    return found.select(F.lit(table).alias("table_name"), "*")
 
 
 def primary_keys(usage: DataFrame) -> DataFrame:
@@ -175,7 +161,7 @@ def choose_sync_column(metadata: DataFrame) -> DataFrame:
 def profile_candidate(df: DataFrame, column: str) -> DataFrame:
     """Rows, NULLs, distinct values and ties at the maximum of one column, read
     alone. A column with ties cannot drive a client-side batch loop safely."""
-    value = F.col(f"`{column}`")
+    value = F.col(identifier(column))
     per_value = df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
     filled = F.col("v").isNotNull()
     return per_value.agg(

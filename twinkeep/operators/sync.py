@@ -19,7 +19,13 @@ from pyspark.sql import types as T
 
 from twinkeep.functions.digest import shared_columns
 from twinkeep.functions.fixed import SYSTEM_DATABASES, SYSTEM_SCHEMA, SYSTEM_TABLES
-from twinkeep.functions.names import clean_text, namespace_text, split_text, target_table
+from twinkeep.functions.names import (
+    clean_text,
+    identifier,
+    namespace_text,
+    split_text,
+    target_table,
+)
 from twinkeep.operators.compare import MISSING, differences_from_few, find_differences
 from twinkeep.operators.ledger import database_state, matching, table_state
 from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_rows
@@ -62,7 +68,7 @@ def _measure(df: DataFrame, column: str | None) -> tuple[int, Watermark | None]:
     if column is None:
         return df.count(), None
     kind = df.schema[column].dataType
-    highest = F.max(F.col(f"`{column}`"))
+    highest = F.max(F.col(identifier(column)))
     if isinstance(kind, T.TimestampType):  # a point in time needs its zone as text
         highest = F.date_format(highest, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
     rows, top = df.agg(F.count("*").alias("n"), highest.cast("string").alias("top")).first()
@@ -73,7 +79,7 @@ def _up_to(df: DataFrame, column: str | None, top: Watermark | None) -> DataFram
     """Rows the measurement saw: later arrivals wait for the next run."""
     if column is None or top is None:
         return df
-    value = F.col(f"`{column}`")
+    value = F.col(identifier(column))
     return df.where(value.isNull() | (value <= top.column(df.schema[column].dataType)))
 
 
@@ -116,7 +122,7 @@ def incremental_sync(
 def _range_route(
     spark: SparkSession, source: DataFrame, target: str, column: str, last: Watermark
 ) -> Outcome:
-    fresh = source.where(F.col(f"`{column}`") > last.column(source.schema[column].dataType))
+    fresh = source.where(F.col(identifier(column)) > last.column(source.schema[column].dataType))
     rows, top = _measure(fresh, column)
     if rows == 0:
         return Outcome("range", 0, last)
@@ -125,7 +131,7 @@ def _range_route(
     target_column = clean_text(column)
     if target_column in present.columns:
         beyond = present.where(
-            F.col(f"`{target_column}`") > last.column(present.schema[target_column].dataType)
+            F.col(identifier(target_column)) > last.column(present.schema[target_column].dataType)
         )
         if not beyond.limit(1).isEmpty():
             found = differences_from_few(fresh, beyond)

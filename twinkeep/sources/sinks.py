@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.functions.names import clean_text
+from twinkeep.functions.names import clean_text, identifier
 
 
 def ensure_namespace(spark: SparkSession, namespace: str, root: str | None = None) -> None:
@@ -45,7 +45,7 @@ def append_evolving(spark: SparkSession, df: DataFrame, table: str) -> list[str]
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
         present = _columns_by_name(spark.table(table).columns, exact)
     aligned = [
-        F.col(f"`{given[key]}`") if key in given else F.lit(None).alias(name)
+        F.col(identifier(given[key])) if key in given else F.lit(None).alias(name)
         for key, name in present.items()
     ]
     rows.select(*aligned).write.insertInto(table)
@@ -81,5 +81,5 @@ def export_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def as_document(rows: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
-    everything = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    everything = F.struct(*[F.col(identifier(c)) for c in rows.columns])
     return rows.select(F.to_json(everything, {"ignoreNullFields": "false"}).alias("document"))
