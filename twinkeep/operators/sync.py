@@ -310,7 +310,7 @@ _OUTCOME = """server_name string, database_name string, schema_name string, tabl
 
 
 def _outcome_frame(spark: SparkSession, outcomes: Iterable[Mapping[str, object]]) -> DataFrame:
-    schema = T._parse_datatype_string(_OUTCOME)
+    schema = T.DataType.fromDDL(_OUTCOME)
     return spark.createDataFrame([tuple(o.get(f.name) for f in schema) for o in outcomes], schema)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,11 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="twinkeep-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="twinkeep-")
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -42,7 +42,7 @@ def append_rows(
 ) -> None:
     """Append ledger rows: a handful per run, one file. Order of ``run_id``
     follows the order of the rows."""
-    schema = T._parse_datatype_string(SCHEMAS[ledger])
+    schema = T.DataType.fromDDL(SCHEMAS[ledger])
     start = time.time_ns() // 1000
     records = [
         tuple({"run_id": start + place, **row}.get(f.name) for f in schema)
