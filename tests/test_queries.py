@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from scripts.check import TABLES, compare
 from tests.conftest import SMALL
+from twinkeep.plans import oracle, registry
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def engine():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_query_matches_sql(spark, engine, name):
     verdict, _ = compare(spark, engine, name, SMALL)
     assert verdict.startswith("ok"), verdict
@@ -26,7 +27,12 @@ def test_query_matches_sql(spark, engine, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.oracle_sql()) == set(registry.registered())
+
+
+def test_entry_offers_every_query():
+    assert set(registry.registered()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_counts(spark):
