@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinkeep.llm import pii, simhash, winnowing
+from twinkeep.llm import chat, pii, simhash, winnowing
 from twinkeep.llm.rows import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.contamination(docs, items))
 
 
+@query
+def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": OP1_SQL}
+    return {"op1_winnowing": OP1_SQL, "op4_chat_snapshots": OP4_SQL}
 
 
 #: Words by pattern, windows by a word join on the window's text.
@@ -72,3 +77,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN words USING (r) LEFT JOIN own USING (r)
 """
+
+#: Conversations as lists of turns; prefixes are compared as lists.
+OP4_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+         list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
+  FROM turns GROUP BY conv_id),
+pre AS (SELECT conv_id, n_turns, l[1:k] AS p FROM (SELECT *, unnest(range(1, n_turns)) AS k FROM conv)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, l FROM conv
+  WHERE l NOT IN (SELECT p FROM pre) GROUP BY n_turns, l)
+SELECT conv_id, 0 AS part, n_turns,
+       array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.r, 'unknown') || chr(10)
+                       || coalesce(x.t, '') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM kept
+"""
