@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, pii, simhash, winnowing
-from twinkeep.llm.rows import read_table
+from twinkeep.llm import chat, langid, pii, simhash, winnowing
+from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,6 +24,14 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.contamination(docs, items))
 
 
+@query
+def op3_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 4) == 2)
+    model = langid.train(docs.where("NOT held_out"))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
