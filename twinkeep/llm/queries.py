@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, langid, pii, simhash, winnowing
+from twinkeep.llm import chat, langid, pii, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,15 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.contamination(docs, items))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 5) == 0)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    lexicon = toxicity.train(docs.where("NOT held_out").join(labels, "doc_id"))
+    found = toxicity.score(docs.select("doc_id", "held_out", "text"), lexicon)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op3_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 4) == 2)
