@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, langid, pii, simhash, toxicity, winnowing
+from twinkeep.llm import chat, langid, pii, quality, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,29 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+#: Score from which a text counts as good.
+GOOD = 0.7
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Neighbours:
+    """Learned from the rows of ``docs`` that have a label and are not held out."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learned = docs.select("doc_id", "text").where(fold_of("doc_id", 4) != 2)
+    return quality.train(learned.join(labels, "doc_id"))
+
+
+@query
+def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = quality.score(docs.select("doc_id", "text"), quality_model(docs, spark, sf_dir))
+    return found.select(
+        "doc_id",
+        (fold_of("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
