@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, langid, pii, quality, simhash, toxicity, winnowing
+from twinkeep.llm import chat, langid, mixing, pii, quality, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(mixing.annotate(docs)).drop("text")
+
+
 #: Score from which a text counts as good.
 GOOD = 0.7
 
