@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, langid, mixing, pii, quality, simhash, toxicity, winnowing
+from twinkeep.llm import chat, extraction, langid, mixing, pii, quality, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,13 @@ def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extraction.extract(pages, extraction.train(pages))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
