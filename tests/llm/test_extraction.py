@@ -66,7 +66,7 @@ def test_marginals_match_all_assignments(model):
     for y in itertools.product((0, 1), repeat=len(nodes)):
         z = sum(w for w, v in zip(weight, y) if v)
         for k, node in enumerate(nodes[1:], 1):
-            z += model.edges[node.text is not None][y[node.parent]][y[k]]
+            z += model.edges[extraction._edge(nodes, node)][y[node.parent]][y[k]]
         total += exp(z)
         for k, v in enumerate(y):
             ones[k] += exp(z) * v

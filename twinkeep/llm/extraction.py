@@ -40,22 +40,34 @@ _HEADING = re.compile("#h[1-6]$")
 _END = re.compile(r"[.!?…:;。]['\")\]»”]*$")
 
 
+#: Fixed values of HTML: elements that order text, in an article as in a menu. They say
+#: nothing by themselves.
+_PLAIN = {"ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th", "p", "caption", "center"}
+
+
 def features(node: Node) -> list[str]:
     """What is seen of a node."""
     if node.text is None:
-        named = "." if node.names else ""
-        return [f"t:{node.tag}{named}", *(f"n:{name}" for name in node.names), *(["hidden"] if node.hidden else [])]
+        tag = [] if node.tag in _PLAIN else [f"t:{node.tag}{'.' if node.names else ''}"]
+        return [*tag, *(f"n:{name}" for name in node.names), *(["hidden"] if node.hidden else [])]
     size = len(node.text)
     share = node.linked / max(1, size)
     return [
         f"heading:{bool(_HEADING.match(node.tag))}",
-        f"size:{min(10, max(4, size.bit_length()))}",
+        f"size:{(size >= 32) + (size >= 128)}",
         f"links:{0 if not node.linked else 1 if share < 0.5 else 2}",
         f"end:{bool(_END.search(node.text))}",
         *(["hidden"] if node.hidden else []),
     ]
 
 
+def _edge(nodes: list[Node], node: Node) -> str:
+    """The kind of edge to a node's parent: a block's, one within the page's frame, another."""
+    if node.text is not None:
+        return "block"
+    return "frame" if nodes[node.parent].tag in ("html", "body") else "box"
+
+
 def weak_labels(nodes: list[Node]) -> list[bool] | None:
     """Labels of the blocks of a page with an article, by its markup; None without."""
     inside, apart, found = [False] * len(nodes), [False] * len(nodes), False
@@ -94,7 +106,7 @@ def _count(nodes: list[Node], blocks: list[bool], weight: int, counts: Counter)
         for name in features(node):
             counts[(name, y)] += weight
         if k and labels[node.parent] >= 0:
-            counts[(f"edge:{node.text is not None}:{labels[node.parent]}", y)] += weight
+            counts[(f"edge:{_edge(nodes, node)}:{labels[node.parent]}", y)] += weight
 
 
 @dataclass
@@ -103,7 +115,7 @@ class PageModel:
 
     weights: dict[str, float]
     prior: dict[bool, float]
-    edges: dict[bool, list[list[float]]]
+    edges: dict[str, list[list[float]]]
 
 
 def _model(counts: Counter) -> PageModel:
@@ -118,7 +130,7 @@ def _model(counts: Counter) -> PageModel:
         weights[name] = log(a / b)
     prior = {b: log(total[(b, 1)] / total[(b, 0)]) for b in (False, True)}
     edges = {}
-    for b in (False, True):
+    for b in ("block", "frame", "box"):
         n = [[counts[(f"edge:{b}:{p}", c)] + s for c in (0, 1)] for p in (0, 1)]
         whole = sum(map(sum, n))
         child = [n[0][c] + n[1][c] for c in (0, 1)]
@@ -196,7 +208,7 @@ def marginals(nodes: list[Node], model: PageModel) -> list[float]:
         one[k] = model.prior[node.text is not None] + sum(weights.get(f, 0.0) for f in features(node))
     for k in range(count - 1, 0, -1):
         node = nodes[k]
-        e = model.edges[node.text is not None]
+        e = model.edges[_edge(nodes, node)]
         m0 = _sum(e[0][0] + zero[k], e[0][1] + one[k])
         m1 = _sum(e[1][0] + zero[k], e[1][1] + one[k])
         up[k] = (m0, m1)
@@ -204,7 +216,7 @@ def marginals(nodes: list[Node], model: PageModel) -> list[float]:
         one[node.parent] += m1
     for k in range(1, count):
         node = nodes[k]
-        e, (m0, m1) = model.edges[node.text is not None], up[k]
+        e, (m0, m1) = model.edges[_edge(nodes, node)], up[k]
         # What the parent believes without this child.
         p0, p1 = zero[node.parent] - m0, one[node.parent] - m1
         zero[k] += _sum(e[0][0] + p0, e[1][0] + p1)

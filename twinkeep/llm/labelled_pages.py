@@ -11,17 +11,17 @@ import re
 PAGES = (
     """<body><header class="site-header"><a href="/">-</a><p class="tagline">--</p></header>
     <nav class="menu main-menu"><ul><li><a href="/a">-</a><li><a href="/b">-</a><li><a href="/c">-</a></ul></nav>
-    <main><article><h1>+</h1><p>+++<p>+++<p>++<h2>+</h2><p>+++</article></main>
+    <main><article><h1>+</h1><p>+++<p>+<p>+++<p>+<p>++<h2>+</h2><ul><li>+<li>+<li>++</ul><p>+++</article></main>
     <aside class="sidebar"><h3>-</h3><ul><li><a href="/x">--</a><li><a href="/y">--</a></ul><p>--</aside>
     <section class="comments" id="comments"><h3>-</h3><div class="comment"><p>--</p></div>
     <div class="comment"><p>---</p></div></section><footer><p>--</p><a href="/z">-</a></footer></body>""",
     """<body><div id="header"><h2>-</h2></div><div id="nav" class="navbar"><a href="/1">-</a> <a href="/2">-</a></div>
-    <div id="content" class="content"><h1>+</h1><p>+++</p><p>+++</p><blockquote>++</blockquote><p>+++</p>
+    <div id="content" class="content"><h1>+</h1><p>+++</p><p>+</p><p>+++</p><p>+</p><blockquote>++</blockquote><p>+++</p>
     <ul><li>++</li><li>++</li></ul></div><div id="sidebar"><div class="widget"><h4>-</h4><p>--</p></div></div>
     <div class="ad banner advert">--</div><div id="footer">--</div></body>""",
     """<body><div class="cookie notice banner"><p>--</p><button>-</button></div>
     <div class="wrapper container"><div class="post entry"><h1 class="title">+</h1><div class="entry body text">
-    <p>+++</p><p>+++</p><table><tr><td>+</td><td>+</td></tr><tr><td>++</td><td>+</td></tr></table><p>++</p></div></div>
+    <p>+++</p><p>+</p><p>+++</p><table><tr><td>+</td><td>+</td></tr><tr><td>++</td><td>+</td></tr></table><p>++</p></div></div>
     <div class="related posts"><h3>-</h3><a href="/r">--</a></div><form class="newsletter subscribe"><label>-</label>
     <input><button>-</button></form><div class="comments"><ol><li class="comment reply"><p>---</p></li></ol></div></div>
     <div class="footer copyright">--</div></body>""",
@@ -44,11 +44,15 @@ PAGES = (
     """<body><div class="menu"><ul><li>-</li><li>-</li></ul></div><div><h1>+</h1><p>+++</p><p>+++</p><p>++</p></div>
     <div class="sidebar"><p>---</p><p>---</p></div><div id="comments"><p>---</p><p>---</p><p>---</p></div>
     <div class="disclaimer notice"><p>---</p></div><div class="ads">---</div><div class="footer"><p>---</p></div></body>""",
-    """<body><main><h1>+</h1><p>+++</p><p>++</p><p>+++</p></main><section class="comments"><p>---</p><p>---</p></section>
+    """<body><main><h1>+</h1><p>+++</p><p>++</p><ul><li>+</li><li>+</li></ul><ol><li>+</li><li>+</li></ol><p>+++</p></main><section class="comments"><p>---</p><p>---</p></section>
     <aside><p>---</p><p>---</p></aside><div class="banner notice">---</div><form><p>---</p></form><footer><p>---</p></footer></body>""",
     """<body><header>-</header><article class="post hentry"><h2 class="title">+</h2><p>+++</p><h3>+</h3><p>+++</p><h2>+</h2><p>+</p><p>++</p>
     </article><footer>-</footer></body>""",
     """<body><header>--<a href="/">-</a></header><div class="article story"><h2>+</h2><p>+++</p><h4>+</h4><p>++</p></div><footer>---</footer></body>""",
+    """<body><div id="wrap" class="outer"><div class="top">-</div><section><h1>+</h1><p>+++</p><p>+</p><p>+++</p></section>
+    <section class="related"><a href="/q">--</a></section></div><div class="footer">-</div></body>""",
+    """<body><div id="page" class="layout"><div class="header"><h1>-</h1></div><div class="columns row"><div class="menu left"><a href="/q">-</a></div>
+    <section><h2>+</h2><p>+++</p><ul><li>+</li><li>++</li></ul><p>++</p></section></div></div></body>""",
 )
 
 _WORDS = "some words of a page that say what it is about and go on for a while".split()
