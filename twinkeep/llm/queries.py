@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, extraction, langid, mixing, pii, quality, simhash, toxicity, winnowing
+from twinkeep.llm import chat, extraction, langid, mixing, pii, quality, search, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,13 @@ def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_blockmax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0")
+    return search.search(search.index(docs), asked, "doc_id", query_terms=search.QUERY_TERMS)
+
+
 @query
 def op9_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -98,7 +105,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": OP1_SQL, "op4_chat_snapshots": OP4_SQL}
+    return {"op1_winnowing": OP1_SQL, "op4_chat_snapshots": OP4_SQL, "op8_blockmax_search": OP8_SQL}
 
 
 #: Words by pattern, windows by a word join on the window's text.
@@ -149,3 +156,26 @@ SELECT conv_id, 0 AS part, n_turns,
                        || coalesce(x.t, '') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM kept
 """
+
+#: Every document scored for every query that shares a term with it.
+OP8_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(w)) / CAST(count(*) AS DOUBLE) AS mean FROM doc),
+tf AS (SELECT r, t, CAST(count(*) AS DOUBLE) AS f FROM (SELECT r, unnest(w) AS t FROM doc) GROUP BY r, t),
+df AS (SELECT t, count(*) AS d FROM tf GROUP BY t),
+idf AS (SELECT t, ln(1 + (n - d + 0.5) / (d + 0.5)) AS i FROM df, s),
+asked AS (
+  SELECT r AS q, t, i FROM tf JOIN idf USING (t) JOIN doc USING (r) WHERE doc_id % 50 = 0
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY f * i DESC, t) <= 16),
+scored AS (
+  SELECT q, r, sum(CAST(floor(i * (f * (1.2 + 1) / (f + 1.2 * (1 - 0.75 + 0.75 * len(w) / mean))) * 1048576 + 0.5) AS BIGINT)) AS total
+  FROM asked JOIN tf USING (t) JOIN doc USING (r), s GROUP BY q, r)
+SELECT a.doc_id AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY total DESC, b.doc_id NULLS LAST) AS INTEGER) AS rank,
+       b.doc_id AS doc_id, total / CAST(1048576 AS DOUBLE) AS score
+FROM scored JOIN doc a ON a.r = q JOIN doc b ON b.r = scored.r
+QUALIFY rank <= 10
+"""

@@ -95,8 +95,8 @@ class Words:
         starts = np.flatnonzero(word & (~before | cut[:-1]))
         ends = np.flatnonzero(word & (~after | cut[1:])) + 1
         self.hash = _rolling(_BYTE[raw], starts, ends, 0)
-        #: Bytes of each word.
-        self.size = ends - starts
+        #: Place and bytes of each word.
+        self.start, self.size = starts, ends - starts
         #: Bounds of each text in ``hash``.
         self.at = np.searchsorted(starts, bounds)
         self.text = np.repeat(np.arange(high - low), np.diff(self.at))
