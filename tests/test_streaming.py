@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
+
 from twinkeep.streaming import incremental
 
 SCHEMA = "k bigint, v string"
@@ -10,7 +14,8 @@ def deliver(spark, inbox, *rows):
 
 
 def target_rows(spark, target, schema):
-    rows = incremental.read_target(spark, target, schema).drop(incremental.BATCH).collect()
+    rows = incremental.read_target(spark, target, schema)
+    rows = rows.drop(incremental.RUN, incremental.BATCH).collect()
     return sorted((tuple(r) for r in rows), key=str)
 
 
@@ -54,9 +59,28 @@ def test_plain_append_keeps_copies(spark, folder):
 
 def test_a_replayed_batch_writes_the_same_rows(spark, folder):
     """A crash after the write and before the commit repeats the batch."""
-    inbox, target = f"{folder}/in", f"{folder}/out"
+    inbox, target, checkpoint = f"{folder}/in", f"{folder}/out", f"{folder}/state"
     schema = spark.createDataFrame([], SCHEMA).schema
     deliver(spark, inbox, (1, "a"))
-    incremental.append_new_files(spark, inbox, schema, target, f"{folder}/one", True)
-    incremental.append_new_files(spark, inbox, schema, target, f"{folder}/two", True)
-    assert target_rows(spark, target, schema) == [(1, "a")]
+    incremental.append_new_files(spark, inbox, schema, target, checkpoint, True)
+    deliver(spark, inbox, (1, "a"), (2, "b"))
+    incremental.append_new_files(spark, inbox, schema, target, checkpoint, True)
+    for name in ("1", ".1.crc"):
+        (Path(checkpoint.removeprefix("file:")) / "commits" / name).unlink(missing_ok=True)
+    incremental.append_new_files(spark, inbox, schema, target, checkpoint, True)
+    assert target_rows(spark, target, schema) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("drop_known", [True, False])
+def test_a_new_checkpoint_keeps_the_target(spark, folder, drop_known):
+    inbox, target = f"{folder}/in", f"{folder}/out"
+    schema = spark.createDataFrame([], SCHEMA).schema
+    deliver(spark, inbox, *[(k, "a") for k in range(10)])
+    incremental.append_new_files(spark, inbox, schema, target, f"{folder}/one", drop_known)
+    fresh = f"{folder}/in2"
+    deliver(spark, fresh, (9, "a"), (10, "b"), (11, "c"))
+    incremental.append_new_files(spark, fresh, schema, target, f"{folder}/two", drop_known)
+    expected = [(k, "a") for k in range(10)] + [(10, "b"), (11, "c")]
+    if not drop_known:
+        expected.append((9, "a"))
+    assert sorted(target_rows(spark, target, schema)) == sorted(expected)

@@ -647,6 +647,7 @@ _SQL["stream_append"] = f"""
 SELECT * FROM events WHERE ts < TIMESTAMP '{DROP_END}'
 UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '{DROP_START}'"""
 _SQL["stream_incremental"] = "SELECT * FROM events"
+_SQL["stream_second_checkpoint"] = _SQL["stream_incremental"]
 _SQL["stream_live_status"] = (
     _STATE
     + """SELECT s.server_name, s.database_name, s.sync_status, s.updated_at, n.runs

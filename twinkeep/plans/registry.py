@@ -681,7 +681,26 @@ def _streamed(spark: SparkSession, sf: str, drop_known: bool) -> DataFrame:
         incremental.append_new_files(
             spark, inbox, events.schema, target, checkpoint, drop_known, "ts"
         )
-    return incremental.read_target(spark, target, events.schema).drop(incremental.BATCH)
+    return _target(spark, target, events)
+
+
+def _target(spark: SparkSession, target: str, like: DataFrame) -> DataFrame:
+    found = incremental.read_target(spark, target, like.schema)
+    return found.drop(incremental.RUN, incremental.BATCH)
+
+
+@query
+def stream_second_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """The checkpoint is lost between two overlapping deliveries; the target is not."""
+    events, drops = _drops(spark, sf)
+    target = work_path(spark, "stream")
+    for drop in drops:
+        inbox = work_path(spark, "inbox")
+        drop.write.parquet(inbox)
+        incremental.append_new_files(
+            spark, inbox, events.schema, target, work_path(spark, "checkpoint"), True, "ts"
+        )
+    return _target(spark, target, events)
 
 
 @query

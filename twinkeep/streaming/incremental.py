@@ -10,13 +10,14 @@ from twinkeep.functions.digest import DIGEST, own_columns, with_digest
 from twinkeep.operators.compare import differences_from_few
 from twinkeep.session import work_path
 
-BATCH = "batch"
+#: A batch is known by the checkpoint that counts it and by its number there.
+RUN, BATCH = "run", "batch"
 
 
 def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """Everything batches wrote, with the number of the batch."""
-    whole = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    return spark.read.schema(whole).parquet(target)
+    """Everything batches wrote, with the checkpoint and the number of the batch."""
+    keys = [T.StructField(RUN, T.StringType()), T.StructField(BATCH, T.LongType())]
+    return spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(target)
 
 
 def append_new_files(
@@ -30,19 +31,27 @@ def append_new_files(
     files_per_batch: int | None = None,
 ) -> None:
     """Append the files that arrived since the last call; the checkpoint is the
-    resume point. ``files_per_batch`` cuts a backlog into batches. Each batch overwrites its own ``batch=<id>`` folder, so a
-    replay after a crash writes the same rows again instead of more.
+    resume point. ``files_per_batch`` cuts a backlog into batches. Each batch overwrites its own
+    ``run=<checkpoint>/batch=<id>`` folder, so a replay after a crash writes the same rows
+    again instead of more. A new checkpoint counts from 0 again but has an identity of its
+    own (Spark gives it one), so it never touches what another one wrote.
 
-    With ``drop_known`` copies inside a batch collapse and rows of earlier
-    batches are left out. ``range_column`` then limits the part of the target
+    With ``drop_known`` copies inside a batch collapse and rows that any other
+    batch of the target holds are left out. ``range_column`` then limits the part of the target
     that is probed to the values the batch has: equal rows have equal values,
     and file statistics skip the rest.
     """
 
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("ignore").parquet(f"{target}/{RUN}=none/{BATCH}=-1")
+
     def put(rows: DataFrame, batch: int) -> None:
+        run = spark.read.json(f"{checkpoint}/metadata").first().id
         if drop_known:
-            rows = _unknown_rows(spark, rows, batch, target, schema, range_column)
-        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch}")
+            own = (F.col(RUN) == run) & (F.col(BATCH) == batch)
+            others = read_target(spark, target, schema).where(~own).drop(RUN, BATCH)
+            rows = _unknown_rows(spark, rows, others, schema, range_column)
+        rows.write.mode("overwrite").parquet(f"{target}/{RUN}={run}/{BATCH}={batch}")
 
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -60,8 +69,7 @@ def append_new_files(
 def _unknown_rows(
     spark: SparkSession,
     rows: DataFrame,
-    batch: int,
-    target: str,
+    others: DataFrame,
     schema: T.StructType,
     range_column: str | None,
 ) -> DataFrame:
@@ -69,13 +77,10 @@ def _unknown_rows(
     digested = with_digest(rows, own_columns(rows))
     digested.dropDuplicates(DIGEST).drop(*DIGEST).write.parquet(staged)
     fresh = spark.read.schema(schema).parquet(staged)
-    if batch == 0:
-        return fresh
-    earlier = read_target(spark, target, schema).where(F.col(BATCH) < batch).drop(BATCH)
     if range_column is not None:
         value = F.col(range_column)
         low, high = fresh.agg(F.min(value).cast("string"), F.max(value).cast("string")).first()
         kind = schema[range_column].dataType
         inside = (value >= F.lit(low).cast(kind)) & (value <= F.lit(high).cast(kind))
-        earlier = earlier.where(value.isNull() if low is None else inside | value.isNull())
-    return differences_from_few(fresh, earlier).missing()
+        others = others.where(value.isNull() if low is None else inside | value.isNull())
+    return differences_from_few(fresh, others).missing()
