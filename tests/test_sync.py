@@ -53,6 +53,59 @@ def test_ties_at_the_end_all_arrive(spark, namespace):
     assert done.rows_written == 25
 
 
+def test_binary_row_versions_sync_whole(spark, namespace):
+    target = f"{namespace}.t"
+    source = spark.sql("SELECT unhex(h) AS k, h AS v FROM VALUES ('00000000000007D1'), ('FF80'), ('00') AS t(h)")
+    first = sync.full_sync(spark, source, target, "k")
+    assert (first.rows_written, spark.table(target).count()) == (3, 3)
+    assert first.watermark == sync.Watermark("FF80", "binary")
+    more = source.unionAll(spark.sql("SELECT unhex('FF81') AS k, 'new' AS v"))
+    done = sync.incremental_sync(spark, more, target, "k", first.watermark)
+    assert (done.route, done.rows_written, done.watermark.text) == ("range", 1, "FF81")
+    assert bag(spark.table(target)) == bag(more)
+
+
+def test_nan_is_no_watermark(spark, namespace):
+    target = f"{namespace}.t"
+    source = spark.createDataFrame([(1.5, "a"), (float("nan"), "b"), (None, "c")], "k double, v string")
+    first = sync.full_sync(spark, source, target, "k")
+    assert (first.rows_written, first.watermark.text) == (3, "1.5")
+    more = source.unionAll(spark.createDataFrame([(2.5, "d")], source.schema))
+    for expected in (1, 0):
+        done = sync.incremental_sync(spark, more, target, "k", first.watermark)
+        assert (done.rows_written, done.watermark.text) == (expected, "2.5")
+    assert spark.table(target).count() == 4
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["CAST(7 AS TINYINT)", "9223372036854775807L", "CAST(1.10 AS DECIMAL(20, 4))", "CAST(0.1 AS FLOAT)", "1e-310D",
+     "'a ''\\n ü'", "DATE'2024-02-29'", "TIMESTAMP'2024-01-01 00:00:00.123456'",
+     "TIMESTAMP_NTZ'2024-01-01 00:00:00.123456'", "X'00FF'"],
+)
+def test_watermarks_come_back_as_the_value(spark, namespace, value):
+    source = spark.sql(f"SELECT {value} AS k, 1 AS v")
+    done = sync.full_sync(spark, source, f"{namespace}.t", "k")
+    back = done.watermark.column(source.schema["k"].dataType)
+    assert source.where(F.col("k") == back).count() == 1
+
+
+def test_a_type_without_text_is_refused(spark, namespace):
+    with pytest.raises(ValueError, match="exact text"):
+        sync.full_sync(spark, spark.sql("SELECT array(1) AS k"), f"{namespace}.t", "k")
+
+
+def test_full_load_reads_its_source_once(spark, namespace, folder):
+    """Two reads of a source that grows would disagree; one read is all there is."""
+    rows(spark, (1, "a"), (2, "b")).write.parquet(folder)
+    source = spark.read.parquet(folder)
+    watched = sync._Watched(source, "k")
+    plan = watched.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan
+    done = sync.full_sync(spark, source, f"{namespace}.t", "k")
+    assert done.rows_written == spark.table(f"{namespace}.t").count() == 2
+
+
 def test_null_sync_values_arrive_with_the_full_load(spark, namespace):
     target = f"{namespace}.t"
     done = sync.full_sync(spark, rows(spark, (None, "a"), (1, "b")), target, "k")

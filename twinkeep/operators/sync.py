@@ -7,13 +7,14 @@ sides before it appends.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ from twinkeep.functions.names import (
     split_text,
     target_table,
 )
-from twinkeep.operators.compare import MISSING, differences_from_few, find_differences
+from twinkeep.operators.compare import MISSING, Differences, differences_from_few, find_differences
 from twinkeep.operators.ledger import database_state, matching, table_state
 from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_rows
 from twinkeep.sources.sinks import append_evolving, ensure_namespace
@@ -35,16 +36,23 @@ from twinkeep.sources.tables import table_or_empty
 SourceTable = DataFrame | Callable[[], DataFrame]
 
 
+#: Types whose values have an exact text.
+_TEXT_TYPES = (
+    T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType
+)
+
+
 @dataclass(frozen=True)
 class Watermark:
     """The last value of a sync column, as text with its type, so it comes back
-    as the value it was."""
+    as the value it was. Binary values are written in hexadecimal digits."""
 
     text: str
     type: str
 
     def column(self, kind: T.DataType):
-        stored = F.lit(self.text).cast(self.type)
+        text = F.lit(self.text)
+        stored = F.unhex(text) if self.type == "binary" else text.cast(self.type)
         return stored if kind.simpleString() == self.type else stored.cast(kind)
 
 
@@ -62,25 +70,49 @@ def is_system_table(table: str) -> bool:
     return split_text(table)[0].lower() == SYSTEM_SCHEMA or table in SYSTEM_TABLES
 
 
-def _measure(df: DataFrame, column: str | None) -> tuple[int, Watermark | None]:
-    """Row count and highest sync value, from one column of the source. Sources
-    that push aggregates down answer it without a scan."""
+def _highest(column: str, kind: T.DataType):
+    """The highest value of a sync column as exact text; NaN is above everything and
+    would end all syncs, so it does not count."""
+    if not isinstance(kind, _TEXT_TYPES):
+        raise ValueError(f"{column} cannot be a sync column: {kind.simpleString()} has no exact text")
+    value = F.col(identifier(column))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = F.when(~F.isnan(value), value)
+    highest = F.max(value)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(highest)
+    if isinstance(kind, T.TimestampType):  # a point in time needs its zone as text
+        return F.date_format(highest, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return highest.cast("string")
+
+
+def _top(df: DataFrame, column: str | None) -> Watermark | None:
+    """The highest sync value before a comparison, read from one column. Rows that arrive
+    meanwhile may be compared too; the next run then finds them in the target."""
     if column is None:
-        return df.count(), None
+        return None
     kind = df.schema[column].dataType
-    highest = F.max(F.col(identifier(column)))
-    if isinstance(kind, T.TimestampType):  # a point in time needs its zone as text
-        highest = F.date_format(highest, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
-    rows, top = df.agg(F.count("*").alias("n"), highest.cast("string").alias("top")).first()
-    return rows, None if top is None else Watermark(top, kind.simpleString())
+    top = df.agg(_highest(column, kind)).first()[0]
+    return None if top is None else Watermark(top, kind.simpleString())
 
 
-def _up_to(df: DataFrame, column: str | None, top: Watermark | None) -> DataFrame:
-    """Rows the measurement saw: later arrivals wait for the next run."""
-    if column is None or top is None:
-        return df
-    value = F.col(identifier(column))
-    return df.where(value.isNull() | (value <= top.column(df.schema[column].dataType)))
+class _Watched:
+    """Rows to write that are counted, and their highest sync value taken, by the very job that
+    writes them: what is reported is what was written, and no pass is added."""
+
+    def __init__(self, df: DataFrame, column: str | None):
+        kind = None if column is None else df.schema[column].dataType
+        self._type = None if kind is None else kind.simpleString()
+        top = F.max(F.lit(None).cast("string")) if kind is None else _highest(column, kind)
+        self._seen = Observation(f"sync_{uuid.uuid4().hex}")
+        self.rows = df.observe(self._seen, F.count(F.lit(1)).alias("n"), top.alias("top"))
+
+    def count(self) -> int:
+        return self._seen.get["n"]
+
+    def watermark(self) -> Watermark | None:
+        top = self._seen.get["top"]
+        return None if top is None else Watermark(top, self._type)
 
 
 def full_sync(
@@ -88,11 +120,17 @@ def full_sync(
 ) -> Outcome:
     """Append the whole source and note the watermark."""
     column = sync_column if sync_column in source.columns else None
-    rows, top = _measure(source, column)
-    if rows == 0:
+    if source.limit(1).isEmpty():
         return Outcome("full")
-    added = append_evolving(spark, _up_to(source, column, top), target)
-    return Outcome("full", rows, top, added)
+    return _load(spark, source, target, column, "full")
+
+
+def _load(
+    spark: SparkSession, source: DataFrame, target: str, column: str | None, route: str
+) -> Outcome:
+    watched = _Watched(source, column)
+    added = append_evolving(spark, watched.rows, target)
+    return Outcome(route, watched.count(), watched.watermark(), added)
 
 
 def incremental_sync(
@@ -122,11 +160,10 @@ def incremental_sync(
 def _range_route(
     spark: SparkSession, source: DataFrame, target: str, column: str, last: Watermark
 ) -> Outcome:
-    fresh = source.where(F.col(identifier(column)) > last.column(source.schema[column].dataType))
-    rows, top = _measure(fresh, column)
-    if rows == 0:
+    value = F.col(identifier(column))
+    fresh = source.where(value > last.column(source.schema[column].dataType))
+    if fresh.limit(1).isEmpty():
         return Outcome("range", 0, last)
-    fresh = _up_to(fresh, column, top)
     present = table_or_empty(spark, target, source.schema)
     target_column = clean_text(column)
     if target_column in present.columns:
@@ -134,31 +171,34 @@ def _range_route(
             F.col(identifier(target_column)) > last.column(present.schema[target_column].dataType)
         )
         if not beyond.limit(1).isEmpty():
+            top = _top(fresh, column) or last
             found = differences_from_few(fresh, beyond)
-            fresh, rows = found.missing(), found.copies(MISSING)
-    added = append_evolving(spark, fresh.hint("rebalance"), target) if rows else []
-    return Outcome("range", rows, top, added)
+            return _append_missing(spark, found, target, "range", top)
+    done = _load(spark, fresh.hint("rebalance"), target, column, "range")
+    done.watermark = done.watermark or last
+    return done
+
+
+def _append_missing(
+    spark: SparkSession, found: Differences, target: str, route: str, top: Watermark | None
+) -> Outcome:
+    missing = found.copies(MISSING)
+    added = append_evolving(spark, found.missing().hint("rebalance"), target) if missing else []
+    return Outcome(route, missing, top, added)
 
 
 def _digest_route(
     spark: SparkSession, source: DataFrame, target: str, column: str | None
 ) -> Outcome:
-    rows, top = _measure(source, column)
-    if rows == 0:
+    if source.limit(1).isEmpty():
         return Outcome("digest")
     present = table_or_empty(spark, target, source.schema)
     if present.limit(1).isEmpty():
-        added = append_evolving(spark, _up_to(source, column, top), target)
-        return Outcome("load", rows, top, added)
-    seen = _up_to(source, column, top)
-    if not shared_columns(seen, present):
+        return _load(spark, source, target, column, "load")
+    if not shared_columns(source, present):
         return Outcome("no_shared_column")
-    found = find_differences(seen, present)
-    missing = found.copies(MISSING)
-    added = (
-        append_evolving(spark, found.missing().hint("rebalance"), target) if missing else []
-    )
-    return Outcome("digest", missing, top, added)
+    top = _top(source, column)
+    return _append_missing(spark, find_differences(source, present), target, "digest", top)
 
 
 def last_watermarks(state: DataFrame, server: str, database: str) -> dict[str, Watermark]:
