@@ -195,3 +195,32 @@ def test_ranking(spark):
         ("d", 0, False),
     ]
     assert changes.changed_totals(deltas).first() == (4, 6, 9, 3)
+
+
+def test_a_comparison_from_few_rows_refuses_what_it_did_not_look_for(spark):
+    one, two = spark.range(3).toDF("k"), spark.range(8).toDF("k")
+    found = compare.differences_from_few(one, two)
+    assert found.missing().isEmpty()
+    with pytest.raises(ValueError, match="missing rows only"):
+        found.extra()
+
+
+def test_large_whole_numbers_and_doubles_compare_exactly(spark):
+    whole = spark.sql("SELECT 9007199254740993L AS k UNION ALL SELECT 5L UNION ALL SELECT 7L")
+    real = spark.sql("SELECT 9007199254740992.0D AS k UNION ALL SELECT 5.0D UNION ALL SELECT 7.5D")
+    found = compare.find_differences(whole, real)
+    assert sorted(r.k for r in found.missing().collect()) == [7, 9007199254740993]
+    same = spark.sql("SELECT CAST(0.1 AS DECIMAL(20, 4)) AS k UNION ALL SELECT 12345678901234.25")
+    double = spark.sql("SELECT 0.1D AS k UNION ALL SELECT 12345678901234.25D")
+    assert compare.find_differences(same, double).missing().isEmpty()
+
+
+def test_no_single_task_follows_the_buckets(spark, monkeypatch):
+    """Whatever number of buckets differs, broadcast or not, the rows are the same."""
+    one, two = spark.range(3000).toDF("k"), spark.range(100, 3000).toDF("k")
+    for limit in (compare.BROADCAST_DIGESTS, 5):
+        found = compare.find_differences(one, two, bucket=F.col("k"), buckets=64, broadcast_digests=limit)
+        assert found.missing().count() == 100
+    found.release()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        found.digests.count()

@@ -9,7 +9,13 @@ from tests.conftest import SMALL
 from twinkeep.functions.names import target_table
 from twinkeep.operators import compare, ledger, sync
 from twinkeep.plans.inputs import derived, table
-from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_rows, create_ledgers
+from twinkeep.sources.ledger_tables import (
+    DATABASE_RUNS,
+    RUN_LOG,
+    TABLE_RUNS,
+    append_rows,
+    create_ledgers,
+)
 from twinkeep.sources.sinks import append_evolving
 
 ROW = "k bigint, v string"
@@ -212,7 +218,12 @@ def test_database_runs_full_then_incremental(spark, namespace, folder):
     assert [(r.route, r.rows_written) for r in second.collect()] == [("range", 1)]
     state = ledger.database_state(spark.table(f"{namespace}.{DATABASE_RUNS}")).first()
     assert state.sync_status == "COMPLETED"
-    assert state.last_full_sync < state.last_incremental_sync == state.updated_at
+    # The full run had a table that failed: it is no completed run.
+    assert state.last_full_sync is None and state.last_incremental_sync == state.updated_at
+    log = spark.table(f"{namespace}.{RUN_LOG}").orderBy("run_id").collect()
+    assert [(r.status, r.details) for r in log] == [
+        ("FAILED", "my db: 2 of 3 tables"), ("COMPLETED", "my db: 1 of 1 tables")
+    ]
     assert spark.table(f"{namespace}.{TABLE_RUNS}").count() == 4
     assert spark.table(target_table(server, "my db", "dbo.good")).count() == 3
     assert sync.tables_processed(second).first()["processed"] == 1
@@ -230,6 +241,25 @@ def test_fleet_leaves_out_system_and_skipped_databases(spark, namespace, folder)
     assert [r.database_name for r in done.collect()] == ["one"]
 
 
+def test_tables_with_one_target_fail_and_columns_choose_themselves(spark, namespace, folder):
+    create_ledgers(spark, namespace)
+    one = spark.createDataFrame([(1, 5, "a")], "id int, k bigint, v string")
+    given = {"dbo.x_y": one, "dbo_x.y": one, "dbo.ok": one, "dbo.keyed": one}
+    keys = spark.createDataFrame([("dbo.keyed", "k", 1)], "table_name string, column_name string, pk_position int")
+
+    def run(tables):
+        done = sync.sync_database(spark, namespace, f"s-{namespace}", "d", tables, target_root=folder, keys=keys)
+        return {r.schema_name + "." + r.table_name: r for r in done.collect()}
+
+    found = run(given)
+    failed = {n for n, r in found.items() if r.sync_status == "FAILED"}
+    assert failed == {"dbo.x_y", "dbo_x.y"}
+    assert (found["dbo.ok"].last_pk_value, found["dbo.keyed"].last_pk_value) == ("1", "5")
+    wider = spark.createDataFrame([(2, 6, "b", 0.5)], "id int, k bigint, v string, w double")
+    again = run({"dbo.ok": wider})
+    assert (again["dbo.ok"].route, again["dbo.ok"].added_columns) == ("range", "w")
+
+
 def test_watermark_types_come_back(spark, namespace):
     source = spark.sql(
         """SELECT timestamp_ntz'2024-01-01 10:00:00.123456' AS t, 1.10D AS d,

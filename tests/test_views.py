@@ -26,7 +26,23 @@ def test_state_and_severity_numbers(state):
     level = status.severity(F.col("sync_status")).alias("level")
     found = {r.level: r["count"] for r in state.groupBy(level).count().collect()}
     assert found == {"CRITICAL": 3, "HIGH": 1, "INFO": 6, "WARNING": 5}
-    assert alerts.stale_syncs(state, AS_OF).count() == 2
+    assert alerts.stale_syncs(state, AS_OF).count() == 4
+
+
+def test_a_failing_database_goes_stale_and_exports_are_whole(spark):
+    runs = spark.sql(
+        """SELECT id AS run_id, 's' AS server_name, 'd' AS database_name, 'incremental' AS sync_type,
+                  CASE WHEN id = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS sync_status,
+                  CAST(NULL AS STRING) AS error,
+                  timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS updated_at
+           FROM range(600)"""
+    )
+    stale = alerts.stale_syncs(ledger.database_state(runs), "2024-01-26 00:00:00").collect()
+    assert [(r.database_name, r.age_hours) for r in stale] == [("d", 600)]
+    assert ledger.database_history(runs, n=None).count() == 600
+    assert ledger.database_history(runs).count() == 50
+    with pytest.raises(ValueError, match="rows per key"):
+        ledger.database_history(runs, n=5000)
 
 
 def test_filters_are_optional(state):
@@ -139,8 +155,12 @@ def test_alert_lines_and_counts(spark, state):
          ("2024-01-01 00:00:00,5 - ERROR - Failed to sync/load dbo.t: y",)],
         "line string",
     )
-    assert alerts.log_alerts(lines, tail=2).count() == 1
-    assert alerts.alert_counts(alerts.log_alerts(lines)).first() == (2, 2, 0, 0)
+    as_of = "2024-01-01 12:00:00"
+    assert alerts.log_alerts(lines, as_of, tail=2).count() == 1
+    assert alerts.alert_counts(alerts.log_alerts(lines, as_of)).first() == (2, 2, 0, 0)
+    assert alerts.log_alerts(lines, "2024-01-03 00:00:00").count() == 0
+    many = spark.range(500).selectExpr("'2024-01-01 00:00:01,5 - ERROR - Error processing x' || id AS line")
+    assert alerts.log_alerts(many, as_of).count() == 500
     assert [r.line[:19] for r in text_log.log_tail(lines, 1).collect()] == ["2024-01-01 00:00:02"]
 
 

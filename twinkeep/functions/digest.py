@@ -4,14 +4,16 @@ Two rows have the same digest when they agree after these foldings:
 
 * NULL, ``''`` and NaN are the same value;
 * ``-0.0`` is ``0.0``;
-* numbers compare by value (``1``, ``1.0``, decimal ``1.00``);
+* numbers compare by value (``1``, ``1.0``, decimal ``1.00``), and where one side is a whole
+  number or decimal of more than 15 digits and the other floating point, digit by digit;
 * dates and timestamps compare as points in time, without zone.
 
 Both sides are first cast to one type per column, so the digest does not depend
 on how each side happens to store a value. The digest is two seeded 64-bit
 hashes of the typed values, so it never renders a number as text, stays in
 generated code, and moves 16 bytes per row through a shuffle. The hash function
-skips NULLs, so whether each value is NULL is hashed as well.
+skips NULLs, so whether each value is NULL is hashed as well. Values inside arrays, maps
+and structs are not folded: they compare as their JSON text.
 """
 
 from __future__ import annotations
@@ -52,6 +54,14 @@ def _decimal_shape(kind: T.DataType) -> tuple[int, int]:
     return _INTEGRAL_DIGITS.get(type(kind), 1), 0
 
 
+#: Decimal digits that every double keeps.
+_EXACT_DIGITS = 15
+
+
+def _digits(kind: T.DataType) -> int:
+    return 0 if isinstance(kind, _FRACTIONAL) else sum(_decimal_shape(kind))
+
+
 def comparison_type(left: T.DataType, right: T.DataType) -> T.DataType:
     """The type in which values of two column types are compared."""
     if isinstance(left, _NESTED) or isinstance(right, _NESTED):
@@ -63,8 +73,10 @@ def comparison_type(left: T.DataType, right: T.DataType) -> T.DataType:
     if _is_number(left) and _is_number(right):
         if left == right and not isinstance(left, _FRACTIONAL):
             return left
-        if isinstance(left, _FRACTIONAL) or isinstance(right, _FRACTIONAL):
+        if isinstance(left, _FRACTIONAL) and isinstance(right, _FRACTIONAL):
             return T.DoubleType()
+        if isinstance(left, _FRACTIONAL) or isinstance(right, _FRACTIONAL):
+            return T.StringType() if max(map(_digits, (left, right))) > _EXACT_DIGITS else T.DoubleType()
         if isinstance(left, T.DecimalType) or isinstance(right, T.DecimalType):
             whole = max(_decimal_shape(left)[0], _decimal_shape(right)[0])
             scale = max(_decimal_shape(left)[1], _decimal_shape(right)[1])
@@ -107,11 +119,22 @@ def _as_text(column: str, kind: T.DataType) -> str:
     if isinstance(kind, _NESTED):
         return f"to_json({column}, {_WITH_NULLS})"
     text = f"CAST({column} AS STRING)"
+    if isinstance(kind, _FRACTIONAL):
+        # A whole number as a whole number's text; any other value can only equal a double.
+        whole = f"{column} = floor({column}) AND abs({column}) < 1e37D"
+        return f"CASE WHEN {whole} THEN CAST(CAST({column} AS DECIMAL(38, 0)) AS STRING) ELSE {_short(column)} END"
     if isinstance(kind, T.DecimalType) and kind.scale > 0:
         return rf"regexp_replace({text}, r'\.?0+$', '')"
     return text
 
 
+def _short(column: str) -> str:
+    """A fraction as a decimal of the digits a double keeps, or as its own text."""
+    exact = f"TRY_CAST({column} AS DECIMAL(38, 18))"
+    plain = rf"regexp_replace(CAST({exact} AS STRING), r'\.?0+$', '')"
+    return f"CASE WHEN CAST({exact} AS DOUBLE) = {column} THEN {plain} ELSE CAST({column} AS STRING) END"
+
+
 def normalised(df: DataFrame, shared: SharedColumn) -> str:
     """SQL text of the value that is hashed for one column of ``df``."""
     column = identifier(shared.name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,3 +67,11 @@ def target_table(server: str, database: str, table: str) -> str:
     return identifier(
         namespace_text(server, database), re.sub("[-. ]", "_", "_".join(split_text(table)))
     )
+
+
+def shared_targets(server: str, database: str, tables: Iterable[str]) -> dict[str, list[str]]:
+    """Target tables that more than one of ``tables`` maps to, with those tables."""
+    by_target: dict[str, list[str]] = {}
+    for name in tables:
+        by_target.setdefault(target_table(server, database, name).lower(), []).append(name)
+    return {target: names for target, names in by_target.items() if len(names) > 1}

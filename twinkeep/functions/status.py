@@ -86,3 +86,8 @@ def epoch_millis(at: Column) -> Column:
 def printable(at: Column) -> Column:
     """A time without zone to the second, as text."""
     return F.substring(at.cast("string"), 1, 19)
+
+
+def is_completed(status: Column) -> Column:
+    """Whether a run came to its end, with or without warnings; one without a status did."""
+    return severity(status).isin("INFO", "WARNING")

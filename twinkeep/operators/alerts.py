@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinkeep.functions.fixed import LOG_TAIL_LINES, RECENT_SESSIONS, STALE_HOURS
+from twinkeep.functions.fixed import RECENT_SESSIONS, STALE_HOURS
 from twinkeep.functions.names import qualified
 from twinkeep.functions.status import (
     count_status,
@@ -19,7 +19,7 @@ from twinkeep.functions.status import (
 )
 from twinkeep.operators.ledger import DATABASE_KEY, failed_syncs, matching, newest_per_key
 from twinkeep.operators.logs import is_error_line
-from twinkeep.sources.text_log import log_tail
+from twinkeep.sources.text_log import log_tail, logged_at
 
 
 def _no_text() -> Column:
@@ -121,9 +121,17 @@ def job_alerts(jobs: DataFrame) -> DataFrame:
     )
 
 
-def log_alerts(lines: DataFrame, tail: int = LOG_TAIL_LINES) -> DataFrame:
-    """Error lines among the newest ``tail`` lines of the log."""
-    return log_tail(lines, tail).where(is_error_line(F.col("line"))).select(
+def log_alerts(
+    lines: DataFrame, as_of: str, hours: int = STALE_HOURS, tail: int | None = None
+) -> DataFrame:
+    """Error lines of the last ``hours`` before ``as_of``, and those without a time; with
+    ``tail`` only those among the newest lines of the whole log."""
+    end, at = F.lit(as_of).cast("timestamp_ntz"), logged_at(F.col("line"))
+    chosen = lines if tail is None else log_tail(lines, tail)
+    recent = at.isNull() | (
+        (at <= end) & (at >= end - F.make_dt_interval(hours=F.lit(hours)))
+    )
+    return chosen.where(is_error_line(F.col("line")) & recent).select(
         _alert(F.lit("CRITICAL"), F.trim("line"), "log")
     )
 
@@ -144,7 +152,7 @@ def alerts_with_severity(
         state_alerts(matching(state, **of_database), as_of),
         consistency_alerts(matching(snapshots, **of_database)),
         job_alerts(matching(jobs, server_name=server)),
-        log_alerts(lines),
+        log_alerts(lines, as_of),
     )
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -28,6 +28,43 @@ def delta_summary(source: DataFrame, destination: DataFrame) -> DataFrame:
     )
 
 
+TablePair = tuple[DataFrame, DataFrame] | Callable[[], tuple[DataFrame, DataFrame]]
+
+
+def opened(
+    pairs: Mapping[str, TablePair],
+) -> tuple[dict[str, tuple[DataFrame, DataFrame]], dict[str, str]]:
+    """Pairs whose two sides can be opened and give a row, and the errors of the others.
+    A pair may be given as a function, so that what fails in it is its own error."""
+    good, errors = {}, {}
+    for name, given in pairs.items():
+        try:
+            pair = given() if callable(given) else given
+            for side in pair:
+                side.limit(1).isEmpty()
+            good[name] = pair
+        except Exception as problem:  # the row of the table carries it
+            errors[name] = str(problem)
+    return good, errors
+
+
+def with_errors(found: DataFrame, errors: Mapping[str, str]) -> DataFrame:
+    """``found`` with the column ``error`` and a row of zeros per failed table."""
+    spark = found.sparkSession
+    failed = spark.createDataFrame(list(errors.items()), "table_name string, error string")
+    rest = [F.lit(0).cast(t).alias(c) for c, t in found.dtypes if c != "table_name"]
+    whole = found.withColumn("error", F.lit(None).cast("string"))
+    return whole.unionByName(failed.select("table_name", *rest, "error"))
+
+
+def table_deltas_or_errors(pairs: Mapping[str, TablePair]) -> DataFrame:
+    """``table_deltas`` of the tables that open, and a row with its error for each other."""
+    good, errors = opened(pairs)
+    if not good:
+        raise RuntimeError(f"no table could be opened: {errors}")
+    return with_errors(table_deltas(good), errors)
+
+
 def table_deltas(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Deltas of many tables in one job: the digests of all tables in long form,
     counted per (table, digest) in one shuffle, then per table."""

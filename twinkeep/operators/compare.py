@@ -15,7 +15,7 @@ bounds how many there can be), so those are broadcast and bypass the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row
@@ -136,6 +136,13 @@ class Differences:
     path: str
     broadcast_digests: int = BROADCAST_DIGESTS
     hot_copies: int = HOT_COPIES
+    one_sided: bool = False
+
+    def release(self) -> None:
+        """Delete the stored digests; rows can't be fetched afterwards."""
+        spark = self.source.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @cached_property
     def digests(self) -> DataFrame:
@@ -197,7 +204,10 @@ class Differences:
         return self._rows(self.source, MISSING, "source")
 
     def extra(self) -> DataFrame:
-        """Destination rows, copies included, that the source lacks."""
+        """Destination rows, copies included, that the source lacks. A comparison of few
+        rows with a large table never looked for them."""
+        if self.one_sided:
+            raise ValueError("a comparison from few rows finds missing rows only")
         return self._rows(self.destination, EXTRA, "destination")
 
 
@@ -242,7 +252,8 @@ def find_differences(
 
     With ``bucket`` (a column computed alike on both sides, say a key), first
     fingerprint the table per bucket without shuffling rows, and compare only
-    buckets that differ. That pays when few rows changed.
+    buckets that differ. That pays when few rows changed. Choose ``buckets`` so that one
+    holds some 100,000 rows: their number bounds what is written in between.
     """
     shared = shared_columns(source, destination, columns)
     if not shared:
@@ -255,12 +266,13 @@ def find_differences(
             bucket_fingerprints(source, destination, numbered, shared)
             .where(~F.col("is_equal"))
             .select("bucket")
-            .coalesce(1)
+            .hint("rebalance")
             .write.parquet(path)
         )
         changed = source.sparkSession.read.schema("bucket bigint").parquet(path)
-        left = _in_buckets(source, numbered, changed)
-        right = _in_buckets(destination, numbered, changed)
+        few = changed.count() <= broadcast_digests
+        left = _in_buckets(source, numbered, changed, few)
+        right = _in_buckets(destination, numbered, changed, few)
     return _store(
         digest_counts(left, right, shared),
         left,
@@ -306,7 +318,8 @@ def differences_from_few(
     counts = wanted.join(hits.withColumn("_hit", F.lit(True)), DIGEST, "left").select(
         *DIGEST, "n_source", found.alias("n_destination")
     )
-    return _store(counts, rows, existing, shared, hot_copies, broadcast_digests)
+    found = _store(counts, rows, existing, shared, hot_copies, broadcast_digests)
+    return replace(found, one_sided=True)
 
 
 def missing_rows(source: DataFrame, destination: DataFrame) -> DataFrame:
@@ -365,11 +378,13 @@ def _bucket_number(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 
 
-def _in_buckets(df: DataFrame, number: Column, changed: DataFrame) -> DataFrame:
-    """Rows of the changed buckets; at most one small row per bucket is broadcast."""
+def _in_buckets(df: DataFrame, number: Column, changed: DataFrame, few: bool) -> DataFrame:
+    """Rows of the changed buckets; one small row per bucket is broadcast while they are few."""
     numbered = df.withColumn("_bucket", number)
-    few = F.broadcast(changed.withColumnRenamed("bucket", "_bucket"))
-    return numbered.join(few, "_bucket", "left_semi").drop("_bucket")
+    wanted = changed.withColumnRenamed("bucket", "_bucket")
+    if few:
+        wanted = F.broadcast(wanted)
+    return numbered.join(wanted, "_bucket", "left_semi").drop("_bucket")
 
 
 _PIECE = 21

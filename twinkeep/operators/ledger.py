@@ -20,7 +20,10 @@ from twinkeep.functions.fixed import (
     TABLE_HISTORY_ROWS,
 )
 from twinkeep.functions.names import qualified
-from twinkeep.functions.status import ever_synced, printable
+from twinkeep.functions.status import ever_synced, is_completed, printable
+
+#: Spark prunes ranks before a shuffle up to this limit; beyond it a key's rows meet in one task.
+MOST_PER_KEY = 1000
 
 DATABASE_KEY = ["server_name", "database_name"]
 TABLE_KEY = ["server_name", "database_name", "schema_name", "table_name"]
@@ -47,7 +50,9 @@ def newest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
 ) -> DataFrame:
     """The newest ``n`` rows of each key. Spark prunes each task to ``n`` rows
-    per key before the shuffle."""
+    per key before the shuffle, as long as ``n`` is at most ``MOST_PER_KEY``."""
+    if n > MOST_PER_KEY:
+        raise ValueError(f"at most {MOST_PER_KEY} rows per key; take the whole history instead")
     window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_place", F.row_number().over(window)).where(
         F.col("_place") <= n
@@ -59,17 +64,18 @@ def newest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def database_state(runs: DataFrame) -> DataFrame:
-    """One row per (server, database): a full run moves ``last_full_sync`` only,
-    any other run ``last_incremental_sync`` only; status, error and
-    ``updated_at`` are those of the newest run."""
+    """One row per (server, database): a completed full run moves ``last_full_sync`` only,
+    any other completed run ``last_incremental_sync`` only; a run that failed or is
+    under way moves neither. Status, error and ``updated_at`` are those of the newest run."""
     full = F.col("sync_type") == "full"
     at = F.col("updated_at")
+    done = is_completed(F.col("sync_status"))
     newest_run = F.max_by(F.struct("sync_status", "error"), F.struct("updated_at", "run_id"))
     return (
         runs.groupBy(*DATABASE_KEY)
         .agg(
-            F.max(F.when(full, at)).alias("last_full_sync"),
-            F.max(F.when(~full, at)).alias("last_incremental_sync"),
+            F.max(F.when(full & done, at)).alias("last_full_sync"),
+            F.max(F.when(~full & done, at)).alias("last_incremental_sync"),
             newest_run.alias("_newest"),
             F.min(at).alias("created_at"),
             F.max(at).alias("updated_at"),
@@ -112,11 +118,12 @@ def database_history(
     runs: DataFrame,
     server: str | None = None,
     database: str | None = None,
-    n: int = DATABASE_HISTORY_ROWS,
+    n: int | None = DATABASE_HISTORY_ROWS,
 ) -> DataFrame:
-    """The newest runs of each (server, database)."""
-    return newest_per_key(
-        matching(runs, server_name=server, database_name=database),
+    """The newest ``n`` runs of each (server, database), or all of them."""
+    chosen = matching(runs, server_name=server, database_name=database)
+    return chosen if n is None else newest_per_key(
+        chosen,
         DATABASE_KEY,
         ["updated_at", "run_id"],
         n,
@@ -127,14 +134,16 @@ def table_history(
     state: DataFrame,
     server: str | None = None,
     database: str | None = None,
-    n: int = TABLE_HISTORY_ROWS,
+    n: int | None = TABLE_HISTORY_ROWS,
 ) -> DataFrame:
-    """The most recently moved tables of each (server, database), from the table
-    state."""
+    """The ``n`` most recently moved tables of each (server, database), or all of them,
+    from the table state."""
     chosen = matching(state, server_name=server, database_name=database)
-    return newest_per_key(
-        chosen, DATABASE_KEY, ["updated_at", "schema_name", "table_name"], n
-    ).withColumn("table_fq", qualified(F.col("schema_name"), F.col("table_name")))
+    if n is not None:
+        chosen = newest_per_key(
+            chosen, DATABASE_KEY, ["updated_at", "schema_name", "table_name"], n
+        )
+    return chosen.withColumn("table_fq", qualified(F.col("schema_name"), F.col("table_name")))
 
 
 def table_sync_history(runs: DataFrame, n: int = ONE_TABLE_HISTORY_ROWS) -> DataFrame:

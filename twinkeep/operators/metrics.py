@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinkeep.functions.names import qualified
 from twinkeep.functions.status import delta_count, difference_sign, ever_synced, sync_badge
+from twinkeep.operators.changes import TablePair, opened
 
 FLEET_KEY = ["server_name", "database_name", "table_name"]
 
@@ -15,6 +19,27 @@ def _total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
 
+def counts_of_tables(pairs: Mapping[tuple[str, str, str], TablePair]) -> DataFrame:
+    """Long-form counts of table pairs by (server, database, table): a row per side with
+    ``n`` rows, or with its ``error`` where the pair can't be opened. One job counts all."""
+    keys = {f"{k}": key for k, key in enumerate(pairs)}
+    good, errors = opened({k: pairs[key] for k, key in keys.items()})
+    parts = [
+        df.agg(F.count("*").alias("n")).select(
+            *[F.lit(v).alias(c) for c, v in zip(FLEET_KEY, keys[k])],
+            F.lit(side).alias("side"), "n", F.lit(None).cast("string").alias("error"),
+        )
+        for k, pair in good.items()
+        for side, df in zip(("src", "dst"), pair)
+    ]
+    if errors:
+        spark = SparkSession.active()
+        rows = [(*keys[k], side, 0, e) for k, e in errors.items() for side in ("src", "dst")]
+        schema = ", ".join(f"{c} string" for c in FLEET_KEY)
+        parts.append(spark.createDataFrame(rows, f"{schema}, side string, n bigint, error string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def paired_counts(counts: DataFrame) -> DataFrame:
     """Long-form counts (``side`` is src or dst, ``n`` rows) as one row per table."""
     side, n = F.col("side"), F.col("n")

@@ -7,9 +7,10 @@ sides before it appends.
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -19,20 +20,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinkeep.functions.digest import shared_columns
-from twinkeep.functions.fixed import SYSTEM_DATABASES, SYSTEM_SCHEMA, SYSTEM_TABLES
+from twinkeep.functions.fixed import (
+    ID_TYPES,
+    SYSTEM_DATABASES,
+    SYSTEM_SCHEMA,
+    SYSTEM_TABLES,
+    TIME_TYPES,
+)
 from twinkeep.functions.names import (
     clean_text,
     identifier,
     namespace_text,
+    shared_targets,
     split_text,
     target_table,
 )
 from twinkeep.operators.compare import MISSING, Differences, differences_from_few, find_differences
 from twinkeep.operators.ledger import database_state, matching, table_state
-from twinkeep.sources.ledger_tables import DATABASE_RUNS, TABLE_RUNS, append_rows
+from twinkeep.sources.ledger_tables import DATABASE_RUNS, RUN_LOG, TABLE_RUNS, append_rows
 from twinkeep.sources.sinks import append_evolving, ensure_namespace
 from twinkeep.sources.tables import table_or_empty
 
+#: Outcomes appended to the ledger at once.
+LEDGER_BATCH = 50
+
 SourceTable = DataFrame | Callable[[], DataFrame]
 
 
@@ -221,13 +232,20 @@ def sync_database(
     server: str,
     database: str,
     tables: Mapping[str, SourceTable],
-    sync_columns: Mapping[str, str],
+    sync_columns: Mapping[str, str] | None = None,
     target_root: str | None = None,
     at_once: int = 4,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Bring every table of a database up to date: in full the first time, then
     incrementally. Gives one outcome row per table, as appended to the ledger.
 
+    Without ``sync_columns`` each table's own columns decide, by the rule of
+    ``choose_sync_column``; ``keys`` lists key columns (table_name, column_name,
+    pk_position) with tables named as in ``tables``. Two tables with one target both fail.
+    Outcomes are appended ``LEDGER_BATCH`` at a time as tables finish; one that a crash
+    loses is found again by the next run, which compares before it appends.
+
     Tables are independent Spark jobs, ``at_once`` of them at a time; one that
     fails leaves an outcome with its error and does not stop the others. A table
     given as a function is opened inside its own job, so a source that cannot be
@@ -245,24 +263,45 @@ def sync_database(
     chosen = [name for name in tables if not is_system_table(name)]
     last = last_watermarks(state, server, database)
 
+    clashes = {
+        name: target
+        for target, names in shared_targets(server, database, chosen).items()
+        for name in names
+    }
+    pk = {} if keys is None else _key_columns(keys)
+
     @inheritable_thread_target(spark)
     def run(name: str) -> dict[str, object]:
+        schema, table = split_text(name)
         target = target_table(server, database, name)
-        row: dict[str, object] = {"sync_status": "COMPLETED", "error": None}
+        row: dict[str, object] = {
+            "server_name": server,
+            "database_name": database,
+            "schema_name": schema,
+            "table_name": table,
+            "sync_status": "COMPLETED",
+            "error": None,
+        }
         try:
+            if name in clashes:
+                raise ValueError(f"other tables have the target {clashes[name]} too")
             given = tables[name]
             source = given if isinstance(given, DataFrame) else given()
+            if sync_columns is None:
+                column = sync_column_of(source, pk.get(name, ()))
+            else:
+                column = sync_columns.get(name)
             if sync_type == "full" and not spark.catalog.tableExists(target):
-                done = full_sync(spark, source, target, sync_columns.get(name))
+                done = full_sync(spark, source, target, column)
             else:
                 done = incremental_sync(
-                    spark,
-                    source,
-                    target,
-                    sync_columns.get(name),
-                    last.get(".".join(split_text(name))),
+                    spark, source, target, column, last.get(".".join(split_text(name)))
                 )
-            row |= {"route": done.route, "rows_written": done.rows_written}
+            row |= {
+                "route": done.route,
+                "rows_written": done.rows_written,
+                "added_columns": ",".join(done.added_columns) or None,
+            }
             if done.watermark:
                 row |= {
                     "last_pk_value": done.watermark.text,
@@ -270,22 +309,19 @@ def sync_database(
                 }
         except Exception as problem:  # the outcome row carries it
             row |= {"sync_status": "FAILED", "error": str(problem), "rows_written": 0}
-        return row
+        return row | {"updated_at": _now()}
 
-    outcomes = []
+    outcomes, waiting = [], []
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for name, row in zip(chosen, pool.map(run, chosen)):
-            schema, table = split_text(name)
-            row |= {
-                "server_name": server,
-                "database_name": database,
-                "schema_name": schema,
-                "table_name": table,
-                "updated_at": _now(),
-            }
-            append_rows(spark, ledger, TABLE_RUNS, [row])
-            outcomes.append(row)
+        for done in as_completed([pool.submit(run, name) for name in chosen]):
+            waiting.append(done.result())
+            if len(waiting) == LEDGER_BATCH:
+                append_rows(spark, ledger, TABLE_RUNS, waiting)
+                outcomes, waiting = outcomes + waiting, []
+    append_rows(spark, ledger, TABLE_RUNS, waiting)
+    outcomes += waiting
     failed = [o for o in outcomes if o["sync_status"] == "FAILED"]
+    status = "FAILED" if failed else "COMPLETED"
     append_rows(
         spark,
         ledger,
@@ -295,24 +331,48 @@ def sync_database(
                 "server_name": server,
                 "database_name": database,
                 "sync_type": sync_type,
-                "sync_status": "FAILED" if failed else "COMPLETED",
+                "sync_status": status,
                 "error": str(failed[0]["error"]) if failed else None,
                 "updated_at": _now(),
             }
         ],
     )
+    details = f"{database}: {len(outcomes) - len(failed)} of {len(outcomes)} tables"
+    entry = {"server_name": server, "sync_time": _now(), "status": status, "details": details}
+    append_rows(spark, ledger, RUN_LOG, [entry])
     return _outcome_frame(spark, outcomes)
 
 
+def _key_columns(keys: DataFrame) -> dict[str, list[str]]:
+    """Key columns by table, in key order: a few rows per table."""
+    found: dict[str, list[str]] = {}
+    for r in keys.orderBy("table_name", "pk_position").collect():
+        found.setdefault(r.table_name, []).append(r.column_name)
+    return found
+
+
+def sync_column_of(source: DataFrame, keys: Sequence[str] = ()) -> str | None:
+    """The sync column of one table by the rule of ``choose_sync_column``: the first key
+    column, else a time, else an identifier, each by name."""
+    times, ids = [], []
+    for f in source.schema:
+        kind = re.sub("_(ntz|ltz)$", "", f.dataType.simpleString())
+        times += [f.name] * (kind in TIME_TYPES)
+        ids += [f.name] * (kind in ID_TYPES)
+    own = [k for k in keys if k in source.columns]
+    return next(iter([*own[:1], *sorted(times), *sorted(ids)]), None)
+
+
 @dataclass(frozen=True)
 class SourceDatabase:
     """One database to bring up to date: its tables by ``schema.table`` and the
-    sync column of those that have one."""
+    sync column of those that have one (without, each table's own columns decide)."""
 
     server: str
     database: str
     tables: Mapping[str, SourceTable]
-    sync_columns: Mapping[str, str] = field(default_factory=dict)
+    sync_columns: Mapping[str, str] | None = None
+    keys: DataFrame | None = None
 
 
 def sync_fleet(
@@ -340,13 +400,15 @@ def sync_fleet(
                 source.sync_columns,
                 target_root,
                 at_once,
+                source.keys,
             )
         )
     return outcomes
 
 
 _OUTCOME = """server_name string, database_name string, schema_name string, table_name string,
-    route string, rows_written bigint, last_pk_value string, sync_status string, error string"""
+    route string, rows_written bigint, last_pk_value string, sync_status string, error string,
+    added_columns string"""
 
 
 def _outcome_frame(spark: SparkSession, outcomes: Iterable[Mapping[str, object]]) -> DataFrame:

@@ -110,10 +110,12 @@ _SQL["duplicate_rows"] = (
     + f"""SELECT {_ORDER_COLUMNS}, count(*) - 1 AS later_copies
 FROM (SELECT {_FOLDED} FROM replica_dst) GROUP BY ALL HAVING count(*) > 1"""
 )
-_SQL["duplicate_counts"] = """
+_SQL["duplicate_counts"] = as_ctes("replica_dst") + """
 SELECT copies, count(*) AS different_rows FROM (
-    SELECT count(*) AS copies FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)
+    SELECT count(*) AS copies FROM replica_dst GROUP BY o_orderkey, o_custkey, o_orderstatus,
+        o_totalprice, o_orderdate, o_orderpriority)
 GROUP BY copies"""
+
 _SQL["bucket_check"] = (
     _PAIR_COUNTS
     + """SELECT o_orderkey % 64 AS bucket, CAST(sum(s) AS BIGINT) AS rows_source,
@@ -151,6 +153,21 @@ _SQL["top_changed_totals"] = (
     CAST(sum(total_source_rows) AS BIGINT) AS total_source_rows,
     CAST(sum(total_destination_rows) AS BIGINT) AS total_destination_rows FROM deltas"""
 )
+_SQL["top_changed_with_errors"] = (
+    _DELTAS
+    + """, listed AS (SELECT *, false AS failed FROM deltas UNION ALL SELECT 'absent', 0, 0, 0, true),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY delta_count DESC, table_name) AS INTEGER) AS rank
+    FROM listed)
+SELECT *, rank <= 3 AS is_top FROM ranked"""
+)
+_SQL["fleet_counts_of_tables"] = (
+    _DELTAS
+    + """SELECT 'srv_' || (k % 2) AS server_name, 'db_' || (k % 3) AS database_name, table_name,
+    total_source_rows AS rows_source, total_destination_rows AS rows_destination, false AS failed
+FROM deltas JOIN (VALUES ('orders', 0), ('lineitem', 1), ('customer', 2), ('part', 3), ('supplier', 4))
+    AS n(table_name, k) USING (table_name)
+UNION ALL SELECT 'srv_0', 'db_0', 'absent', 0, 0, true"""
+)
 _BADGE = """CASE WHEN total_source_rows = total_destination_rows THEN 'Synced'
     WHEN total_destination_rows = 0 THEN 'Not Synced' ELSE 'Partial' END AS badge"""
 _FLEET = (
@@ -219,8 +236,12 @@ _STATE_TAIL = """, newest_run AS (SELECT * FROM (SELECT *, row_number() OVER (
 state AS (SELECT a.server_name, a.database_name, a.last_full_sync, a.last_incremental_sync,
     n.sync_status, n.error, a.created_at, a.updated_at
 FROM (SELECT server_name, database_name,
-        max(CASE WHEN sync_type = 'full' THEN updated_at END) AS last_full_sync,
-        max(CASE WHEN sync_type <> 'full' THEN updated_at END) AS last_incremental_sync,
+        max(CASE WHEN sync_type = 'full' AND (coalesce(sync_status, '') IN ('', 'COMPLETED')
+            OR upper(sync_status) LIKE '%WARNING%' AND upper(sync_status) NOT LIKE '%FAILED%')
+            THEN updated_at END) AS last_full_sync,
+        max(CASE WHEN sync_type <> 'full' AND (coalesce(sync_status, '') IN ('', 'COMPLETED')
+            OR upper(sync_status) LIKE '%WARNING%' AND upper(sync_status) NOT LIKE '%FAILED%')
+            THEN updated_at END) AS last_incremental_sync,
         min(updated_at) AS created_at, max(updated_at) AS updated_at
     FROM run_ledger GROUP BY server_name, database_name) a
 JOIN newest_run n USING (server_name, database_name))
@@ -270,6 +291,12 @@ _FAILED = """SELECT 'failure' AS type, server_name, database_name, last_full_syn
     'Database sync not completed' AS message
 FROM state WHERE sync_status IS NOT NULL AND sync_status <> 'COMPLETED'"""
 _SQL["failed_syncs"] = _STATE + _FAILED
+_SQL["failed_syncs_of_server"] = (
+    _STATE + f"SELECT * FROM ({_FAILED}) WHERE server_name = 'srv_1'"
+)
+_SQL["history_of_server"] = (
+    "SELECT * FROM (" + _SQL["database_history"] + ") WHERE server_name = 'srv_2'"
+)
 _SEVERITY = """CASE WHEN sync_status IS NULL OR sync_status IN ('', 'COMPLETED') THEN 'INFO'
     WHEN upper(sync_status) LIKE '%FAILED%' THEN 'CRITICAL'
     WHEN upper(sync_status) LIKE '%WARNING%' THEN 'WARNING' ELSE 'HIGH' END"""
@@ -308,14 +335,14 @@ _SQL["run_log_details"] = (
 _SQL["report_union"] = (
     as_ctes("run_ledger", "table_ledger")
     + _TABLE_TAIL
-    + f"""SELECT run_id, server_name, database_name, sync_type, sync_status, error, updated_at,
+    + """SELECT run_id, server_name, database_name, sync_type, sync_status, error, updated_at,
     NULL AS schema_name, NULL AS table_name, NULL AS last_pk_value, NULL AS created_at,
     NULL AS table_fq
-FROM ({_newest("run_ledger", _DATABASE, _RUN_ORDER, 100)})
+FROM run_ledger
 UNION ALL
 SELECT NULL, server_name, database_name, NULL, NULL, NULL, updated_at, schema_name, table_name,
     last_pk_value, created_at, schema_name || '.' || table_name
-FROM ({_newest("table_now", _DATABASE, _MOVED_ORDER, 500)})"""
+FROM table_now"""
 )
 _SQL["report_csv_export"] = _SQL["report_union"]
 _SQL["report_json_export"] = _SQL["report_union"]
@@ -372,7 +399,18 @@ SELECT 'sales' AS database_name,
        + (EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate >= {_CUT}))::INT
        + (EXISTS (SELECT 1 FROM events))::INT AS BIGINT) AS processed,
     CAST(4 AS BIGINT) AS tables"""
+_SQL["added_columns_ledger"] = """
+SELECT * FROM (VALUES ('orders', 'full', NULL, 'COMPLETED'), ('orders', 'range', 'o_discounted', 'COMPLETED'))
+    AS t(table_name, route, added_columns, sync_status)"""
+_SQL["fleet_outcomes"] = """
+SELECT server, database_name, table_name, 'full' AS route, rows_written, 'COMPLETED' AS sync_status
+FROM (VALUES ('one', 'sales'), ('one', 'stock'), ('two', 'sales')) AS d(server, database_name),
+    (SELECT 'orders' AS table_name, count(*) AS rows_written FROM orders
+     UNION ALL SELECT 'customer', count(*) FROM customer)"""
 _SQL["csv_tree_load"] = "SELECT * FROM customer"
+_SQL["csv_documents_load"] = "SELECT * FROM documents"
+_SQL["csv_pages_load"] = "SELECT * FROM pages"
+_SQL["csv_conversations_load"] = "SELECT * FROM conversations"
 _SQL["header_export"] = f"""SELECT '{_ORDER_COLUMNS.replace(" ", "")}' AS header,
     count(*) AS total_rows FROM orders"""
 
@@ -417,9 +455,9 @@ UNION ALL SELECT 'WARNING', 'Stale sync (' || CAST(age_hours AS VARCHAR) || 'h)'
 UNION ALL SELECT 'HIGH', 'Schedule failed (' || job_type || '): ' || coalesce(error, ''),
     server_name, NULL, NULL, NULL, 'schedule' FROM jobs WHERE status = 'failed'
 UNION ALL SELECT 'CRITICAL', trim(line), NULL, NULL, NULL, NULL, 'log'
-FROM (SELECT line FROM log_lines
-    ORDER BY CAST(split_part(line, ' - ', 1) AS TIMESTAMP) DESC, line DESC LIMIT 200)
-WHERE line LIKE '%Error processing%' OR line LIKE '%Failed to sync/load%')
+FROM log_lines WHERE (line LIKE '%Error processing%' OR line LIKE '%Failed to sync/load%')
+    AND CAST(split_part(line, ' - ', 1) AS TIMESTAMP)
+        BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS AND TIMESTAMP '{AS_OF}')
 """
 _SQL["alerts_with_severity"] = _ALL + _ALERTS + "SELECT * FROM alerts"
 _SQL["alert_counts"] = (
@@ -500,6 +538,12 @@ FROM log_lines WHERE line LIKE '%Added columns on %')
 SELECT "timestamp", object, added_columns,
     'Columns added to ' || object || ': ' || shown AS message FROM found"""
 )
+_SQL["schema_events_of_table"] = (
+    "SELECT * FROM (" + _SQL["schema_events"] + ") WHERE object LIKE '%t3%'"
+)
+_SQL["primary_key_columns"] = """
+SELECT * FROM (VALUES ('orders', 'o_orderkey', CAST(1 AS INTEGER)), ('lineitem', 'l_orderkey', 1),
+    ('lineitem', 'l_partkey', 3), ('lineitem', 'l_suppkey', 2)) AS k(table_name, column_name, pk_position)"""
 _CATEGORY = """CASE WHEN lower({0}) LIKE '%timeout%' OR lower({0}) LIKE '%timed out%'
         THEN 'connection_timeout'
     WHEN lower({0}) LIKE '%could not connect%' OR lower({0}) LIKE '%connection refused%'

@@ -123,9 +123,7 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.duplicate_counts(
-        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_quantity"]
-    )
+    return compare.duplicate_counts(derived(spark, sf, "replica_dst"))
 
 
 @query
@@ -169,6 +167,62 @@ def top_changed_totals(spark: SparkSession, sf: str) -> DataFrame:
     return changes.changed_totals(changes.table_deltas(_pairs(spark, sf)))
 
 
+def _unreadable(spark: SparkSession):
+    """A pair whose source is not there."""
+    return lambda: (spark.read.parquet(work_path(spark, "absent")), spark.range(1).toDF("k"))
+
+
+@query
+def top_changed_with_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """One unreadable table: its row carries an error, the others their deltas."""
+    found = changes.table_deltas_or_errors(_pairs(spark, sf) | {"absent": _unreadable(spark)})
+    ranked = changes.top_changed_tables(found)
+    return ranked.withColumn("failed", F.col("error").isNotNull()).drop("error")
+
+
+@query
+def fleet_counts_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of real table pairs, rolled up."""
+    pairs = {
+        (f"srv_{k % 2}", f"db_{k % 3}", name): pair
+        for k, (name, pair) in enumerate(_pairs(spark, sf).items())
+    }
+    pairs[("srv_0", "db_0", "absent")] = _unreadable(spark)
+    counts = metrics.counts_of_tables(pairs)
+    totals = metrics.paired_counts(counts)
+    failed = counts.groupBy(*metrics.FLEET_KEY).agg(F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    return totals.join(failed, metrics.FLEET_KEY)
+
+
+@query
+def failed_syncs_of_server(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.failed_syncs(_state(spark, sf), server="srv_1")
+
+
+@query
+def history_of_server(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.database_history(derived(spark, sf, "run_ledger"), server="srv_2")
+
+
+@query
+def schema_events_of_table(spark: SparkSession, sf: str) -> DataFrame:
+    events = logs.schema_change_events(_logged(spark, sf), database="t3")
+    return events.withColumn("added_columns", F.concat_ws(",", "added_columns"))
+
+
+@query
+def primary_key_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Key columns of a constraint listing, made of the listing of columns."""
+    given = {n: table(spark, sf, n) for n in ("orders", "lineitem", "part", "events")}
+    usage = tables.column_metadata(spark, given).where("column_name RLIKE 'key$' AND column_name <> 'o_custkey'").select(
+        "table_name",
+        "column_name",
+        F.concat(F.when(F.col("table_name") == "part", "FK_").otherwise("PK_"), "table_name").alias("constraint_name"),
+        F.instr(F.lit("l_orderkey l_suppkey l_partkey"), F.col("column_name")).alias("ordinal_position"),
+    )
+    return schema.primary_keys(usage)
+
+
 @query
 def table_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.table_metrics(
@@ -289,8 +343,8 @@ def run_log_details(spark: SparkSession, sf: str) -> DataFrame:
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.history_report(
-        ledger.database_history(derived(spark, sf, "run_ledger"), n=100),
-        ledger.table_history(ledger.table_state(derived(spark, sf, "table_ledger")), n=500),
+        ledger.database_history(derived(spark, sf, "run_ledger"), n=None),
+        ledger.table_history(ledger.table_state(derived(spark, sf, "table_ledger")), n=None),
     )
 
 
@@ -411,24 +465,82 @@ def sync_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def added_columns_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The sync column by rule from a key listing; the second run finds a new column and
+    notes it."""
+    name, root = _namespace(spark)
+    create_ledgers(spark, name)
+    server = f"srv-{uuid.uuid4().hex}"
+    keys = spark.createDataFrame(
+        [("dbo.orders", "o_orderkey", 1)], "table_name string, column_name string, pk_position int"
+    )
+    orders, wider = table(spark, sf, "orders"), derived(spark, sf, "evolved_src")
+    for given in (orders.where("o_orderkey < 1000"), wider.where("o_orderkey >= 1000")):
+        sync.sync_database(
+            spark, name, server, "sales", {"dbo.orders": given}, target_root=root, keys=keys
+        )
+    return spark.table(f"{name}.{TABLE_RUNS}").select("table_name", "route", "added_columns", "sync_status")
+
+
+@query
+def fleet_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """A fleet of two servers; system and skipped databases are left out."""
+    name, root = _namespace(spark)
+    create_ledgers(spark, name)
+    tag = uuid.uuid4().hex
+    given = {f"dbo.{n}": table(spark, sf, n) for n in ("orders", "customer")}
+    sources = [
+        sync.SourceDatabase(f"{server}-{tag}", database, given)
+        for server in ("one", "two")
+        for database in ("sales", "stock", "master")
+    ]
+    done = sync.sync_fleet(spark, name, sources, {f"two-{tag}": ["stock"]}, root)
+    return done.select(
+        F.substring_index("server_name", "-", 1).alias("server"), "database_name", "table_name",
+        "route", "rows_written", "sync_status",
+    )
+
+
 @query
 def tables_processed(spark: SparkSession, sf: str) -> DataFrame:
     _, outcomes = _twice_synced(spark, sf)
     return sync.tables_processed(outcomes).select("database_name", "processed", "tables")
 
 
-@query
-def csv_tree_load(spark: SparkSession, sf: str) -> DataFrame:
-    customer, root = table(spark, sf, "customer"), work_path(spark, "exports")
+def _through_csv(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table exported as CSV and loaded again."""
+    given, root = table(spark, sf, name), work_path(spark, "exports")
     folder = f"srv-{uuid.uuid4().hex[:8]} x"
-    sinks.export_report(customer, f"{root}/{folder}/dbo_customer.csv")
-    ddl = ", ".join(f"{n} {t}" for n, t in customer.dtypes)
+    sinks.export_report(given, f"{root}/{folder}/dbo_{name}.csv")
+    ddl = ", ".join(f"{n} {t}" for n, t in given.dtypes)
     done = csv_tree.load_csv_tree(
-        spark, root, work_path(spark, "tables"), {"dbo_customer": ddl}
+        spark, root, work_path(spark, "tables"), {f"dbo_{name}": ddl}
     ).first()
     return spark.table(f"{done.namespace}.{done.table_name}")
 
 
+@query
+def csv_tree_load(spark: SparkSession, sf: str) -> DataFrame:
+    return _through_csv(spark, sf, "customer")
+
+
+@query
+def csv_documents_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas."""
+    return _through_csv(spark, sf, "documents")
+
+
+@query
+def csv_pages_load(spark: SparkSession, sf: str) -> DataFrame:
+    return _through_csv(spark, sf, "pages")
+
+
+@query
+def csv_conversations_load(spark: SparkSession, sf: str) -> DataFrame:
+    return _through_csv(spark, sf, "conversations")
+
+
 @query
 def header_export(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of the header-only file, beside the rows the table has."""

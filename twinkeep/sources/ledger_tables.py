@@ -22,7 +22,7 @@ SCHEMAS: dict[str, str] = {
     TABLE_RUNS: """run_id bigint, server_name string, database_name string,
         schema_name string, table_name string, route string, rows_written bigint,
         last_pk_value string, last_pk_type string, sync_status string, error string,
-        updated_at timestamp_ntz""",
+        updated_at timestamp_ntz, added_columns string""",
     RUN_LOG: """run_id bigint, server_name string, sync_time timestamp_ntz,
         status string, details string""",
     JOB_RUNS: """run_id bigint, server_name string, job_type string,

@@ -68,11 +68,26 @@ TIME_FORMATS = {
 }
 
 
+#: How CSV files are written and read: quotes are doubled, blanks stay. NULL is nothing
+#: between the commas, the empty text a pair of quotes.
+CSV_FORMAT = {
+    "escape": '"',
+    "quote": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "",
+    "emptyValue": '""',
+}
+
+
 def export_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write report rows as CSV with a header or as JSON lines, times in full."""
+    """Write report rows as CSV with a header or as JSON lines, times in full.
+
+    A NULL and an empty text stay apart, but for a table of one text column: a line
+    with nothing on it is no row to any reader of CSV."""
     writer = rows.write.mode("overwrite").options(**TIME_FORMATS)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_FORMAT).option("header", True).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:
