@@ -6,7 +6,11 @@ needed: null ids, repeated rows and extra columns pass through as they are.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,7 @@ def append(
         kept = kept.withColumnsRenamed({c: f"__in_{c}" for c in clash})
     read = [f"__in_{c}" if c in clash else c for c in inputs]
     schema = T.StructType(kept.schema.fields + new.fields)
+    ship(frame.sparkSession)
     arrow = [_arrow(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +62,7 @@ def generate(
 ) -> DataFrame:
     """Rows of the columns ``fields`` alone, any number per batch."""
     schema = T._parse_datatype_string(fields)
+    ship(frame.sparkSession)
     arrow = [_arrow(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +82,20 @@ def generate(
     return frame.select(*inputs).mapInArrow(run, schema)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the tasks of a session this package, wherever the session was started."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="twinkeep-")
+    archive = shutil.make_archive(f"{folder}/twinkeep", "zip", package.parent, package.name)
+    context.addPyFile(os.path.realpath(archive))  # Spark serves it to the executors
+    _SHIPPED.add(context.applicationId)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -107,6 +107,7 @@ def links(unique: DataFrame) -> DataFrame:
     ``unique`` has one row per fingerprint in ``simhash``. The edges are a spanning
     forest of the links found in each task, so their classes are those of all links.
     """
+    rows.ship(unique.sparkSession)
     parts = [F.struct(F.lit(i).alias("i"), _segment(i).alias("v")) for i in range(SEGMENTS)]
     keyed = unique.select("simhash", F.inline(F.array(*parts)))
     total = unique.count()

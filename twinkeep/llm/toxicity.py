@@ -10,8 +10,8 @@ word (normalised by length) go through a logistic curve.
 Entries and exception phrases are learned from labelled rows, at most about
 ``SAMPLE`` of them taken by the hash of id and text: entries whose share of toxic texts
 would be reached by chance less than once in the whole candidate list, exceptions
-from two-word phrases around an entry that clean texts hold more often than toxic
-ones. Equal folded texts count once in the lexicon. The lexicon keeps its ``ENTRIES``
+from matched words and the two-word phrases around them that clean texts hold more
+often than toxic ones. Equal folded texts count once in the lexicon. The lexicon keeps its ``ENTRIES``
 most significant entries, so what is broadcast is bounded.
 
 Null and empty texts score like a text without any match. Rows are independent:
@@ -227,6 +227,7 @@ def _learned_exceptions(unique: DataFrame, lexicon: Lexicon, hot: int, cold: int
             out = set()
             for start in matches(automaton, text):
                 end = text.index(" ", start + 1)
+                out.add(text[start : end + 1])
                 after, before = text.find(" ", end + 1), text.rfind(" ", 0, start)
                 if after > 0:
                     out.add(text[start : after + 1])
