@@ -91,3 +91,8 @@ def printable(at: Column) -> Column:
 def is_completed(status: Column) -> Column:
     """Whether a run came to its end, with or without warnings; one without a status did."""
     return severity(status).isin("INFO", "WARNING")
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with a comma between groups of three digits."""
+    return F.format_number(number, 0)

@@ -35,7 +35,7 @@ from twinkeep.functions.digest import (
 from twinkeep.functions.fixed import DEBUG_ROWS, HEAD_ROWS
 from twinkeep.functions.names import identifier
 from twinkeep.functions.status import count_status
-from twinkeep.session import work_path
+from twinkeep.session import delete_path, work_path
 from twinkeep.sources.tables import subset
 
 MISSING, EXTRA, BOTH = "missing", "extra", "both"
@@ -140,9 +140,7 @@ class Differences:
 
     def release(self) -> None:
         """Delete the stored digests; rows can't be fetched afterwards."""
-        spark = self.source.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_path(self.source.sparkSession, self.path)
 
     @cached_property
     def digests(self) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from twinkeep.functions.digest import shared_columns
 from twinkeep.functions.fixed import (
+    DEFAULT_SCHEMA,
     ID_TYPES,
     SYSTEM_DATABASES,
     SYSTEM_SCHEMA,
@@ -38,8 +40,8 @@ from twinkeep.functions.names import (
 from twinkeep.operators.compare import MISSING, Differences, differences_from_few, find_differences
 from twinkeep.operators.ledger import database_state, matching, table_state
 from twinkeep.sources.ledger_tables import DATABASE_RUNS, RUN_LOG, TABLE_RUNS, append_rows
-from twinkeep.sources.sinks import append_evolving, ensure_namespace
-from twinkeep.sources.tables import table_or_empty
+from twinkeep.sources.sinks import append_evolving, ensure_namespace, write_header
+from twinkeep.sources.tables import catalog_listing, table_or_empty, user_tables
 
 #: Outcomes appended to the ledger at once.
 LEDGER_BATCH = 50
@@ -236,6 +238,7 @@ def sync_database(
     target_root: str | None = None,
     at_once: int = 4,
     keys: DataFrame | None = None,
+    header_root: str | None = None,
 ) -> DataFrame:
     """Bring every table of a database up to date: in full the first time, then
     incrementally. Gives one outcome row per table, as appended to the ledger.
@@ -243,6 +246,7 @@ def sync_database(
     Without ``sync_columns`` each table's own columns decide, by the rule of
     ``choose_sync_column``; ``keys`` lists key columns (table_name, column_name,
     pk_position) with tables named as in ``tables``. Two tables with one target both fail.
+    With ``header_root`` a header-only file per table shows which columns were seen.
     Outcomes are appended ``LEDGER_BATCH`` at a time as tables finish; one that a crash
     loses is found again by the next run, which compares before it appends.
 
@@ -297,6 +301,8 @@ def sync_database(
                 done = incremental_sync(
                     spark, source, target, column, last.get(".".join(split_text(name)))
                 )
+            if header_root is not None:
+                write_header(source, f"{header_root}/{database}/{table}")
             row |= {
                 "route": done.route,
                 "rows_written": done.rows_written,
@@ -375,6 +381,19 @@ class SourceDatabase:
     keys: DataFrame | None = None
 
 
+def catalog_database(
+    spark: SparkSession, server: str, namespace: str, keys: DataFrame | None = None
+) -> SourceDatabase:
+    """A source database by its catalog listing, system tables left out. Tables are opened
+    when their turn comes."""
+    listed = user_tables(catalog_listing(spark, [namespace])).collect()  # names, not rows
+    opens = {
+        f"{DEFAULT_SCHEMA}.{r.table_name}": partial(spark.table, identifier(namespace, r.table_name))
+        for r in listed
+    }
+    return SourceDatabase(server, namespace, opens, keys=keys)
+
+
 def sync_fleet(
     spark: SparkSession,
     ledger: str,
@@ -382,6 +401,7 @@ def sync_fleet(
     skip: Mapping[str, Iterable[str]] | None = None,
     target_root: str | None = None,
     at_once: int = 4,
+    header_root: str | None = None,
 ) -> DataFrame:
     """Bring every database of every server up to date, system databases and the
     ones a server skips left out. Gives the outcome rows of all tables."""
@@ -401,6 +421,7 @@ def sync_fleet(
                 target_root,
                 at_once,
                 source.keys,
+                header_root,
             )
         )
     return outcomes

@@ -399,6 +399,14 @@ SELECT 'sales' AS database_name,
        + (EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate >= {_CUT}))::INT
        + (EXISTS (SELECT 1 FROM events))::INT AS BIGINT) AS processed,
     CAST(4 AS BIGINT) AS tables"""
+_SQL["catalog_sync"] = f"""
+SELECT table_name, 'full' AS route, rows_written, 'COMPLETED' AS sync_status,
+    '{_ORDER_COLUMNS.replace(" ", "")}' AS orders_header
+FROM (SELECT 'orders' AS table_name, count(*) AS rows_written FROM orders
+      UNION ALL SELECT 'supplier', count(*) FROM supplier)"""
+_SQL["formatted_totals"] = """
+SELECT table_name, format('{:,}', n) AS "rows" FROM (SELECT 'orders' AS table_name, count(*) AS n FROM orders
+    UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events)"""
 _SQL["added_columns_ledger"] = """
 SELECT * FROM (VALUES ('orders', 'full', NULL, 'COMPLETED'), ('orders', 'range', 'o_discounted', 'COMPLETED'))
     AS t(table_name, route, added_columns, sync_status)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinkeep.functions.names import clean_name, namespace_name, schema_part, table_part
-from twinkeep.functions.status import severity
+from twinkeep.functions.status import severity, thousands
 from twinkeep.operators import alerts, changes, compare, ledger, logs, metrics, schema, sync
 from twinkeep.plans.inputs import derived, table
 from twinkeep.session import work_path
@@ -725,13 +725,39 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 def new_rows_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Which tables hold orders or shipments after the newest order."""
     orders, lineitem = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    newest = orders.agg(F.max("o_orderdate").cast("string")).first()[0]
-    answers = [
-        ("orders", tables.has_rows_after(orders, "o_orderdate", newest)),
-        ("lineitem", tables.has_rows_after(lineitem, "l_shipdate", newest)),
-        ("unknown", tables.has_rows_after(orders, "o_orderdate", None)),
-    ]
-    return spark.createDataFrame(answers, "table_name string, has_new_rows boolean")
+    newest = orders.agg(F.max("o_orderdate").alias("newest")).scalar()
+    return tables.new_rows_probe(
+        {
+            "orders": (orders, "o_orderdate", newest),
+            "lineitem": (lineitem, "l_shipdate", newest),
+            "unknown": (orders, "o_orderdate", None),
+        }
+    )
+
+
+@query
+def catalog_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """A database found by its catalog listing and brought up to date, with header files."""
+    source, root = _namespace(spark)
+    for name in ("orders", "supplier"):
+        sinks.replace_table(table(spark, sf, name), f"{source}.{name}")
+    ledger_name, _ = _namespace(spark)
+    create_ledgers(spark, ledger_name)
+    found = sync.catalog_database(spark, f"srv-{uuid.uuid4().hex}", source)
+    headers = work_path(spark, "headers")
+    done = sync.sync_fleet(spark, ledger_name, [found], target_root=root, header_root=headers)
+    written = spark.read.option("header", True).csv(f"{headers}/{source}/orders")
+    return done.select("table_name", "route", "rows_written", "sync_status").withColumn(
+        "orders_header", F.lit(",".join(written.columns))
+    )
+
+
+@query
+def formatted_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals as a reader sees them, with thousands marked."""
+    names = ("orders", "lineitem", "events")
+    counts = tables.row_counts({n: table(spark, sf, n) for n in names})
+    return counts.select("table_name", thousands(F.col("n")).alias("rows"))
 
 
 @query

@@ -50,3 +50,9 @@ def _local_dir() -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; two calls never give the same one."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, wherever it is; one that is not there is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -15,7 +15,7 @@ from twinkeep.functions.fixed import (
     SYSTEM_SCHEMA,
     SYSTEM_TABLES,
 )
-from twinkeep.functions.names import qualified
+from twinkeep.functions.names import identifier, qualified
 
 
 def jdbc_table(
@@ -87,6 +87,20 @@ def has_rows_after(df: DataFrame, column: str, last_value: object | None) -> boo
     return not after_watermark(df, column, last_value).limit(1).isEmpty()
 
 
+def new_rows_probe(probes: Mapping[str, tuple[DataFrame, str, Column | None]]) -> DataFrame:
+    """Per table whether it has rows after a value, as one lazy frame; without a value
+    it has. Each probe stops at its first row."""
+    parts = []
+    for name, (df, column, last) in probes.items():
+        if last is None:
+            probe = df.sparkSession.range(1).select(F.lit(True).alias("has_new_rows"))
+        else:
+            first = df.where(F.col(identifier(column)) > last).limit(1)
+            probe = first.agg((F.count("*") > 0).alias("has_new_rows"))
+        parts.append(probe.select(F.lit(name).alias("table_name"), "has_new_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sample_rows(df: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:
     """The first rows in a stated order, so two runs give the same sample."""
     return df.orderBy(*order_by).limit(n)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinkeep.session import delete_path
+
 KEY = ["server_name", "database_name"]
 
 
@@ -25,10 +27,11 @@ def follow_status(
 ) -> None:
     """Fold the run files that arrived since the last call into the view. Every
     batch writes the whole view to its own folder ``view=<id>``; readers take
-    the highest."""
+    the highest. The one before stays for readers under way, older ones go."""
 
     def put(view: DataFrame, batch: int) -> None:
         view.write.mode("overwrite").parquet(f"{target}/view={batch}")
+        delete_path(spark, f"{target}/view={batch - 2}")
 
     (
         latest_status(spark.readStream.schema(schema).parquet(source))
