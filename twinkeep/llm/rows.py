@@ -129,11 +129,22 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """``frame`` written to the shared folder and read again: computed once, lineage cut."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(frame: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """``frame`` written to the shared folder and read again: computed once, lineage cut.
+
+    ``batch_rows`` bounds the Arrow batches of this job, for rows that are large.
+    """
     spark = frame.sparkSession
     path = work_path(spark, label)
-    frame.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(batch_rows or before))
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
