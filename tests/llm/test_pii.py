@@ -89,3 +89,25 @@ def test_frame(spark):
 def test_masks_join_overlaps():
     spans = [pii.Span("card", 0, 10, 1), pii.Span("phone", 5, 12, 1), pii.Span("ip", 13, 14, 1)]
     assert pii.masked(string.ascii_letters[:16], spans) == "[CARD]m[IP]op"
+
+
+def test_accounts_end_before_the_next_word():
+    for account, after in (
+        ("DE89 3704 0044 0532 0130 00", " Please pay"),
+        ("DE89370400440532013000", " Bank"),
+        ("DE89370400440532013000", " BIC COBADEFF"),
+        ("FR14 2004 1010 0505 0001 3M02 606", " Paris"),
+        ("GB82 WEST 1234 5698 7654 32", " 2024-01-02"),
+        ("DE89370400440532013000", ""),
+    ):
+        text = f"IBAN {account}{after}"
+        assert [(s.start, s.end) for s in pii.spans(text) if s.kind == "iban"] == [(5, 5 + len(account))]
+        assert pii.masked(text, pii.spans(text)) == f"IBAN [IBAN]{after}"
+        assert not [s for s in pii.spans(f"IBAN {account}X{after}") if s.kind == "iban"]
+
+
+def test_accounts_in_a_row():
+    text = "DE89370400440532013000 FR1420041010050500013M02606 GB82 WEST 1234 5698 7654 32 AB12"
+    assert [text[s.start : s.end] for s in pii.spans(text) if s.kind == "iban"] == [
+        "DE89370400440532013000", "FR1420041010050500013M02606", "GB82 WEST 1234 5698 7654 32",
+    ]
