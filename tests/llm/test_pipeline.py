@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.llm import test_mixing, test_pii, test_simhash, test_winnowing
 from twinkeep.llm import mixing, pii, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
+#: Names that the stages use inside.
+INNER = (
+    "score", "nearest", "masked", "pii", "candidates", "n_words", "__row", "simhash", "spans", "items", "contaminated",
+    "__key", "__c0", "__c1", "__source", "__topic", "tokens", "sampled", "first", "root", "least_id", "row", "label",
+)
+
 
 def texts(frame):
     return {r.doc_id: r for r in frame.collect()}
@@ -68,12 +75,17 @@ def test_odd_documents(spark):
         [(None, None, None, None, None), (7, None, "en", None, 0), (7, "", "en", "s", 0), (7, "", "en", "s", 0)],
         docs.schema,
     )
-    frame = docs.unionByName(odd).withColumn("score", docs.doc_id * 0).withColumn("masked", docs.doc_id * 0)
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    own = {c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in INNER}
+    frame = docs.unionByName(odd).withColumns(own)
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
+        assert frame.columns[: len(columns)] == columns, name
         rows = frame.collect()
+        for r in rows:
+            assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for c in INNER), name
         frame = spark.createDataFrame(rows, frame.schema)
-    assert rows and {"score", "masked"} <= set(frame.columns)
+    assert rows and frame.columns == [*columns, "n_tokens", "topic", "probability"]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)

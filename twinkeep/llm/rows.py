@@ -148,6 +148,24 @@ def stored(frame: DataFrame, label: str, batch_rows: int | None = None) -> DataF
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Covered:
+    """``frame`` with every column under a neutral name, so that none clashes with a new one.
+
+    ``inner`` is that frame, ``at(name)`` the neutral name of a column, ``back(result)``
+    selects the columns under their own names again.
+    """
+
+    def __init__(self, frame: DataFrame):
+        self.columns = frame.columns
+        self.inner = frame.toDF(*[f"__c{k}" for k in range(len(self.columns))])
+
+    def at(self, name: str) -> str:
+        return f"__c{self.columns.index(name)}"
+
+    def back(self, result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(self.columns)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -302,10 +302,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: its smallest id; among equal ids any one row."""
-    columns = docs.columns
+    """``docs`` with one row of each class: its smallest id; among equal ids any one row.
+
+    Columns of any name pass through as they are.
+    """
+    covered = rows.Covered(docs)
+    doc_id, text = covered.at(doc_id), covered.at(text)
     numbered = rows.stored(
-        fingerprints(docs, text).withColumn("__row", F.monotonically_increasing_id()), "marked"
+        fingerprints(covered.inner, text).withColumn("__row", F.monotonically_increasing_id()), "marked"
     )
     marked = numbered.select(F.col(doc_id).alias("doc_id"), "simhash", "__row")
     found = rows.stored(classes(marked), "components")
@@ -320,4 +324,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     dropped = marked.select("__row").join(rows.stored(kept, "kept"), "__row", "left_anti")
     dropped = rows.stored(dropped, "dropped")
-    return numbered.join(dropped, "__row", "left_anti").select(*columns)
+    return covered.back(numbered.join(dropped, "__row", "left_anti"))

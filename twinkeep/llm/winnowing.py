@@ -334,10 +334,11 @@ def contamination(
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with its columns."""
-    scanned, spans, _ = _judged(docs, text, items, item_id, item_text)
+    """The rows of ``docs`` that are not contaminated, with its columns, whatever their names."""
+    covered = rows.Covered(docs)
+    scanned, spans, _ = _judged(covered.inner, covered.at(text), items, item_id, item_text)
     bad = rows.stored(spans.where("contaminated").select("__row"), "contaminated")
-    return scanned.join(bad, "__row", "left_anti").select(*docs.columns)
+    return covered.back(scanned.join(bad, "__row", "left_anti"))
 
 
 def _merged(column: str):
