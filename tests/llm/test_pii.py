@@ -111,3 +111,12 @@ def test_accounts_in_a_row():
     assert [text[s.start : s.end] for s in pii.spans(text) if s.kind == "iban"] == [
         "DE89370400440532013000", "FR1420041010050500013M02606", "GB82 WEST 1234 5698 7654 32",
     ]
+
+
+def test_long_runs_of_digits_do_not_stop_a_task():
+    for digit in "09":
+        run = digit * 5000
+        for text in (f"{run}.1.2.3", f"1.2.3.{run}", f"+{run}", f"4111 1111 1111 1111 {run}", f"DE{run}", f"a@{run}.{run}"):
+            assert [s for s in pii.spans(text) if s.kind in pii.BASE_KINDS] is not None
+    zeros = "0" * 5000 + ".1.2.3"
+    assert [(s.kind, s.start, s.end) for s in pii.spans(zeros) if s.kind == "ip"] == [("ip", 0, len(zeros))]

@@ -105,7 +105,7 @@ def _ips(text: str) -> list[tuple[int, int]]:
     return [
         m.span()
         for m in _IP.finditer(text)
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))
     ]
 
 
