@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import mixing, pii, quality, queries, rows, similar, winnowing
+from twinkeep.llm import mixing, pii, quality, queries, rows, simhash, winnowing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word similarity of 0.8 or more): the one with the smallest id."""
-    return similar.keep_one(docs)
+    """One document of each class whose fingerprints link: the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +32,26 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; ``n_chars`` follows the text."""
-    masked = pii.find_pii(docs, mask=True)
+    covered = rows.Covered(docs)
+    masked = pii.find_pii(covered.inner, covered.at("text"), mask=True)
     text, length = F.col("masked"), F.length("masked").cast("long")
-    own = {"text": text, "n_chars": F.when(text.isNull(), F.col("n_chars")).otherwise(length)}
-    return masked.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+    count = F.when(text.isNull(), F.col(covered.at("n_chars"))).otherwise(length)
+    inner = masked.withColumns({covered.at("text"): text, covered.at("n_chars"): count})
+    return covered.back(inner)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have the target weights."""
-    return mixing.mix(mixing.annotate(docs)).where("sampled").select(
-        *docs.columns, "n_tokens", "topic", "probability"
-    )
+    """A sample whose sources, languages and topics have the target weights.
+
+    A column of ``docs`` that bears the name of one of the three new ones is replaced.
+    """
+    new = ("n_tokens", "topic", "probability")
+    covered = rows.Covered(docs.drop(*[c for c in docs.columns if c.lower() in new]))
+    doc_id, text, source, lang = map(covered.at, ("doc_id", "text", "source", "lang"))
+    annotated = mixing.annotate(covered.inner, text)
+    mixed = mixing.mix(annotated, (source, lang, "topic"), doc_id=doc_id, text=text).where("sampled")
+    named = [F.col(covered.at(c)).alias(c) for c in covered.columns]
+    return mixed.select(*named, *new)
 
 
 STAGES = [
