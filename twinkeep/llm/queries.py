@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, extraction, langid, mixing, pii, quality, search, simhash, toxicity, winnowing
+from twinkeep.llm import chat, extraction, langid, merkle, mixing, pii, quality, search, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,12 +100,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(docs))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_of("doc_id", "source", "lang", "n_chars", F.translate("text", _UPPER, _LOWER))
+    own = merkle.leaf_of("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", own.alias("leaf"), F.when(changed, tampered).otherwise(own).alias("checked"))
+    return merkle.digest(merkle.verify(merkle.prove(leaves, carry=["checked"]), "checked"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": OP1_SQL, "op4_chat_snapshots": OP4_SQL, "op8_blockmax_search": OP8_SQL}
+    return {
+        "op1_winnowing": OP1_SQL,
+        "op4_chat_snapshots": OP4_SQL,
+        "op8_blockmax_search": OP8_SQL,
+        "op11_merkle": op11_sql(),
+    }
 
 
 #: Words by pattern, windows by a word join on the window's text.
@@ -179,3 +197,65 @@ SELECT a.doc_id AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY tot
 FROM scored JOIN doc a ON a.r = q JOIN doc b ON b.r = scored.r
 QUALIFY rank <= 10
 """
+
+
+def op11_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** ``levels`` leaves, a query per level; crc32 bit by bit over the digits of an id."""
+
+    def part(column: str) -> str:
+        return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    crc = (
+        "list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+        " lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: "
+        "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:"
+        " CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    )
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        f"""doc AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf,
+         CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS checked
+  FROM documents)""",
+        """own AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM doc)""",
+    ]
+
+    def tree(name: str, zero: str) -> None:
+        parts.append(f"{name}0 AS ({zero})")
+        for k in range(levels):
+            parts.append(f"""{name}run{k} AS (
+  SELECT t, pos // 8 AS up, any_value(n) AS n, list(h ORDER BY pos) AS l FROM {name}{k} WHERE n > 1 GROUP BY t, pos // 8)""")
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT t, up AS pos, (n + 7) // 8 AS n, sha256(array_to_string(l, '')) AS h FROM {name}run{k}
+  UNION ALL SELECT * FROM {name}{k} WHERE n = 1)""")
+
+    tree("a", "SELECT coalesce('=' || lang, '') AS t, pos, n, leaf AS h FROM own")
+    tree("b", f"SELECT 0 AS t, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n, h FROM a{levels}")
+    parts.append("number AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS b FROM (SELECT DISTINCT t FROM a0))")
+    last = "f0"
+    parts.append("""f0 AS (
+  SELECT doc_id, leaf, checked, coalesce('=' || lang, '') AS t, pos, b AS top, '' AS proof, checked AS h
+  FROM own JOIN number ON number.t = coalesce('=' || lang, ''))""")
+    at = 0
+    for name, pos, on in (("a", "pos", "r.t = f.t AND r.up = f.pos // 8"), ("b", "top", "r.up = f.top // 8")):
+        for k in range(levels):
+            others = f"array_to_string(list_concat(l[1 : f.{pos} % 8], l[f.{pos} % 8 + 2 : 8]), '')"
+            with_own = f"array_to_string(list_concat(l[1 : f.{pos} % 8], [f.h], l[f.{pos} % 8 + 2 : 8]), '')"
+            at += 1
+            parts.append(f"""f{at} AS (
+  SELECT doc_id, leaf, checked, f.t, {"f.pos // 8 AS pos, top" if pos == "pos" else "f.pos, top // 8 AS top"},
+         CASE WHEN l IS NULL THEN proof ELSE proof || {others} END AS proof,
+         CASE WHEN l IS NULL THEN f.h ELSE sha256({with_own}) END AS h
+  FROM {last} f LEFT JOIN {name}run{k} r ON {on})""")
+            last = f"f{at}"
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, a{levels}.h AS subroot, b{levels}.h AS root, sha256(proof) AS proof_sha256,
+       f.h AS folded_root, f.h = b{levels}.h AS verified
+FROM {last} f JOIN a{levels} USING (t), b{levels}"""
+    )
