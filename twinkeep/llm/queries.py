@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, extraction, langid, merkle, mixing, pii, quality, search, simhash, toxicity, winnowing
+from twinkeep.llm import chat, extraction, hardneg, langid, merkle, mixing, pii, quality, search, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.verify(merkle.prove(leaves, carry=["checked"]), "checked"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -123,6 +130,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_snapshots": OP4_SQL,
         "op8_blockmax_search": OP8_SQL,
         "op11_merkle": op11_sql(),
+        "op13_hard_negatives": OP13_SQL,
     }
 
 
@@ -198,6 +206,27 @@ FROM scored JOIN doc a ON a.r = q JOIN doc b ON b.r = scored.r
 QUALIFY rank <= 10
 """
 
+#: Every anchor against every row.
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS b, b.vec_id AS id,
+         CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+positive AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id NULLS LAST, n.b) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.a = p.a AND NOT n.same
+WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 
 def op11_sql(levels: int = 8) -> str:
     """Trees of up to 8 ** ``levels`` leaves, a query per level; crc32 bit by bit over the digits of an id."""

@@ -129,19 +129,22 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
+#: Rows per Arrow batch while texts are written: bounds the memory of Python workers and of the
+#: buffers that executors exchange with them.
+BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(frame: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+def stored(frame: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``frame`` written to the shared folder and read again: computed once, lineage cut.
 
-    ``batch_rows`` bounds the Arrow batches of this job, for rows that are large.
+    ``batch_rows`` bounds the Arrow batches of this job.
     """
     spark = frame.sparkSession
     path = work_path(spark, label)
     before = spark.conf.get(_BATCH)
     try:
-        spark.conf.set(_BATCH, str(batch_rows or before))
+        spark.conf.set(_BATCH, str(min(batch_rows, int(before))))
         frame.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
