@@ -24,8 +24,7 @@ maps of shelves are broadcast: at most ``SHELVES`` of them and one for each part
 slice. All anchors meet all blocks that their bounds allow; nothing is sampled.
 
 Rows without label or vector, or with a component that is null or not finite, take no part.
-Shorter vectors count as padded with zeros. Components saturate at 64 bits; scores that exceed them
-are computed exactly and returned as the nearest long. Ties go to the smaller id, null ids last;
+Shorter vectors count as padded with zeros. Components and scores saturate at 64 bits. Ties go to the smaller id, null ids last;
 rows with the same id are different rows. An empty table, or one without anchors, gives no rows.
 Only named columns are read, so others may have any name.
 """

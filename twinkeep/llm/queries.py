@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinkeep.llm import chat, extraction, hardneg, langid, merkle, mixing, pii, quality, search, simhash, toxicity, winnowing
+from twinkeep.llm import chat, extraction, hardneg, langid, merkle, mixing, occurrence, pii, quality, search, simhash, toxicity, winnowing
 from twinkeep.llm.rows import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.verify(merkle.prove(leaves, carry=["checked"]), "checked"))
 
 
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrence.join(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -130,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_snapshots": OP4_SQL,
         "op8_blockmax_search": OP8_SQL,
         "op11_merkle": op11_sql(),
+        "op12_jaccard_join": OP12_SQL,
         "op13_hard_negatives": OP13_SQL,
     }
 
@@ -206,6 +212,28 @@ FROM scored JOIN doc a ON a.r = q JOIN doc b ON b.r = scored.r
 QUALIFY rank <= 10
 """
 
+#: Sets joined by shingle, classes by reachability.
+OP12_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+link AS (
+  SELECT a, b FROM (
+    SELECT x.r AS a, y.r AS b, count(*) AS c FROM shingle x JOIN shingle y USING (s) WHERE x.r <> y.r GROUP BY x.r, y.r)
+  JOIN size na ON na.r = a JOIN size nb ON nb.r = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT r, r AS o FROM doc UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.o),
+component AS (SELECT reach.r, min(doc.doc_id) AS component_id FROM reach JOIN doc ON doc.r = reach.o GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+       CAST((SELECT count(*) FROM link WHERE a = doc.r) AS BIGINT) AS n_links
+FROM doc LEFT JOIN size USING (r) LEFT JOIN component USING (r)
+"""
+
 #: Every anchor against every row.
 OP13_SQL = """
 WITH e AS (

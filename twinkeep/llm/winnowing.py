@@ -83,11 +83,14 @@ def _rolling(values: np.ndarray, low: np.ndarray, high: np.ndarray, which: int)
 class Words:
     """Word hashes of texts ``low`` to ``high`` of a column, end to end."""
 
+    #: Which bytes belong to words.
+    IS_WORD = _IS_WORD
+
     def __init__(self, data: np.ndarray, at: np.ndarray, low: int, high: int):
         first, last = at[low], at[high]
         raw = data[first:last]
         bounds = at[low : high + 1] - first
-        word = _IS_WORD[raw]
+        word = self.IS_WORD[raw]
         cut = np.zeros(len(raw) + 1, bool)
         cut[bounds] = True
         before = np.r_[False, word[:-1]] if len(raw) else word
