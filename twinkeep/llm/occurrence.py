@@ -10,6 +10,7 @@ T = ceil(LEAST * n) shingles with its partners, so of any n - T + 1 of its shing
    of a set of size T must occur among those of another set. They are counted by value (packed, one shuffle of 40 % of all shingles);
    most texts share too few and are out. Shingles found in many texts of a batch count as
    shared without a shuffle, so a line that is in a third of the texts makes no hot group.
+   The others are told to the tasks by a Bloom filter of bounded size and an exact join.
 3. ``candidates``: the remaining sets' shared shingles in one order, the rarest first; a set needs a shared one
    among its first p. Sets are dealt to shards by their smallest shingle hash, which puts copies
    together; a shard that would be too large is split. A set is sent, as a query, to every
@@ -50,6 +51,9 @@ COMMON_SHARE, COMMON_LEAST = 32, 16
 COMMON_MOST = 1 << 20
 #: Shingles per group of the counting step, and per shard: bounds the memory of a task.
 GROUP = 1 << 21
+#: log2 of the most bits of the filter of sets that may have partners: 16 MB. Beyond some 8 million
+#: such sets it lets more and more others pass, which a join drops.
+FILTER_BITS = 27
 #: Cost of a binary probe, per halving, in units of a merged entry.
 PROBE_COST = 1.0
 #: Probes looked at together.
@@ -123,7 +127,7 @@ def marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, key binary, n long, common array<struct<token long, n long>>"
-    return rows.stored(rows.generate(docs, [doc_id, text], make, fields), "marks")
+    return rows.stored(rows.generate(docs, [doc_id, text], make, fields), "marks", rows.BATCH_ROWS)
 
 
 def _common(marked: DataFrame) -> np.ndarray:
@@ -143,7 +147,7 @@ def _common(marked: DataFrame) -> np.ndarray:
 _PACK = "g int, keys binary, owner binary, tokens binary, counts binary"
 
 
-def _probes(docs: DataFrame, doc_id: str, text: str, common: np.ndarray, groups: int) -> DataFrame:
+def _probes(docs: DataFrame, text: str, common: np.ndarray, groups: int) -> DataFrame:
     """The first 2p - 1 shingles of every set by ranges of their value; common ones as counts."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     edges = [(k << 64) // groups for k in range(1, groups)]
@@ -240,26 +244,60 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * LEAST[0] + LEAST[1] - 1) / LEAST[1]).cast("long")
 
 
-def possible(docs: DataFrame, marked: DataFrame, folded: DataFrame, doc_id: str, text: str) -> DataFrame:
+def possible(docs: DataFrame, marked: DataFrame, folded: DataFrame, text: str) -> DataFrame:
     """Rows of ``folded`` whose set shares enough of its first shingles to have a partner."""
     total = folded.agg(F.sum("n")).first()[0] or 0
     groups = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * total // (5 * GROUP)))
-    packed = _probes(docs, doc_id, text, _common(marked), groups)
+    packed = _probes(docs, text, _common(marked), groups)
     counts = packed.groupBy("g").applyInArrow(_counted, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
     smallest = _least_overlap(F.col("n"))  # the size of the smallest partner
     enough = smallest - _least_overlap(smallest) + 1
     return folded.join(counts, "key").where(F.col("c") >= enough).select(folded.columns)
 
 
+def _places(keys: list[bytes], bits: int) -> np.ndarray:
+    """Two places per key in a table of 2 ** bits bits."""
+    return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2) >> _U(64 - bits)
+
+
+def _filter(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the keys ``wanted``: 16 bits for each, 2 ** ``FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, max(10, (16 * wanted.count()).bit_length()))
+
+    def make():
+        def work(keys: pa.Array):
+            place = _places(keys.to_pylist(), bits).ravel()
+            return [(place >> _U(6)).view(np.int64), (_U(1) << (place & _U(63))).view(np.int64)]
+
+        return work
+
+    words = (
+        rows.generate(wanted, ["key"], make, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    ).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits, table.view(_U)
+
+
 def shingled(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """``key`` and ``tokens`` of the sets ``wanted`` (by ``key``), one row per set."""
+    """``key`` and ``tokens`` of the sets ``wanted`` (by ``key``), one row per set.
+
+    Tasks send on only what the filter lets pass; the join drops what it lets pass by mistake.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def make():
+        bits, table = shared.value
+
         def work(texts: pa.Array):
-            _, shingle, size = _texts(texts)
-            ends = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
-            tokens = pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64)))
-            return [pa.array(_keys(shingle, size), pa.binary()), tokens]
+            owner, shingle, size = _texts(texts)
+            keys = _keys(shingle, size)
+            place = _places(keys, bits)
+            held = (table[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
+            use = held.all(axis=1)
+            ends = pa.array(np.r_[0, np.cumsum(size[use])].astype(np.int32))
+            tokens = pa.ListArray.from_arrays(ends, pa.array(shingle[use[owner]].view(np.int64)))
+            return [pa.array([k for k, u in zip(keys, use.tolist()) if u], pa.binary()), tokens]
 
         return work
 
@@ -412,7 +450,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         ),
         "folded",
     )
-    wanted = rows.stored(possible(docs, marked, folded, "doc_id", "text"), "possible")
+    wanted = rows.stored(possible(docs, marked, folded, "text"), "possible", rows.BATCH_ROWS)
     able = candidates(docs, "text", wanted)
     found = rows.stored(
         _dealt(able).groupBy("to", "slice").applyInArrow(_search, "id long, root long, links long"), "links"

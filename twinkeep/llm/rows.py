@@ -10,6 +10,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -129,13 +130,13 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-#: Rows per Arrow batch while texts are written: bounds the memory of Python workers and of the
-#: buffers that executors exchange with them.
+#: Rows per Arrow batch of jobs that stand between others in one long run: bounds the memory of Python
+#: workers and of the buffers that executors exchange with them.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(frame: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def stored(frame: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """``frame`` written to the shared folder and read again: computed once, lineage cut.
 
     ``batch_rows`` bounds the Arrow batches of this job.
@@ -144,7 +145,7 @@ def stored(frame: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFr
     path = work_path(spark, label)
     before = spark.conf.get(_BATCH)
     try:
-        spark.conf.set(_BATCH, str(min(batch_rows, int(before))))
+        spark.conf.set(_BATCH, str(min(batch_rows or int(before), int(before))))
         frame.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
@@ -169,6 +170,17 @@ class Covered:
         return result.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(self.columns)])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside read ``BATCH_ROWS`` rows per Arrow batch at most."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
