@@ -69,8 +69,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.read_table(spark, sf_dir, "documents").select(*COLUMNS)
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = rows.stored(docs, name)
+    with rows.small_batches(spark):
+        for number, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if number < len(STAGES) - 1:
+                docs = rows.stored(docs, name)
     return docs
