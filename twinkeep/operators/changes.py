@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinkeep.functions.digest import DIGEST, only_digest, shared_columns
-from twinkeep.operators.compare import compare_counts, missing_rows
+from twinkeep.functions.digest import DIGEST, digest, normalised, only_digest, shared_columns
+from twinkeep.functions.names import identifier, literal
+from twinkeep.operators.compare import Differences, compare_counts, find_differences, missing_rows
+from twinkeep.operators.numbering import number_within
 
 TOP_MARKED = 3
 
@@ -28,6 +30,50 @@ def delta_summary(source: DataFrame, destination: DataFrame) -> DataFrame:
     )
 
 
+INSERTED, CHANGED, DELETED = "inserted", "changed", "deleted"
+
+
+def changed_rows(
+    source: DataFrame, destination: DataFrame, keys: Sequence[str], found: Differences | None = None
+) -> DataFrame:
+    """What happened to each row that differs: ``kind`` (inserted, changed, deleted), the key
+    columns, ``copy`` and, of a changed row, ``changes``: the columns that differ, with both values as text.
+
+    Only rows that one side lacks are aligned (``found``, or a fresh comparison): by key, NULL
+    equal to ``''``. Where a key occurs more than once its differing rows are numbered on each side, in the order
+    of their digests, and paired by number; what finds no partner was inserted or deleted. Numbering
+    works for a key of any size. Rows that both sides have, in whatever number, are no change.
+    """
+    found = found or find_differences(source, destination)
+    shared = shared_columns(source, destination)
+    by_key = [c for c in shared if c.name in set(keys)]
+    if len(by_key) != len(set(keys)):
+        raise ValueError(f"both tables need the key columns {list(keys)}")
+
+    def side(df: DataFrame) -> DataFrame:
+        # A key meets by its digest: types and foldings are those of the comparison.
+        ids = [t.replace(f" AS {half}", f" AS _k{i}") for i, (half, t) in enumerate(zip(DIGEST, digest(df, by_key)))]
+        values = ", ".join(f"CAST({normalised(df, c)} AS STRING)" for c in shared)
+        own = [identifier(c.name) for c in by_key]
+        rows = df.selectExpr(*own, *ids, *digest(df, shared), f"array({values}) AS _values")
+        numbered = number_within(rows, ["_k0", "_k1"], [F.col(h) for h in DIGEST], "copy")
+        return numbered.drop(*DIGEST)
+
+    names = [c.name for c in by_key]
+    left, right = (side(df).select(*["_k0", "_k1", "copy"], F.struct(*map(identifier, names), "_values").alias(n))
+                   for df, n in ((found.missing(), "l"), (found.extra(), "r")))
+    kind = F.when(F.col("r").isNull(), INSERTED).when(F.col("l").isNull(), DELETED).otherwise(CHANGED)
+    both = ", ".join(
+        f"struct({literal(c.name)} AS name, l._values[{k}] AS source, r._values[{k}] AS destination)"
+        for k, c in enumerate(shared)
+    )
+    unlike = F.expr(f"filter(array({both}), c -> NOT (c.source <=> c.destination))")
+    key: list[Column] = [F.coalesce(F.col("l")[n], F.col("r")[n]).alias(n) for n in names]
+    return left.join(right, ["_k0", "_k1", "copy"], "full_outer").select(
+        kind.alias("kind"), *key, "copy", F.when(kind == CHANGED, unlike).alias("changes")
+    )
+
+
 TablePair = tuple[DataFrame, DataFrame] | Callable[[], tuple[DataFrame, DataFrame]]
 
 

@@ -21,6 +21,7 @@ from twinkeep.functions.fixed import (
 )
 from twinkeep.functions.names import qualified
 from twinkeep.functions.status import ever_synced, is_completed, printable
+from twinkeep.operators.numbering import number_within
 
 #: Spark prunes ranks before a shuffle up to this limit; beyond it a key's rows meet in one task.
 MOST_PER_KEY = 1000
@@ -50,9 +51,11 @@ def newest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
 ) -> DataFrame:
     """The newest ``n`` rows of each key. Spark prunes each task to ``n`` rows
-    per key before the shuffle, as long as ``n`` is at most ``MOST_PER_KEY``."""
+    per key before the shuffle, as long as ``n`` is at most ``MOST_PER_KEY``; beyond it rows are
+    numbered over all partitions, so no key's history has to fit in one task."""
     if n > MOST_PER_KEY:
-        raise ValueError(f"at most {MOST_PER_KEY} rows per key; take the whole history instead")
+        down = [F.col(c).desc() for c in order]
+        return number_within(df, keys, down, "_place").where(F.col("_place") <= n).drop("_place")
     window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_place", F.row_number().over(window)).where(
         F.col("_place") <= n

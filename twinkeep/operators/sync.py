@@ -77,6 +77,8 @@ class Outcome:
     rows_written: int = 0
     watermark: Watermark | None = None
     added_columns: list[str] = field(default_factory=list)
+    #: Rows of batches that were committed before this outcome.
+    rows_before: int = 0
 
 
 def is_system_table(table: str) -> bool:
@@ -152,6 +154,8 @@ def incremental_sync(
     target: str,
     sync_column: str | None = None,
     last: Watermark | None = None,
+    batch_rows: int | None = None,
+    commit: Callable[[Outcome], None] | None = None,
 ) -> Outcome:
     """Append what is new, by one of three routes.
 
@@ -161,11 +165,17 @@ def incremental_sync(
 
     A known watermark over an empty source changes nothing: the source may have
     been truncated, and the target is kept. A source that cannot be read raises.
+
+    With ``batch_rows`` the range route appends a backlog in batches of about that many rows, in
+    the order of the sync column; ``commit`` is given the outcome of every batch but the last, which is
+    returned. Whoever stores their watermarks goes on after the last one when a run dies.
     """
     column = sync_column if sync_column in source.columns else None
     if last is not None and source.limit(1).isEmpty():
         return Outcome("empty_source", 0, last)
     if column is not None and last is not None:
+        if batch_rows:
+            return _batched_range(spark, source, target, column, last, batch_rows, commit)
         return _range_route(spark, source, target, column, last)
     return _digest_route(spark, source, target, column)
 
@@ -192,6 +202,84 @@ def _range_route(
     return done
 
 
+#: Types whose cut points come from a quantile sketch; others take those of a range shuffle.
+_SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Accuracy of the sketch: ranks are off by at most 1 / ACCURACY of all rows.
+ACCURACY = 10_000
+
+
+def cut_points(fresh: DataFrame, column: str, batches: int) -> list[Watermark]:
+    """Values that cut the rows into about equal batches, ascending, the highest last: equal values
+    are never parted, so a batch is whatever lies after one value up to the next."""
+    kind = fresh.schema[column].dataType
+    value = F.col(identifier(column)).alias("v")
+    if isinstance(kind, _SKETCHED):
+        shares = [(k + 1) / batches for k in range(batches - 1)]
+        real = ~F.isnan("v") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(True)
+        sketch = F.percentile_approx("v", shares, ACCURACY) if shares else F.array().cast(T.ArrayType(kind))
+        points = fresh.select(value).where(real).agg(sketch.alias("q")).select(F.explode("q").alias("v"))
+    else:
+        # A range shuffle of this one column; its partitions never part equal values.
+        ranged = fresh.select(value).repartitionByRange(batches, "v")
+        points = ranged.groupBy(F.spark_partition_id()).agg(F.max("v").alias("v")).select("v")
+    # Each point as the exact text of its own value: at most ``batches`` rows.
+    found = points.where("v IS NOT NULL").groupBy("v").agg(_highest("v", kind).alias("text")).orderBy("v").collect()
+    texts = [r.text for r in found if r.text is not None]
+    top = _top(fresh, column)
+    if top is None:
+        return []
+    return [Watermark(t, top.type) for t in texts if t != top.text] + [top]
+
+
+def _batched_range(
+    spark: SparkSession,
+    source: DataFrame,
+    target: str,
+    column: str,
+    last: Watermark,
+    batch_rows: int,
+    commit: Callable[[Outcome], None] | None,
+) -> Outcome:
+    """The range route in batches. A batch that an earlier run wrote without committing is
+    compared with the target before it is appended, as any range run is."""
+    kind = source.schema[column].dataType
+    value = F.col(identifier(column))
+    backlog = source.where(value > last.column(kind))
+    total = backlog.count()
+    if not total:
+        return Outcome("range", 0, last)
+    before, done, added = 0, Outcome("range", 0, last), []
+    points = cut_points(backlog, column, -(-total // batch_rows))
+    for place, point in enumerate(points):
+        batch = source.where(value <= point.column(kind))
+        done = _range_route(spark, batch, target, column, done.watermark)
+        done.watermark = point
+        added += done.added_columns
+        if place < len(points) - 1:
+            before += done.rows_written
+            if commit:
+                commit(done)
+    done.rows_before, done.added_columns = before, added
+    return done
+
+
+def left_behind(
+    spark: SparkSession, source: DataFrame, target: str, column: str, last: Watermark
+) -> DataFrame:
+    """What a range sync up to ``last`` does not bring over, in one row: ``null_rows`` without a sync
+    value, and ``late_rows`` that arrived at or below the watermark and that the target lacks."""
+    kind = source.schema[column].dataType
+    value = F.col(identifier(column))
+    present = table_or_empty(spark, target, source.schema)
+    behind = source.where(value <= last.column(kind))
+    clean = clean_text(column)
+    if clean in present.columns:
+        present = present.where(F.col(identifier(clean)) <= last.column(present.schema[clean].dataType))
+    late = find_differences(behind, present).copies(MISSING)
+    nulls = source.agg(F.count_if(value.isNull()).alias("null_rows"))
+    return nulls.withColumn("late_rows", F.lit(late).cast("bigint"))
+
+
 def _append_missing(
     spark: SparkSession, found: Differences, target: str, route: str, top: Watermark | None
 ) -> Outcome:
@@ -239,10 +327,14 @@ def sync_database(
     at_once: int = 4,
     keys: DataFrame | None = None,
     header_root: str | None = None,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Bring every table of a database up to date: in full the first time, then
     incrementally. Gives one outcome row per table, as appended to the ledger.
 
+    With ``batch_rows`` a table's backlog is appended in batches, each with a ledger row of
+    its own, so a run that dies goes on after the last batch.
+
     Without ``sync_columns`` each table's own columns decide, by the rule of
     ``choose_sync_column``; ``keys`` lists key columns (table_name, column_name,
     pk_position) with tables named as in ``tables``. Two tables with one target both fail.
@@ -299,20 +391,12 @@ def sync_database(
                 done = full_sync(spark, source, target, column)
             else:
                 done = incremental_sync(
-                    spark, source, target, column, last.get(".".join(split_text(name)))
+                    spark, source, target, column, last.get(".".join(split_text(name))), batch_rows,
+                    lambda batch: append_rows(spark, ledger, TABLE_RUNS, [row | _done(batch) | {"updated_at": _now()}]),
                 )
             if header_root is not None:
                 write_header(source, f"{header_root}/{database}/{table}")
-            row |= {
-                "route": done.route,
-                "rows_written": done.rows_written,
-                "added_columns": ",".join(done.added_columns) or None,
-            }
-            if done.watermark:
-                row |= {
-                    "last_pk_value": done.watermark.text,
-                    "last_pk_type": done.watermark.type,
-                }
+            row |= _done(done)
         except Exception as problem:  # the outcome row carries it
             row |= {"sync_status": "FAILED", "error": str(problem), "rows_written": 0}
         return row | {"updated_at": _now()}
@@ -349,6 +433,18 @@ def sync_database(
     return _outcome_frame(spark, outcomes)
 
 
+def _done(outcome: Outcome) -> dict[str, object]:
+    """The part of a ledger row that an outcome fills."""
+    row: dict[str, object] = {
+        "route": outcome.route,
+        "rows_written": outcome.rows_written,
+        "added_columns": ",".join(outcome.added_columns) or None,
+    }
+    if outcome.watermark:
+        row |= {"last_pk_value": outcome.watermark.text, "last_pk_type": outcome.watermark.type}
+    return row
+
+
 def _key_columns(keys: DataFrame) -> dict[str, list[str]]:
     """Key columns by table, in key order: a few rows per table."""
     found: dict[str, list[str]] = {}

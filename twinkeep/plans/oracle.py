@@ -116,6 +116,42 @@ SELECT copies, count(*) AS different_rows FROM (
         o_totalprice, o_orderdate, o_orderpriority)
 GROUP BY copies"""
 
+_SQL["marked_copies"] = as_ctes("replica_dst") + f"""
+SELECT {_ORDER_COLUMNS}, row_number() OVER (PARTITION BY {_ORDER_COLUMNS}) AS copy_number FROM replica_dst"""
+_SQL["marked_statuses"] = """
+SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (
+    PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS copy_number FROM orders"""
+_VALUES = {
+    "o_orderkey": "CAST({0}.o_orderkey AS VARCHAR)",
+    "o_custkey": "CAST({0}.o_custkey AS VARCHAR)",
+    "o_orderstatus": "{0}.o_orderstatus",
+    "o_totalprice": "CAST({0}.o_totalprice AS VARCHAR)",
+    "o_orderdate": "CAST({0}.o_orderdate AS VARCHAR)",
+    "o_orderpriority": "coalesce({0}.o_orderpriority, '')",
+}
+# Keys that are alike in both tables have one differing row at most on each side here.
+_ALIGNED = (
+    _PAIR
+    + f""", left_rows AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey) AS copy FROM ({_anti("replica_src", "replica_dst")})),
+right_rows AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey) AS copy FROM ({_anti("replica_dst", "replica_src")})),
+aligned AS (
+  SELECT CASE WHEN r.o_orderkey IS NULL THEN 'inserted' WHEN l.o_orderkey IS NULL THEN 'deleted' ELSE 'changed' END AS kind,
+         coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, coalesce(l.copy, r.copy) AS copy,
+         CASE WHEN l.o_orderkey IS NULL OR r.o_orderkey IS NULL THEN [] ELSE list_filter(["""
+    + ", ".join(
+        f"CASE WHEN {v.format('l')} IS DISTINCT FROM {v.format('r')} THEN {{'name': '{c}', 'source': {v.format('l')}}} END"
+        for c, v in _VALUES.items()
+    )
+    + """], lambda x: x IS NOT NULL) END AS changes
+  FROM left_rows l FULL JOIN right_rows r ON l.o_orderkey = r.o_orderkey AND l.copy = r.copy)
+"""
+)
+_SQL["changed_rows"] = _ALIGNED + """SELECT kind, o_orderkey, copy,
+    array_to_string(list_transform(changes, lambda c: c.name || ':' || c.source), ',') AS changes FROM aligned"""
+_SQL["changed_row_counts"] = _ALIGNED + """SELECT kind,
+    array_to_string(list_transform(changes, lambda c: c.name), ',') AS columns, count(*) AS n FROM aligned GROUP BY ALL"""
+_SQL["compare_by_tree"] = _SQL["compare_missing_rows"]
+
 _SQL["bucket_check"] = (
     _PAIR_COUNTS
     + """SELECT o_orderkey % 64 AS bucket, CAST(sum(s) AS BIGINT) AS rows_source,
@@ -355,6 +391,15 @@ _SQL["incremental_range"] = (
 SELECT * FROM older UNION ALL
 SELECT * FROM replica_src WHERE o_orderdate > (SELECT max(o_orderdate) FROM older)"""
 )
+_SQL["batched_range"] = _SQL["incremental_range"]
+_SQL["left_behind"] = (
+    _PAIR
+    + f""", older AS (SELECT * FROM replica_dst WHERE o_orderdate < {_CUT}),
+dated AS (SELECT * REPLACE (CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate END AS o_orderdate) FROM replica_src)
+SELECT count(*) FILTER (WHERE o_orderdate IS NULL) AS null_rows,
+    count(*) FILTER (WHERE o_orderdate <= (SELECT max(o_orderdate) FROM older)
+        AND NOT EXISTS (SELECT 1 FROM older y WHERE {_MATCH})) AS late_rows FROM dated x"""
+)
 _SQL["incremental_digest"] = (
     _PAIR + "SELECT * FROM replica_dst UNION ALL " + _anti("replica_src", "replica_dst")
 )
@@ -515,6 +560,25 @@ sessions AS (SELECT server_name || ':' || database_name || ':'
 FROM state LEFT JOIN totals USING (server_name, database_name))
 """
 _SQL["recent_sessions"] = _ALL + _SESSIONS + "SELECT * FROM sessions"
+_SQL["run_sessions"] = as_ctes("run_ledger") + """, marked AS (
+  SELECT *, coalesce(sync_status = 'COMPLETED' OR sync_status LIKE 'WARNING%', true) AS done,
+    CASE WHEN updated_at - lag(updated_at) OVER w <= INTERVAL 4 HOURS THEN 0 ELSE 1 END AS begins
+  FROM run_ledger WINDOW w AS (PARTITION BY server_name, database_name ORDER BY updated_at, run_id)),
+numbered AS (
+  SELECT *, sum(begins) OVER (PARTITION BY server_name, database_name ORDER BY updated_at, run_id) AS s FROM marked),
+found AS (
+  SELECT server_name, database_name, min(updated_at) AS started_at, max(updated_at) AS finished_at, count(*) AS runs,
+    count(*) FILTER (WHERE NOT done) AS runs_not_completed,
+    list(struct_pack(d := done, s := sync_status, e := error) ORDER BY updated_at DESC, run_id DESC)[1] AS newest
+  FROM numbered GROUP BY server_name, database_name, s)
+SELECT server_name || ':' || database_name || ':' || CAST(epoch_us(started_at) // 1000 AS VARCHAR) AS session_id,
+    server_name, database_name, started_at, finished_at, date_sub('millisecond', started_at, finished_at) AS duration_ms,
+    runs, runs_not_completed, CASE WHEN NOT newest.d THEN 'unfinished' WHEN runs_not_completed > 0 THEN 'recovered'
+        ELSE 'completed' END AS outcome, newest.s AS sync_status, newest.e AS error
+FROM found QUALIFY row_number() OVER (PARTITION BY server_name, database_name ORDER BY finished_at DESC) <= 3"""
+_SQL["long_histories"] = as_ctes("run_ledger") + """
+SELECT run_id, server_name, sync_status, updated_at FROM run_ledger
+QUALIFY row_number() OVER (PARTITION BY server_name ORDER BY updated_at DESC, run_id DESC) <= 5000"""
 _SQL["session_report"] = (
     _ALL
     + _ALERTS

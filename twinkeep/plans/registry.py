@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from twinkeep.functions.names import clean_name, namespace_name, schema_part, table_part
 from twinkeep.functions.status import severity, thousands
-from twinkeep.operators import alerts, changes, compare, ledger, logs, metrics, schema, sync
+from twinkeep.operators import (
+    alerts,
+    changes,
+    compare,
+    copies,
+    ledger,
+    logs,
+    metrics,
+    schema,
+    sessions,
+    sync,
+    versions,
+)
 from twinkeep.plans.inputs import derived, table
 from twinkeep.session import work_path
 from twinkeep.sources import csv_tree, sinks, tables, text_log
@@ -121,6 +133,47 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return compare.later_copies(derived(spark, sf, "replica_dst"))
 
 
+@query
+def marked_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row with the number of its copy."""
+    return copies.mark_copies(derived(spark, sf, "replica_dst"))
+
+
+@query
+def marked_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies in one column alone, numbered by key: three values hold all rows."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return copies.mark_copies(orders, ["o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@query
+def changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Differing rows aligned by key, with the columns that differ and both values."""
+    found = changes.changed_rows(*_replica(spark, sf), keys=["o_orderkey"])
+    shown = F.transform("changes", lambda c: F.concat(c["name"], F.lit(":"), F.coalesce(c["source"], F.lit(""))))
+    return found.select("kind", "o_orderkey", "copy", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("changes"))
+
+
+@query
+def changed_row_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = changes.changed_rows(*_replica(spark, sf), keys=["o_orderkey"])
+    columns = F.coalesce(F.array_join(F.col("changes")["name"], ","), F.lit(""))
+    return found.groupBy("kind", columns.alias("columns")).agg(F.count("*").alias("n"))
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[versions.Version, versions.Version]:
+    left, right = _replica(spark, sf)
+    root = work_path(spark, "versions")
+    pair = ((left, right, "left"), (right, left, "right"))
+    return tuple(versions.write_version(a, f"{root}/{n}", ORDER_KEY, like=b, fanout=16) for a, b, n in pair)
+
+
+@query
+def compare_by_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The missing rows again, found from stored fingerprint trees."""
+    return versions.compare_versions(spark, *_versions(spark, sf)).missing()
+
+
 @query
 def duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
     return compare.duplicate_counts(derived(spark, sf, "replica_dst"))
@@ -391,6 +444,41 @@ def incremental_range(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(target)
 
 
+@query
+def batched_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The same backlog in batches, by a run that dies after its second batch is written but
+    before it is committed, and another that goes on from the first."""
+    source, replica = _replica(spark, sf)
+    name, _ = _namespace(spark)
+    target = f"{name}.dbo_orders"
+    older = replica.where(F.col("o_orderdate") < F.lit(CUT_DATE).cast("timestamp_ntz"))
+    first = sync.full_sync(spark, older, target, "o_orderdate")
+    size = max(1, source.count() // 8)
+    committed = [first.watermark]
+
+    def dies(batch: sync.Outcome) -> None:
+        if len(committed) == 2:
+            raise InterruptedError("killed between data and commit")
+        committed.append(batch.watermark)
+
+    try:
+        sync.incremental_sync(spark, source, target, "o_orderdate", first.watermark, size, dies)
+    except InterruptedError:
+        sync.incremental_sync(spark, source, target, "o_orderdate", committed[-1], size)
+    return spark.table(target)
+
+
+@query
+def left_behind(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the range route never brings: without a date, and late ones."""
+    source, replica = _replica(spark, sf)
+    name, _ = _namespace(spark)
+    target = f"{name}.dbo_orders"
+    done = sync.full_sync(spark, replica.where(F.col("o_orderdate") < F.lit(CUT_DATE).cast("timestamp_ntz")), target, "o_orderdate")
+    undated = F.when(F.col("o_orderkey") % 40 != 0, F.col("o_orderdate"))
+    return sync.left_behind(spark, source.withColumn("o_orderdate", undated), target, "o_orderdate", done.watermark)
+
+
 def _digest_synced(spark: SparkSession, sf: str) -> str:
     source, replica = _replica(spark, sf)
     name, _ = _namespace(spark)
@@ -611,6 +699,19 @@ def recent_sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def run_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest three sessions of each database, from its runs."""
+    return sessions.newest_sessions(derived(spark, sf, "run_ledger"), 3, "4 hours")
+
+
+@query
+def long_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 5000 runs of each server: more than one task is asked to hold."""
+    runs = derived(spark, sf, "run_ledger").select("run_id", "server_name", "sync_status", "updated_at")
+    return ledger.newest_per_key(runs, ["server_name"], ["updated_at", "run_id"], 5000)
+
+
 @query
 def session_report(spark: SparkSession, sf: str) -> DataFrame:
     snapshots = _snapshots(spark, sf)
