@@ -50,7 +50,9 @@ COMMON_SHARE, COMMON_LEAST = 32, 16
 #: Common shingles that are broadcast (16 MB); rarer ones are shuffled like all others.
 COMMON_MOST = 1 << 20
 #: Shingles per group of the counting step, and per shard: bounds the memory of a task.
-GROUP = 1 << 21
+GROUP = 1 << 20
+#: Texts per Arrow batch.
+BATCH_ROWS = 1000
 #: log2 of the most bits of the filter of sets that may have partners: 16 MB. Beyond some 8 million
 #: such sets it lets more and more others pass, which a join drops.
 FILTER_BITS = 27
@@ -127,7 +129,7 @@ def marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, key binary, n long, common array<struct<token long, n long>>"
-    return rows.stored(rows.generate(docs, [doc_id, text], make, fields), "marks", rows.BATCH_ROWS)
+    return rows.stored(rows.generate(docs, [doc_id, text], make, fields), "marks", BATCH_ROWS)
 
 
 def _common(marked: DataFrame) -> np.ndarray:
@@ -204,25 +206,33 @@ _COUNT = pa.schema([("key", pa.binary()), ("c", pa.int64())])
 
 def _counted(table: pa.Table) -> pa.Table:
     """Per set of a group, how many of its shingles there another set has."""
-    tokens, owner, keys, out_keys, out_counts = [], [], [], [], []
+    keys, owner, tokens, counts = [], [], [], []
     base = 0
     for k in range(table.num_rows):
         joined, own, token, count = (table.column(c)[k].as_py() for c in ("keys", "owner", "tokens", "counts"))
-        mine = [joined[at : at + 16] for at in range(0, len(joined), 16)]
-        if count:
-            out_keys += mine
-            out_counts += np.frombuffer(count, np.int32).tolist()
-            continue
-        tokens.append(np.frombuffer(token, _U))
-        owner.append(np.frombuffer(own, np.uint32).astype(np.int64) + base)
-        keys += mine
+        mine = np.frombuffer(joined, _U).reshape(-1, 2)
+        own = np.frombuffer(own, np.uint32).astype(np.int64) + base
+        keys.append(mine)
+        if count:  # sets with so many common shingles
+            counts.append(np.stack([own, np.frombuffer(count, np.int32).astype(np.int64)]))
+        else:
+            owner.append(own)
+            tokens.append(np.frombuffer(token, _U))
         base += len(mine)
+    # The same set may come from several tasks: one number per set.
+    all_keys = np.concatenate([np.zeros((0, 2), _U), *keys])
+    order = np.lexsort((all_keys[:, 1], all_keys[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (all_keys[order[1:]] != all_keys[order[:-1]]).any(axis=1)
+    number = np.zeros(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    unique = all_keys[order[new]]
+    shared = np.zeros(len(unique), np.int64)
+    if counts:
+        own, count = np.concatenate(counts, axis=1)
+        np.add.at(shared, number[own], count)
     if tokens:
-        token, own = np.concatenate(tokens), np.concatenate(owner)
-        # The same set may come from several tasks: one number per set.
-        number: dict[bytes, int] = {}
-        ids = np.array([number.setdefault(x, len(number)) for x in keys], np.int64)
-        own = ids[own]
+        token, own = np.concatenate(tokens), number[np.concatenate(owner)]
         order = np.lexsort((own, token))
         token, own = token[order], own[order]
         new = np.ones(len(token), bool)
@@ -232,12 +242,11 @@ def _counted(table: pa.Table) -> pa.Table:
         in_two = np.zeros(len(token), bool)
         in_two[1:] |= same
         in_two[:-1] |= same
-        counts = np.bincount(own[in_two], minlength=len(number))
-        for key, c in zip(number, counts.tolist()):
-            if c:
-                out_keys.append(key)
-                out_counts.append(c)
-    return pa.Table.from_arrays([pa.array(out_keys, pa.binary()), pa.array(out_counts, pa.int64())], schema=_COUNT)
+        shared += np.bincount(own[in_two], minlength=len(unique))
+    some = np.flatnonzero(shared)
+    data = pa.py_buffer(np.ascontiguousarray(unique[some]).tobytes())
+    fixed = pa.Array.from_buffers(pa.binary(16), len(some), [None, data])
+    return pa.Table.from_arrays([fixed.cast(pa.binary()), pa.array(shared[some])], schema=_COUNT)
 
 
 def _least_overlap(n: Column) -> Column:
@@ -308,7 +317,7 @@ def shingled(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """Sets with a shared shingle among their first p: ``id``, ``key``, ``n``, ``copies``, ``tokens`` (the shared
     ones, the rarest first), ``pre`` (how many of them are among the first p), ``home``."""
-    found = rows.stored(shingled(docs, text, wanted), "shingles", 500)
+    found = rows.stored(shingled(docs, text, wanted), "shingles", BATCH_ROWS)
     posted = found.select("key", F.explode("tokens").alias("token"))
     often = rows.stored(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ranked = (
@@ -450,7 +459,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         ),
         "folded",
     )
-    wanted = rows.stored(possible(docs, marked, folded, "text"), "possible", rows.BATCH_ROWS)
+    wanted = rows.stored(possible(docs, marked, folded, "text"), "possible", BATCH_ROWS)
     able = candidates(docs, "text", wanted)
     found = rows.stored(
         _dealt(able).groupBy("to", "slice").applyInArrow(_search, "id long, root long, links long"), "links"

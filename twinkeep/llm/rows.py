@@ -132,7 +132,7 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 #: Rows per Arrow batch of jobs that stand between others in one long run: bounds the memory of Python
 #: workers and of the buffers that executors exchange with them.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
