@@ -51,6 +51,8 @@ COMMON_SHARE, COMMON_LEAST = 32, 16
 COMMON_MOST = 1 << 20
 #: Shingles per group of the counting step, and per shard: bounds the memory of a task.
 GROUP = 1 << 20
+#: Texts whose counts one task adds up.
+PART_TEXTS = 100_000
 #: Texts per Arrow batch.
 BATCH_ROWS = 1000
 #: log2 of the most bits of the filter of sets that may have partners: 16 MB. Beyond some 8 million
@@ -201,11 +203,12 @@ def _probes(docs: DataFrame, text: str, common: np.ndarray, groups: int) -> Data
     return rows.generate(docs, [text], make, _PACK)
 
 
-_COUNT = pa.schema([("key", pa.binary()), ("c", pa.int64())])
+_COUNT = pa.schema([("h", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SUM = pa.schema([("key", pa.binary()), ("c", pa.int64())])
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Per set of a group, how many of its shingles there another set has."""
+def _counted(table: pa.Table, parts: int) -> pa.Table:
+    """Per set of a group, how many of its shingles there another set has; packed by part of the keys."""
     keys, owner, tokens, counts = [], [], [], []
     base = 0
     for k in range(table.num_rows):
@@ -244,9 +247,26 @@ def _counted(table: pa.Table) -> pa.Table:
         in_two[:-1] |= same
         shared += np.bincount(own[in_two], minlength=len(unique))
     some = np.flatnonzero(shared)
-    data = pa.py_buffer(np.ascontiguousarray(unique[some]).tobytes())
-    fixed = pa.Array.from_buffers(pa.binary(16), len(some), [None, data])
-    return pa.Table.from_arrays([fixed.cast(pa.binary()), pa.array(shared[some])], schema=_COUNT)
+    unique, shared = unique[some], shared[some]
+    part = (unique[:, 0] % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    unique, shared, part = unique[order], shared[order].astype(np.int32), part[order]
+    edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else []
+    out = [(int(part[a]), unique[a:b].tobytes(), shared[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+    columns = zip(*out) if out else [()] * 3
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _COUNT)], schema=_COUNT)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Counts per set over all groups."""
+    keys = np.concatenate([np.frombuffer(k.as_py(), _U).reshape(-1, 2) for k in table.column("keys")])
+    counts = np.concatenate([np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")])
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    data = pa.py_buffer(np.ascontiguousarray(keys[first]).tobytes())
+    fixed = pa.Array.from_buffers(pa.binary(16), len(first), [None, data])
+    return pa.Table.from_arrays([fixed.cast(pa.binary()), pa.array(np.add.reduceat(counts, first))], schema=_SUM)
 
 
 def _least_overlap(n: Column) -> Column:
@@ -255,10 +275,14 @@ def _least_overlap(n: Column) -> Column:
 
 def possible(docs: DataFrame, marked: DataFrame, folded: DataFrame, text: str) -> DataFrame:
     """Rows of ``folded`` whose set shares enough of its first shingles to have a partner."""
-    total = folded.agg(F.sum("n")).first()[0] or 0
+    total, texts = (x or 0 for x in folded.agg(F.sum("n"), F.count("*")).first())
+    parts = max(256, -(-texts // PART_TEXTS))
     groups = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * total // (5 * GROUP)))
     packed = _probes(docs, text, _common(marked), groups)
-    counts = packed.groupBy("g").applyInArrow(_counted, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    counted = packed.groupBy("g").applyInArrow(
+        lambda table: _counted(table, parts), "h int, keys binary, counts binary"
+    )
+    counts = counted.groupBy("h").applyInArrow(_summed, "key binary, c long")
     smallest = _least_overlap(F.col("n"))  # the size of the smallest partner
     enough = smallest - _least_overlap(smallest) + 1
     return folded.join(counts, "key").where(F.col("c") >= enough).select(folded.columns)
