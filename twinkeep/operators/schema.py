@@ -129,6 +129,24 @@ def primary_keys(usage: DataFrame) -> DataFrame:
     )
 
 
+def verified_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Whether each listed key is one: rows, keys that occur more than once, rows whose key holds a
+    NULL. Rows are combined per key and task before they shuffle, so a repeated key stays small."""
+    parts = []
+    for name, columns in keys.items():
+        values = [F.col(identifier(c)) for c in columns]
+        incomplete = reduce(lambda a, b: a | b, [v.isNull() for v in values]).alias("incomplete")
+        per_key = tables[name].groupBy(*values, incomplete).agg(F.count("*").alias("n"))
+        found = per_key.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
+            F.count_if((F.col("n") > 1) & ~F.col("incomplete")).alias("repeated_keys"),
+            F.coalesce(F.sum(F.when(F.col("incomplete"), F.col("n"))), F.lit(0)).cast("bigint").alias("null_rows"),
+        )
+        holds = (F.col("repeated_keys") == 0) & (F.col("null_rows") == 0)
+        parts.append(found.select(F.lit(name).alias("table_name"), F.lit(",".join(columns)).alias("key"), "*", holds.alias("is_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sync_candidates(metadata: DataFrame) -> DataFrame:
     """Columns that could drive an incremental sync, with their rank class: key
     columns in key order, then times by name, then identifiers by name."""

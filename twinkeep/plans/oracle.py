@@ -116,6 +116,23 @@ SELECT copies, count(*) AS different_rows FROM (
         o_totalprice, o_orderdate, o_orderpriority)
 GROUP BY copies"""
 
+_KEYS = """SELECT '{0}' AS table_name, '{1}' AS key, CAST(sum(n) AS BIGINT) AS total_rows,
+    count(*) FILTER (WHERE n > 1 AND NOT bad) AS repeated_keys,
+    CAST(coalesce(sum(n) FILTER (WHERE bad), 0) AS BIGINT) AS null_rows,
+    count(*) FILTER (WHERE bad OR n > 1) = 0 AS is_key
+FROM (SELECT {1}, bool_or({2}) AS bad, count(*) AS n FROM {3} GROUP BY {1})"""
+_SQL["verified_keys"] = (
+    as_ctes("replica_src")
+    + """, undated AS (SELECT * REPLACE (CASE WHEN o_orderkey % 30 <> 0 THEN o_custkey END AS o_custkey) FROM replica_src)
+"""
+    + "\nUNION ALL ".join(
+        [
+            _KEYS.format("orders", "o_orderkey", "o_orderkey IS NULL", "orders"),
+            _KEYS.format("lineitem", "l_orderkey", "l_orderkey IS NULL", "lineitem"),
+            _KEYS.format("replica", "o_orderkey,o_custkey", "o_orderkey IS NULL OR o_custkey IS NULL", "undated"),
+        ]
+    )
+)
 _SQL["marked_copies"] = as_ctes("replica_dst") + f"""
 SELECT {_ORDER_COLUMNS}, row_number() OVER (PARTITION BY {_ORDER_COLUMNS}) AS copy_number FROM replica_dst"""
 _SQL["marked_statuses"] = """

@@ -133,6 +133,16 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return compare.later_copies(derived(spark, sf, "replica_dst"))
 
 
+@query
+def verified_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed keys held against all rows: one holds, one is too short, one repeats and has NULLs."""
+    source, _ = _replica(spark, sf)
+    undated = source.withColumn("o_custkey", F.when(F.col("o_orderkey") % 30 != 0, F.col("o_custkey")))
+    given = {"orders": table(spark, sf, "orders"), "lineitem": table(spark, sf, "lineitem"), "replica": undated}
+    keys = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "replica": ["o_orderkey", "o_custkey"]}
+    return schema.verified_keys(given, keys)
+
+
 @query
 def marked_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Every row with the number of its copy."""
