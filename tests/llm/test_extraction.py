@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 from math import exp
 
 import pytest
@@ -80,6 +81,42 @@ def test_hard_markup_stays_linear_and_whole():
     assert [n.text for n in parse("<SCRIPT>x</script ><p hidden>y</P>z") if n.text] == ["y", "z"]
 
 
+def test_formulas_stay_and_open_elements_lose_nothing():
+    def texts(page):
+        return [n.text for n in parse(page) if n.text]
+
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<p>see <object data=a>the plan</object>.</p>") == ["see the plan."]
+    assert texts("<p>a<svg><text>no</text></svg>b<svg/>c</p><svg><p>d</p><template>e") == ["abc", "d", "e"]
+    assert texts("<p>a</p><script>if (1 < 2) {}") == ["a"]
+    assert texts("<noscript><p>turn it on</p></noscript><p>b</p>") == ["turn it on", "b"]
+    assert texts("<dl><dt>a<dd>b<dl><dt>c</dl>d</dl><ul><li><p>e<ul><li>f</ul>g<li>h</ul>") == list("abcdefgh")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<div>" * n + "</p></b></x>" * n,
+        lambda n: "<x>" * n + "<y></y>" * n,
+        lambda n: "<x>" * n + "<li>a</li>" * n,
+        lambda n: "<ul><li>" + "<x>" * n + "<dt></dt><td></td>" * n,
+        lambda n: "<svg/>" * n + "<template>" * n,
+        lambda n: "<svg>a" * n,
+        lambda n: f"<div {'a' * 20 * n}>b",
+        lambda n: f"<div a{' ' * 20 * n}b>c",
+    ],
+)
+def test_time_is_linear_in_tags(page):
+    def seconds(n):
+        started = time.process_time()
+        parse(page(n))
+        return time.process_time() - started
+
+    seconds(1000)
+    few, many = min(seconds(4000) for _ in range(3)), min(seconds(32_000) for _ in range(2))
+    assert many < 24 * few + 0.1
+
+
 def test_odd_rows(spark, model):
     page = f"<article><h1>T</h1><p>{LONG}</p></article>"
     data = [(1, page, 5), (1, page, 5), (None, None, 5), (2, "", 5), (3, "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>", 5)]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,35 @@ def test_mixture_shares(spark):
     assert [x.lang for x in one] == ["es"] and one[0].share == 1
 
 
+def plain_fit(text, model, chosen):
+    """Shares and penalised likelihood of one set of languages, trigram by trigram."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    bucket, _ = langid._trigrams(data, np.array([0, len(data)]), 0, 1)
+    chances = model.chances[list(chosen)][:, bucket].astype(float)
+    shares = np.full(len(chosen), 1 / len(chosen))
+    for _ in range(60):
+        joint = shares[:, None] * chances
+        shares = (joint / joint.sum(axis=0)).mean(axis=1)
+    return shares, np.log((shares[:, None] * chances).sum(axis=0)).sum() - (len(chosen) - 1) / 2 * np.log(len(bucket))
+
+
+def test_sets_of_any_size_against_all_sets(spark):
+    """Texts in one to all languages: the set with the best penalised likelihood of all sets."""
+    model = langid.train(train_rows(spark, MEDIUM))
+    held = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("crc32(cast(doc_id as string)) % 4 = 2")
+    longest = {r.lang: r.t for r in held.groupBy("lang").agg(F.max_by("text", F.length("text")).alias("t")).collect()}
+    names = model.names
+    assert len(names) >= 4
+    sets = [s for size in range(1, len(names) + 1) for s in itertools.combinations(range(len(names)), size)]
+    texts = [" ".join(longest[names[k]][: 900 + 300 * k] for k in s) for s in sets]
+    found = langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for own, row, text in zip(sets, found, texts):
+        best = max(sets, key=lambda s: plain_fit(text, model, s)[1])
+        assert {x.lang for x in row.languages} == {names[k] for k in best} == {names[k] for k in own}
+        shares = dict(zip(best, plain_fit(text, model, best)[0]))
+        assert all(x.share == pytest.approx(shares[names.index(x.lang)], abs=0.02) for x in row.languages)
+
+
 def test_counts_are_exact(spark):
     """Probabilities against counts taken text by text."""
     labelled = train_rows(spark, SMALL)

@@ -1,9 +1,11 @@
 """Blocks of a web page as a tree.
 
-``parse`` walks the tags of a page once and builds a tree of its container elements.
-Leaves are blocks: runs of text between block-level boundaries. It is forgiving: an
-element left open ends with its parent, a closing tag without an opening one is
-passed over, and a page may stop anywhere.
+``parse`` walks the tags of a page once and builds a tree of its container elements, in
+time linear in the page. Leaves are blocks: runs of text between block-level boundaries.
+It is forgiving: an element left open ends with its parent, a closing tag without an
+opening one is passed over, and a page may stop anywhere. Of an element without text that
+is left open only the tag is passed over, unless browsers too take all that follows as its
+content (scripts, styles).
 """
 
 from __future__ import annotations
@@ -17,17 +19,22 @@ _TAG = re.compile(
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![A-Za-z_:-])([A-Za-z_:-]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 
-#: Fixed values of HTML: elements whose content is no text, elements without content,
-#: and elements that run inside a block.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math"}
+#: Fixed values of HTML: elements whose content is no text, those of them that run to the end
+#: of the page when left open, elements without content, and elements that run inside a block
+#: (formulas included).
+RAW = {"script", "style", "template", "svg", "iframe", "textarea", "title"}
+TO_THE_END = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font",
     "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
-    "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object",
+    "math", "semantics", "annotation", "maction", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover",
+    "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup",
+    "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover",
 }
 #: Elements that a new one of the same group ends.
 _ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
@@ -76,6 +83,10 @@ def parse(page: str | None) -> list[Node]:
     page = page or ""
     nodes = [Node("html")]
     stack = [_Open("html", 0)]
+    #: Where in the stack the open elements of each name are, and those that bound a search.
+    places: dict[str, list[int]] = {}
+    stops = [0]
+    endless: set[str] = set()
     pieces: list[str] = []
     linked = links = 0
 
@@ -93,6 +104,14 @@ def parse(page: str | None) -> list[Node]:
         if links:
             linked += len(raw)
 
+    def close(place: int) -> None:
+        """End the open elements from a place of the stack on."""
+        while len(stack) > place:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in _STOP:
+                stops.pop()
+
     at = 0
     while at < len(page):
         low = page.find("<", at)
@@ -113,18 +132,22 @@ def parse(page: str | None) -> list[Node]:
             if name in INLINE:
                 links = max(0, links - (name == "a"))
                 put(" " if name == "br" else "")
-            elif any(o.tag == name for o in stack[1:]):
+            elif places.get(name):
                 flush()
                 links = 0
-                while stack.pop().tag != name:
-                    pass
+                close(places[name][-1])
             elif name == "p":
                 flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not hit[0].endswith("/>"):
-                at = end.end() if end else len(page)
+            if not hit[0].endswith("/>") and name not in endless:
+                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in TO_THE_END:
+                    at = len(page)
+                else:
+                    endless.add(name)
             continue
         if name in INLINE:
             links += name == "a"
@@ -136,16 +159,15 @@ def parse(page: str | None) -> list[Node]:
             continue
         ends = _ENDS.get(name)
         if ends or "p" in (o.tag for o in stack[-1:]):
-            ends = ends or {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _STOP:
-                    break
+            last = max((places[tag][-1] for tag in ends or {"p"} if places.get(tag)), default=0)
+            if last > stops[-1]:
+                close(last)
         names, hidden = _names(hit[3] or "")
         top = stack[-1]
         nodes.append(Node(name, names, top.node, nodes[top.node].depth + 1, None, 0, hidden or top.hidden))
+        places.setdefault(name, []).append(len(stack))
+        if name in _STOP:
+            stops.append(len(stack))
         stack.append(_Open(name, len(nodes) - 1, hidden or top.hidden))
     flush()
     return nodes

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from twinkeep.llm import rows
 
-#: log2 of the trigram buckets, languages in a mixture, rounds, smoothing, least share.
-BUCKET_BITS, MOST, ROUNDS, SMOOTHING, LEAST_SHARE = 15, 3, 8, 0.5, 0.02
+#: log2 of the trigram buckets, rounds, smoothing, least share of a language in a mixture.
+BUCKET_BITS, ROUNDS, SMOOTHING, LEAST_SHARE = 15, 8, 0.5, 0.02
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -145,7 +145,7 @@ def mixtures(bucket: np.ndarray, text: np.ndarray, model: Languages, n_texts: in
     best_set[single.argmax(axis=0), np.arange(len(owners))] = 1
     best = single.max(axis=0).astype(np.float64)
     rank = np.argsort(-some, axis=0, kind="stable")
-    for size in range(2, min(MOST, len(model.names)) + 1):
+    for size in range(2, len(model.names) + 1):
         # Only texts with a share for a language beyond those that stand are fitted again.
         more = np.flatnonzero(some[rank[size - 1], np.arange(len(owners))] >= LEAST_SHARE)
         if not len(more):

@@ -116,7 +116,7 @@ def _features(automaton: ahocorasick.Automaton, text: str) -> tuple[float, float
 def _sample(labelled: DataFrame, bound: int) -> DataFrame:
     total = labelled.count()
     share = min(1.0, bound / max(1, total))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    part = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     return labelled.where(part < int(share * 1_000_000))
 
 
