@@ -8,7 +8,7 @@ heaviest entry counts, unless an exception phrase covers it. The sum and the sum
 word (normalised by length) go through a logistic curve.
 
 Entries and exception phrases are learned from labelled rows, at most about
-``SAMPLE`` of them taken by the hash of id and text: entries whose share of toxic texts
+``SAMPLE`` of them taken by the hash of the text: entries whose share of toxic texts
 would be reached by chance less than once in the whole candidate list, exceptions
 from matched words and the two-word phrases around them that clean texts hold more
 often than toxic ones. Equal folded texts count once in the lexicon. The lexicon keeps its ``ENTRIES``
