@@ -41,6 +41,16 @@ def same(spark, left_type, left, right_type, right) -> bool:
         ("int", 7, "string", "7"),
         ("bigint", None, "string", ""),
         ("map<string,int>", {"a": 1, "b": 2}, "map<string,int>", {"b": 2, "a": 1}),
+        ("array<double>", [0.0, None], "array<double>", [-0.0, math.nan]),
+        ("array<float>", [0.5], "array<double>", [0.5]),
+        ("array<int>", [1], "array<decimal(10,2)>", [Decimal("1.00")]),
+        ("array<bigint>", [7], "array<double>", [7.0]),
+        ("array<string>", ["", "a"], "array<string>", [None, "a"]),
+        ("struct<a:string,b:double>", ("", math.nan), "struct<a:string,b:double>", (None, None)),
+        ("map<string,double>", {"a": -0.0, "b": math.nan}, "map<string,double>", {"b": None, "a": 0.0}),
+        ("array<map<string,struct<`x y`:string>>>", [{"a": ("",)}], "array<map<string,struct<`x y`:string>>>", [{"a": (None,)}]),
+        ("map<int,map<string,string>>", {1: {"a": "", "b": "c"}}, "map<int,map<string,string>>", {1: {"b": "c", "a": None}}),
+        ("struct<`it's`:double>", (-0.0,), "struct<`it's`:double>", (0.0,)),
     ],
 )
 def test_same_value(spark, left_type, left, right_type, right):
@@ -59,6 +69,12 @@ def test_same_value(spark, left_type, left, right_type, right):
         ("array<int>", [1, None], "array<int>", [None, 1]),
         ("struct<a:int,b:int>", (1, None), "struct<a:int,b:int>", (None, 1)),
         ("map<string,int>", {"a": 1}, "map<string,int>", {"a": 2}),
+        ("array<string>", [""], "array<string>", []),
+        ("array<string>", [None], "array<string>", None),
+        ("struct<a:string>", (None,), "struct<a:string>", None),
+        ("array<double>", [0.1], "array<double>", [0.2]),
+        ("map<string,double>", {"a": 0.0}, "map<string,double>", {"b": 0.0}),
+        ("array<array<string>>", [["a"], ["b"]], "array<array<string>>", [["a", "b"]]),
     ],
 )
 def test_different_value(spark, left_type, left, right_type, right):
@@ -127,3 +143,40 @@ def test_digest_is_equality_of_folded_rows(spark, rows):
     for i, left in enumerate(rows):
         for j, right in enumerate(rows):
             assert (found[i] == found[j]) == (folded(left) == folded(right))
+
+
+nested = st.one_of(
+    st.none(),
+    st.lists(
+        st.one_of(
+            st.none(),
+            st.tuples(text, number, st.one_of(st.none(), st.dictionaries(st.sampled_from(["", "a", "b"]), number, max_size=2))),
+        ),
+        max_size=3,
+    ),
+)
+
+
+def deeply_folded(value):
+    """As the digest should see it: nothing is one value, maps have no order."""
+    if isinstance(value, list):
+        return ["list", *[deeply_folded(v) for v in value]]
+    if isinstance(value, tuple):
+        return ["struct", *[deeply_folded(v) for v in value]]
+    if isinstance(value, dict):
+        return ["map", *sorted([k, repr(deeply_folded(v))] for k, v in value.items())]
+    if value is None or value == "" or isinstance(value, float) and math.isnan(value):
+        return None
+    return value + 0.0 if isinstance(value, float) else value
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(nested, min_size=1, max_size=12))
+def test_nested_values_fold_at_every_depth(spark, values):
+    kind = "n int, c array<struct<a:string,b:double,m:map<string,double>>>"
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(values)], kind)
+    shared = [c for c in own_columns(frame) if c.name == "c"]
+    found = {r.n: (r._h1, r._h2) for r in only_digest(frame, shared, "n").collect()}
+    for i in range(len(values)):
+        for k in range(i):
+            assert (found[i] == found[k]) == (deeply_folded(values[i]) == deeply_folded(values[k]))

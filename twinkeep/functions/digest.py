@@ -12,8 +12,9 @@ Both sides are first cast to one type per column, so the digest does not depend
 on how each side happens to store a value. The digest is two seeded 64-bit
 hashes of the typed values, so it never renders a number as text, stays in
 generated code, and moves 16 bytes per row through a shuffle. The hash function
-skips NULLs, so whether each value is NULL is hashed as well. Values inside arrays, maps
-and structs are not folded: they compare as their JSON text.
+skips NULLs, so whether each value is NULL is hashed as well. Arrays, maps and structs
+compare as the JSON text of their values, folded at every depth as above, numbers by value
+too and maps whatever the order of their entries. A struct or array of NULLs is not NULL.
 """
 
 from __future__ import annotations
@@ -108,16 +109,48 @@ def own_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[Sha
 # one call into the engine per digest instead of several per column.
 
 _WITH_NULLS = "map('ignoreNullFields', 'false')"
-_BY_KEY = "(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END"
+
+
+def _inside(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """SQL text of a nested value with every value in it folded: NULL where it folds to
+    nothing, numbers as text, maps as sorted entries."""
+    part = f"e{depth}"
+    if isinstance(kind, T.StringType):
+        return f"nullif({value}, '')"
+    if isinstance(kind, _FRACTIONAL):
+        plain = f"CAST({value} AS DOUBLE)"
+        return f"CASE WHEN NOT isnan({value}) THEN {_as_text(f'({plain} + 0.0D)', T.DoubleType())} END"
+    if isinstance(kind, (*_INTEGRAL_DIGITS, T.DecimalType)):
+        return _as_text(value, kind)
+    if isinstance(kind, T.ArrayType):
+        return f"transform({value}, {part} -> {_inside(part, kind.elementType, depth + 1)})"
+    if isinstance(kind, T.MapType):
+        both = [f"'{n}', {_inside(f'{part}.{n}', t, depth + 1)}" for n, t in (("key", kind.keyType), ("value", kind.valueType))]
+        return f"array_sort(transform(map_entries({value}), {part} -> named_struct({', '.join(both)})))"
+    if isinstance(kind, T.StructType):
+        # Fields that only their place tells apart cannot be named.
+        if not kind.fields or len({f.name.lower() for f in kind.fields}) < len(kind.fields):
+            return f"to_json({value}, {_WITH_NULLS})"
+        fields = [f"{_quoted(f.name)}, {_inside(f'{value}.{identifier(f.name)}', f.dataType, depth)}" for f in kind.fields]
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(fields)}) END"
+    if isinstance(kind, T.VariantType):
+        return f"to_json({value}, {_WITH_NULLS})"
+    if isinstance(kind, (T.BinaryType, T.BooleanType, *_TIMES)):
+        return value
+    return f"CAST({value} AS STRING)"
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def _as_text(column: str, kind: T.DataType) -> str:
     if isinstance(kind, T.StringType):
         return column
-    if isinstance(kind, T.MapType):
-        return f"to_json(array_sort(map_entries({column}), {_BY_KEY}), {_WITH_NULLS})"
     if isinstance(kind, _NESTED):
-        return f"to_json({column}, {_WITH_NULLS})"
+        inside = column if isinstance(kind, T.VariantType) else _inside(column, kind)
+        return f"to_json({inside}, {_WITH_NULLS})"
     text = f"CAST({column} AS STRING)"
     if isinstance(kind, _FRACTIONAL):
         # A whole number as a whole number's text; any other value can only equal a double.

@@ -28,6 +28,7 @@ MOST_PER_KEY = 1000
 
 DATABASE_KEY = ["server_name", "database_name"]
 TABLE_KEY = ["server_name", "database_name", "schema_name", "table_name"]
+JOB_KEY = ["server_name", "job_type"]
 
 
 def matching(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -207,7 +208,7 @@ def table_sync_status(inventory: DataFrame, state: DataFrame) -> DataFrame:
 
 def job_state(runs: DataFrame) -> DataFrame:
     """The newest row of each (server, job type): a later row replaces earlier ones."""
-    return latest_per_key(runs, ["server_name", "job_type"], ["created_at", "run_id"])
+    return latest_per_key(runs, JOB_KEY, ["created_at", "run_id"])
 
 
 def live_jobs(state: DataFrame) -> DataFrame:

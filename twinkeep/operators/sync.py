@@ -38,8 +38,9 @@ from twinkeep.functions.names import (
     target_table,
 )
 from twinkeep.operators.compare import MISSING, Differences, differences_from_few, find_differences
-from twinkeep.operators.ledger import database_state, matching, table_state
-from twinkeep.sources.ledger_tables import DATABASE_RUNS, RUN_LOG, TABLE_RUNS, append_rows
+from twinkeep.operators.compaction import state_rows
+from twinkeep.operators.ledger import TABLE_KEY, database_state, matching, table_state
+from twinkeep.sources.ledger_tables import DATABASE_RUNS, JOB_RUNS, RUN_LOG, TABLE_RUNS, append_rows
 from twinkeep.sources.sinks import append_evolving, ensure_namespace, write_header
 from twinkeep.sources.tables import catalog_listing, table_or_empty, user_tables
 
@@ -347,26 +348,73 @@ def sync_database(
     given as a function is opened inside its own job, so a source that cannot be
     opened is such a failure too.
     """
-    namespace = namespace_text(server, database)
-    ensure_namespace(spark, namespace, target_root)
+    source = SourceDatabase(server, database, tables, sync_columns, keys)
+    prepared = _prepared(spark, ledger, source, target_root, header_root, batch_rows)
+    return _outcome_frame(spark, _run_all(spark, ledger, [prepared], at_once))
+
+
+@dataclass
+class _Prepared:
+    """A database whose tables are ready to run."""
+
+    source: SourceDatabase
+    sync_type: str
+    run: Callable[[str], dict[str, object]]
+    #: Tables to run, with how many rows the last run of each wrote.
+    tables: dict[str, int]
+    outcomes: list[dict[str, object]] = field(default_factory=list)
+
+    def database_row(self) -> dict[str, object]:
+        failed = [o for o in self.outcomes if o["sync_status"] == "FAILED"]
+        return _database_row(self.source, self.sync_type, str(failed[0]["error"]) if failed else None, bool(failed))
+
+    def log_row(self) -> dict[str, object]:
+        good = sum(o["sync_status"] != "FAILED" for o in self.outcomes)
+        status = "COMPLETED" if good == len(self.outcomes) else "FAILED"
+        details = f"{self.source.database}: {good} of {len(self.outcomes)} tables"
+        return {"server_name": self.source.server, "sync_time": _now(), "status": status, "details": details}
+
+
+def _database_row(source: SourceDatabase, sync_type: str | None, error: str | None, failed: bool) -> dict[str, object]:
+    return {
+        "server_name": source.server,
+        "database_name": source.database,
+        "sync_type": sync_type,
+        "sync_status": "FAILED" if failed else "COMPLETED",
+        "error": error,
+        "updated_at": _now(),
+    }
+
+
+def _prepared(
+    spark: SparkSession,
+    ledger: str,
+    source: SourceDatabase,
+    target_root: str | None,
+    header_root: str | None,
+    batch_rows: int | None,
+) -> _Prepared:
+    server, database, tables = source.server, source.database, source.tables
+    ensure_namespace(spark, namespace_text(server, database), target_root)
     known = matching(
-        database_state(spark.table(f"{ledger}.{DATABASE_RUNS}")),
+        database_state(state_rows(spark, ledger, DATABASE_RUNS)),
         server_name=server,
         database_name=database,
     )
     sync_type = "full" if known.isEmpty() else "incremental"
-    state = table_state(spark.table(f"{ledger}.{TABLE_RUNS}"))
+    runs = matching(state_rows(spark, ledger, TABLE_RUNS), server_name=server, database_name=database)
+    last = last_watermarks(table_state(runs), server, database)
+    sizes = runs.groupBy(*TABLE_KEY).agg(F.max_by("rows_written", "updated_at").alias("n")).collect()
+    moved = {f"{r.schema_name}.{r.table_name}": r.n or 0 for r in sizes}
     chosen = [name for name in tables if not is_system_table(name)]
-    last = last_watermarks(state, server, database)
 
     clashes = {
         name: target
         for target, names in shared_targets(server, database, chosen).items()
         for name in names
     }
-    pk = {} if keys is None else _key_columns(keys)
+    pk = {} if source.keys is None else _key_columns(source.keys)
 
-    @inheritable_thread_target(spark)
     def run(name: str) -> dict[str, object]:
         schema, table = split_text(name)
         target = target_table(server, database, name)
@@ -382,55 +430,66 @@ def sync_database(
             if name in clashes:
                 raise ValueError(f"other tables have the target {clashes[name]} too")
             given = tables[name]
-            source = given if isinstance(given, DataFrame) else given()
-            if sync_columns is None:
-                column = sync_column_of(source, pk.get(name, ()))
+            frame = given if isinstance(given, DataFrame) else given()
+            if source.sync_columns is None:
+                column = sync_column_of(frame, pk.get(name, ()))
             else:
-                column = sync_columns.get(name)
+                column = source.sync_columns.get(name)
             if sync_type == "full" and not spark.catalog.tableExists(target):
-                done = full_sync(spark, source, target, column)
+                done = full_sync(spark, frame, target, column)
             else:
                 done = incremental_sync(
-                    spark, source, target, column, last.get(".".join(split_text(name))), batch_rows,
+                    spark, frame, target, column, last.get(".".join(split_text(name))), batch_rows,
                     lambda batch: append_rows(spark, ledger, TABLE_RUNS, [row | _done(batch) | {"updated_at": _now()}]),
                 )
             if header_root is not None:
-                write_header(source, f"{header_root}/{database}/{table}")
+                write_header(frame, f"{header_root}/{database}/{table}")
             row |= _done(done)
         except Exception as problem:  # the outcome row carries it
             row |= {"sync_status": "FAILED", "error": str(problem), "rows_written": 0}
         return row | {"updated_at": _now()}
 
-    outcomes, waiting = [], []
+    return _Prepared(source, sync_type, run, {name: moved.get(".".join(split_text(name)), 0) for name in chosen})
+
+
+def _run_all(
+    spark: SparkSession, ledger: str, databases: Sequence[_Prepared], at_once: int
+) -> list[dict[str, object]]:
+    """Run the tables of all databases from one pool, those first whose last runs wrote most.
+
+    Each database has a scheduler pool of its own, so where the session shares fairly no
+    database waits for another one's large table. Ledger rows wait for one another: those of
+    tables are appended before the row of a database whose last table is done.
+    """
+
+    @inheritable_thread_target(spark)
+    def run(database: _Prepared, name: str) -> tuple[_Prepared, dict[str, object]]:
+        pool = namespace_text(database.source.server, database.source.database)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        return database, database.run(name)
+
+    waiting: list[dict[str, object]] = []
+    ended: list[_Prepared] = [d for d in databases if not d.tables]
+
+    def flush() -> None:
+        append_rows(spark, ledger, TABLE_RUNS, waiting)
+        append_rows(spark, ledger, DATABASE_RUNS, [d.database_row() for d in ended])
+        append_rows(spark, ledger, RUN_LOG, [d.log_row() for d in ended])
+        waiting.clear()
+        ended.clear()
+
+    work = sorted(((d, name) for d in databases for name in d.tables), key=lambda w: -w[0].tables[w[1]])
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for done in as_completed([pool.submit(run, name) for name in chosen]):
-            waiting.append(done.result())
+        for future in as_completed([pool.submit(run, *w) for w in work]):
+            database, row = future.result()
+            database.outcomes.append(row)
+            waiting.append(row)
+            if len(database.outcomes) == len(database.tables):
+                ended.append(database)
             if len(waiting) == LEDGER_BATCH:
-                append_rows(spark, ledger, TABLE_RUNS, waiting)
-                outcomes, waiting = outcomes + waiting, []
-    append_rows(spark, ledger, TABLE_RUNS, waiting)
-    outcomes += waiting
-    failed = [o for o in outcomes if o["sync_status"] == "FAILED"]
-    status = "FAILED" if failed else "COMPLETED"
-    append_rows(
-        spark,
-        ledger,
-        DATABASE_RUNS,
-        [
-            {
-                "server_name": server,
-                "database_name": database,
-                "sync_type": sync_type,
-                "sync_status": status,
-                "error": str(failed[0]["error"]) if failed else None,
-                "updated_at": _now(),
-            }
-        ],
-    )
-    details = f"{database}: {len(outcomes) - len(failed)} of {len(outcomes)} tables"
-    entry = {"server_name": server, "sync_time": _now(), "status": status, "details": details}
-    append_rows(spark, ledger, RUN_LOG, [entry])
-    return _outcome_frame(spark, outcomes)
+                flush()
+    flush()
+    return [row for d in databases for row in d.outcomes]
 
 
 def _done(outcome: Outcome) -> dict[str, object]:
@@ -500,27 +559,49 @@ def sync_fleet(
     header_root: str | None = None,
 ) -> DataFrame:
     """Bring every database of every server up to date, system databases and the
-    ones a server skips left out. Gives the outcome rows of all tables."""
-    outcomes = _outcome_frame(spark, [])
-    for source in sources:
-        skipped = set((skip or {}).get(source.server, ()))
-        if source.database in SYSTEM_DATABASES or source.database in skipped:
-            continue
-        outcomes = outcomes.unionAll(
-            sync_database(
-                spark,
-                ledger,
-                source.server,
-                source.database,
-                source.tables,
-                source.sync_columns,
-                target_root,
-                at_once,
-                source.keys,
-                header_root,
-            )
-        )
-    return outcomes
+    ones a server skips left out. Gives the outcome rows of all tables.
+
+    The tables of all databases share one pool of ``at_once`` jobs. A database that cannot be
+    prepared is a failed run in the ledger and stops no other. Each server's run is noted in
+    the job ledger, as running when it begins and with its outcome when it ends.
+    """
+    wanted = [
+        s
+        for s in sources
+        if s.database not in SYSTEM_DATABASES and s.database not in set((skip or {}).get(s.server, ()))
+    ]
+    started = _now()
+    servers = list(dict.fromkeys(s.server for s in wanted))
+    _note_jobs(spark, ledger, {s: ("RUNNING", None) for s in servers}, started)
+    prepared, broken = [], []
+    for source in wanted:
+        try:
+            prepared.append(_prepared(spark, ledger, source, target_root, header_root, None))
+        except Exception as problem:  # the database's row carries it
+            broken.append(_database_row(source, None, str(problem), True))
+    append_rows(spark, ledger, DATABASE_RUNS, broken)
+    outcomes = _run_all(spark, ledger, prepared, at_once)
+    errors: dict[str, str] = {}
+    for row in [*broken, *outcomes]:
+        if row["sync_status"] == "FAILED":
+            errors.setdefault(str(row["server_name"]), str(row["error"]))
+    ends = {s: ("FAILED" if s in errors else "COMPLETED", errors.get(s)) for s in servers}
+    _note_jobs(spark, ledger, ends, started)
+    return _outcome_frame(spark, outcomes)
+
+
+#: The type of a fleet's runs in the job ledger.
+FLEET_JOB = "sync"
+
+
+def _note_jobs(
+    spark: SparkSession, ledger: str, status: Mapping[str, tuple[str, str | None]], started: datetime
+) -> None:
+    entries = [
+        {"server_name": server, "job_type": FLEET_JOB, "last_run": started, "status": now, "error": error, "created_at": _now()}
+        for server, (now, error) in status.items()
+    ]
+    append_rows(spark, ledger, JOB_RUNS, entries)
 
 
 _OUTCOME = """server_name string, database_name string, schema_name string, table_name string,

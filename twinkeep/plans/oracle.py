@@ -789,5 +789,11 @@ FROM state s JOIN (SELECT server_name, database_name, count(*) AS runs FROM run_
 )
 
 
+# What a snapshot and the rows after it give is what all rows give.
+for _name in ("table_state", "database_state"):
+    _SQL[f"compacted_{_name}"] = _SQL[_name]
+_SQL["compacted_job_state"] = _SQL["live_jobs"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

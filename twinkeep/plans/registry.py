@@ -13,6 +13,7 @@ from twinkeep.functions.status import severity, thousands
 from twinkeep.operators import (
     alerts,
     changes,
+    compaction,
     compare,
     copies,
     ledger,
@@ -26,7 +27,7 @@ from twinkeep.operators import (
 from twinkeep.plans.inputs import derived, table
 from twinkeep.session import work_path
 from twinkeep.sources import csv_tree, sinks, tables, text_log
-from twinkeep.sources.ledger_tables import TABLE_RUNS, create_ledgers, run_log_entries
+from twinkeep.sources.ledger_tables import DATABASE_RUNS, JOB_RUNS, TABLE_RUNS, create_ledgers, run_log_entries
 from twinkeep.streaming import incremental, live_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,6 +601,38 @@ def fleet_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _compacted(spark: SparkSession, sf: str, name: str, given: str) -> DataFrame:
+    """A ledger filled in two parts; a snapshot of the first is in force."""
+    space, root = _namespace(spark)
+    create_ledgers(spark, space)
+    schema = spark.table(f"{space}.{name}").schema
+    source = derived(spark, sf, given)
+    found = source.select(
+        *[(F.col(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+    for number, part in enumerate(("run_id % 3 < 2", "run_id % 3 = 2")):
+        found.where(part).write.insertInto(f"{space}.{name}")
+        if not number:
+            compaction.compact_ledger(spark, space, name, f"{root}/snapshots")
+    return compaction.state_rows(spark, space, name)
+
+
+@query
+def compacted_table_state(spark: SparkSession, sf: str) -> DataFrame:
+    state = ledger.table_state(_compacted(spark, sf, TABLE_RUNS, "table_ledger"))
+    return state.drop("last_pk_type").withColumn("last_pk_value", F.col("last_pk_value").cast("bigint"))
+
+
+@query
+def compacted_database_state(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.database_state(_compacted(spark, sf, DATABASE_RUNS, "run_ledger"))
+
+
+@query
+def compacted_job_state(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.live_jobs(ledger.job_state(_compacted(spark, sf, JOB_RUNS, "job_ledger")))
+
+
 @query
 def tables_processed(spark: SparkSession, sf: str) -> DataFrame:
     _, outcomes = _twice_synced(spark, sf)

@@ -15,6 +15,7 @@ DATABASE_RUNS = "database_runs"
 TABLE_RUNS = "table_runs"
 RUN_LOG = "run_log"
 JOB_RUNS = "job_runs"
+SNAPSHOTS = "snapshots"
 
 SCHEMAS: dict[str, str] = {
     DATABASE_RUNS: """run_id bigint, server_name string, database_name string,
@@ -27,6 +28,7 @@ SCHEMAS: dict[str, str] = {
         status string, details string""",
     JOB_RUNS: """run_id bigint, server_name string, job_type string,
         last_run timestamp_ntz, status string, error string, created_at timestamp_ntz""",
+    SNAPSHOTS: "run_id bigint, ledger string, path string",
 }
 
 
