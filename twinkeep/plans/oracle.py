@@ -741,6 +741,20 @@ _SQL["sync_columns"] = "\nUNION ALL ".join(
         ("benchmark", "item_id", "id"),
     )
 )
+_SQL["sync_columns_sketched"] = "\nUNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+    count(*) AS total_rows, count(*) - count({column}) AS null_rows,
+    count(CASE WHEN {column} = (SELECT max({column}) FROM {table}) THEN 1 END) AS ties_at_max,
+    count(DISTINCT {column}) = count(*) AS may_be_unique FROM {table}"""
+    for table, columns in (
+        ("orders", ("o_orderkey", "o_custkey", "o_orderdate")),
+        ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")),
+        ("events", ("event_id", "ts", "user_id")),
+        ("labels", ("doc_id", "toxic", "quality")),
+        ("benchmark", ("item_id",)),
+    )
+    for column in columns
+)
 
 # Scans.
 _SQL["subset_scan"] = f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_FILTER}"
@@ -780,6 +794,7 @@ _SQL["stream_append"] = f"""
 SELECT * FROM events WHERE ts < TIMESTAMP '{DROP_END}'
 UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '{DROP_START}'"""
 _SQL["stream_incremental"] = "SELECT * FROM events"
+_SQL["stream_by_filters"] = _SQL["stream_incremental"]
 _SQL["stream_second_checkpoint"] = _SQL["stream_incremental"]
 _SQL["stream_live_status"] = (
     _STATE

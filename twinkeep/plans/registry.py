@@ -823,20 +823,37 @@ def type_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sync_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The rule over the tables' own schemas, then a profile of each choice."""
+    given, chosen, picks = _sync_choices(spark, sf)
+    profiles = schema.profile_candidates(given, picks)
+    return chosen.join(profiles.drop("column_name"), "table_name")
+
+
+@query
+def sync_columns_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidates of the tables, not the chosen alone, by sketches: one pass per table."""
+    given, _, _ = _sync_choices(spark, sf)
+    candidates = schema.sync_candidates(_sync_metadata(spark, given)).select("table_name", "column_name")
+    picks = [tuple(r) for r in candidates.collect()]
+    found = schema.sketch_candidates(given, picks)
+    return found.select(
+        "table_name", "column_name", "total_rows", "null_rows", "ties_at_max", "may_be_unique"
+    )
+
+
+def _sync_choices(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], DataFrame, list[tuple[str, str]]]:
     names = ("orders", "lineitem", "events", "labels", "benchmark")
     given = {n: table(spark, sf, n) for n in names}
+    chosen = schema.choose_sync_column(_sync_metadata(spark, given))
+    return given, chosen, [(r.table_name, r.sync_column) for r in chosen.collect()]
+
+
+def _sync_metadata(spark: SparkSession, given: dict[str, DataFrame]) -> DataFrame:
     keys = spark.createDataFrame(
         [("orders", "o_orderkey", 1), ("lineitem", "l_orderkey", 1),
          ("lineitem", "l_linenumber", 2)],
         "table_name string, column_name string, pk_position int",
     )
-    metadata = tables.column_metadata(spark, given).join(
-        keys, ["table_name", "column_name"], "left"
-    )
-    chosen = schema.choose_sync_column(metadata)
-    picks = [(r.table_name, r.sync_column) for r in chosen.collect()]
-    profiles = schema.profile_candidates(given, picks)
-    return chosen.join(profiles.drop("column_name"), "table_name")
+    return tables.column_metadata(spark, given).join(keys, ["table_name", "column_name"], "left")
 
 
 # Scans -----------------------------------------------------------------------
@@ -953,7 +970,9 @@ def _drops(spark: SparkSession, sf: str) -> tuple[DataFrame, list[DataFrame]]:
     ]
 
 
-def _streamed(spark: SparkSession, sf: str, drop_known: bool) -> DataFrame:
+def _streamed(
+    spark: SparkSession, sf: str, drop_known: bool, range_column: str | None = "ts"
+) -> DataFrame:
     events, drops = _drops(spark, sf)
     inbox, target = work_path(spark, "inbox"), work_path(spark, "stream")
     checkpoint = work_path(spark, "checkpoint")
@@ -961,7 +980,7 @@ def _streamed(spark: SparkSession, sf: str, drop_known: bool) -> DataFrame:
         if drop is not None:
             drop.write.mode("append").parquet(inbox)
         incremental.append_new_files(
-            spark, inbox, events.schema, target, checkpoint, drop_known, "ts"
+            spark, inbox, events.schema, target, checkpoint, drop_known, range_column
         )
     return _target(spark, target, events)
 
@@ -995,6 +1014,12 @@ def stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, drop_known=True)
 
 
+@query
+def stream_by_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """No range column: the filters alone tell which folders are read."""
+    return _streamed(spark, sf, drop_known=True, range_column=None)
+
+
 @query
 def stream_live_status(spark: SparkSession, sf: str) -> DataFrame:
     runs, at = derived(spark, sf, "run_ledger"), F.col("updated_at")

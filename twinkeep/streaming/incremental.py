@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinkeep.functions.digest import DIGEST, own_columns, with_digest
+from twinkeep.functions.digest import DIGEST, only_digest, own_columns, with_digest
 from twinkeep.operators.compare import differences_from_few
 from twinkeep.session import work_path
+from twinkeep.streaming.known import BATCH, RUN, batches_to_probe, write_filter
 
-#: A batch is known by the checkpoint that counts it and by its number there.
-RUN, BATCH = "run", "batch"
+#: Folders that are named in a filter; more are joined.
+NAMED_FOLDERS = 1000
+#: What every target holds from the start: no rows.
+_FIRST = ("none", -1)
 
 
 def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
@@ -37,20 +42,21 @@ def append_new_files(
     own (Spark gives it one), so it never touches what another one wrote.
 
     With ``drop_known`` copies inside a batch collapse and rows that any other
-    batch of the target holds are left out. ``range_column`` then limits the part of the target
-    that is probed to the values the batch has: equal rows have equal values,
-    and file statistics skip the rest.
+    batch of the target holds are left out. Each batch then keeps a Bloom filter of its rows in
+    ``<target>_filters``, and only folders whose filter a batch hits are read (see ``known``).
+    ``range_column`` limits what is read of them to the values the batch has: equal rows have
+    equal values, and file statistics skip the rest.
     """
 
     empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").parquet(f"{target}/{RUN}=none/{BATCH}=-1")
+    empty.write.mode("ignore").parquet(f"{target}/{RUN}={_FIRST[0]}/{BATCH}={_FIRST[1]}")
+    if drop_known:
+        write_filter(only_digest(empty, own_columns(empty)), 0, target, schema, *_FIRST)
 
     def put(rows: DataFrame, batch: int) -> None:
         run = spark.read.json(f"{checkpoint}/metadata").first().id
         if drop_known:
-            own = (F.col(RUN) == run) & (F.col(BATCH) == batch)
-            others = read_target(spark, target, schema).where(~own).drop(RUN, BATCH)
-            rows = _unknown_rows(spark, rows, others, schema, range_column)
+            rows = _unknown_rows(spark, rows, target, (run, batch), schema, range_column)
         rows.write.mode("overwrite").parquet(f"{target}/{RUN}={run}/{BATCH}={batch}")
 
     reader = spark.readStream.schema(schema)
@@ -66,21 +72,47 @@ def append_new_files(
     )
 
 
+def _read_folders(spark: SparkSession, target: str, schema: T.StructType, folders: DataFrame) -> DataFrame | None:
+    """The rows of some batches; None without any batch."""
+    few = folders.limit(NAMED_FOLDERS + 1).collect()
+    if not few:
+        return None
+    rows = read_target(spark, target, schema)
+    if len(few) > NAMED_FOLDERS:
+        return rows.join(folders, [RUN, BATCH], "left_semi").drop(RUN, BATCH)
+    runs: dict[str, list[int]] = {}
+    for folder in few:
+        runs.setdefault(folder[RUN], []).append(folder[BATCH])
+    named = [(F.col(RUN) == run) & F.col(BATCH).isin(batches) for run, batches in runs.items()]
+    return rows.where(reduce(Column.__or__, named)).drop(RUN, BATCH)
+
+
 def _unknown_rows(
     spark: SparkSession,
     rows: DataFrame,
-    others: DataFrame,
+    target: str,
+    own: tuple[str, int],
     schema: T.StructType,
     range_column: str | None,
 ) -> DataFrame:
-    staged = work_path(spark, "batch")
+    """The rows that no other batch holds; their filter is written on the way."""
+    path = work_path(spark, "batch")
     digested = with_digest(rows, own_columns(rows))
-    digested.dropDuplicates(DIGEST).drop(*DIGEST).write.parquet(staged)
-    fresh = spark.read.schema(schema).parquet(staged)
-    if range_column is not None:
-        value = F.col(range_column)
-        low, high = fresh.agg(F.min(value).cast("string"), F.max(value).cast("string")).first()
-        kind = schema[range_column].dataType
-        inside = (value >= F.lit(low).cast(kind)) & (value <= F.lit(high).cast(kind))
-        others = others.where(value.isNull() if low is None else inside | value.isNull())
-    return differences_from_few(fresh, others).missing()
+    digested.dropDuplicates(DIGEST).write.parquet(path)
+    staged = spark.read.schema(digested.schema).parquet(path)
+    fresh, count = staged.drop(*DIGEST), staged.count()
+    folders = batches_to_probe(staged.select(*DIGEST), count, target, schema, [own, _FIRST])
+    others = _read_folders(spark, target, schema, folders)
+    if others is not None:
+        if range_column is not None:
+            others = others.where(_within(fresh, range_column))
+        fresh = differences_from_few(fresh, others).missing()
+    write_filter(only_digest(fresh, own_columns(fresh)), count, target, schema, *own)
+    return fresh
+
+
+def _within(fresh: DataFrame, range_column: str) -> Column:
+    value, kind = F.col(range_column), fresh.schema[range_column].dataType
+    low, high = fresh.agg(F.min(value).cast("string"), F.max(value).cast("string")).first()
+    inside = (value >= F.lit(low).cast(kind)) & (value <= F.lit(high).cast(kind))
+    return value.isNull() if low is None else inside | value.isNull()
