@@ -58,6 +58,19 @@ def test_random_logs_match_brute_force(spark, block):
     assert ours(spark, data, block=block) == brute(data)
 
 
+def test_turns_without_or_with_one_number_fill_several_blocks(spark):
+    rng = random.Random(9)
+    data = []
+    for c in range(6):
+        turns = [(None if c % 2 else 7, rng.choice(["user", None]), f"{k:03}") for k in range(20 + 30 * c)]
+        data += [(c, *t) for t in turns] + [(100 + c, *t) for t in sorted(turns, key=str)[:9]]
+    block = 8
+    assert ours(spark, data, block=block) == brute(data)
+    frame = spark.createDataFrame([(*r, "x", 1) for r in data], SCHEMA)
+    sizes = chat._turns(frame, "conv_id", "turn", "role", "text", block).groupBy("conv_id", "block").count()
+    assert max(r["count"] for r in sizes.collect()) == block
+
+
 def test_empty_table(spark):
     assert ours(spark, []) == {}
 

@@ -7,16 +7,17 @@ ones the smallest id stays.
 Turns are numbered within their conversation in the order of ``turn``, then role,
 then text; rows repeated whole count once. The rolling hash of a prefix is the xor of
 128-bit hashes of (place, role, text) of its turns. All of it runs in two levels, so a
-conversation of any length never meets in one task: turns are numbered and folded in
-blocks (``BLOCK`` consecutive turn numbers), and blocks are then offset by the totals
-of the blocks before. Prefixes are compared by aggregation over their hash, which
+conversation of any length never meets in one task, whatever its turn numbers: turns are
+numbered by a range shuffle and folded in blocks (``BLOCK`` consecutive places), and blocks
+are then offset by the totals of the blocks before. Prefixes are compared by aggregation over their hash, which
 combines before the shuffle, so a first turn that a third of all conversations share
 is no hot key. An anti-join drops the conversations that another one extends.
 
 Nulls: rows without ``conv_id`` belong to no conversation and are left out; a null
 turn comes first; a null role renders as ``unknown`` and a null text as empty, but
-both differ from ``unknown`` and from empty text when prefixes are compared. An
-empty table gives no rows. Built-in functions only.
+both differ from ``unknown`` and from empty text when prefixes are compared. Turns with
+one number, or none, are told apart by role and text. An empty table gives no rows; other
+columns, of whatever names, are not read. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinkeep.llm.rows import stored
+from twinkeep.operators.numbering import number_within
 
-#: Consecutive turn numbers per block; a rendered conversation has a part per block.
+#: Consecutive turns per block; a rendered conversation has a part per block.
 BLOCK = 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -48,20 +50,13 @@ def _turns(
             {
                 "h1": F.xxhash64(F.lit(1), "role", F.col("role").isNull(), "text", F.col("text").isNull()),
                 "h2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "role", F.col("role").isNull()),
-                "block": F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))),
             }
         )
-        .dropDuplicates(["conv_id", "block", "turn", "role", "text"])
+        .dropDuplicates(["conv_id", "turn", "role", "text"])
     )
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    inside = W.partitionBy("conv_id", "block").orderBy(*order)
-    placed = stored(turns.withColumn("at", F.row_number().over(inside)), "turns")
-    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sizes = placed.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    shifts = sizes.select(
-        "conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
-    )
-    return placed.join(shifts, ["conv_id", "block"]).withColumn("place", F.col("at") + F.col("shift"))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    placed = number_within(turns, ["conv_id"], order, "place")
+    return stored(placed.withColumn("block", F.floor((F.col("place") - 1) / block)), "turns")
 
 
 def _prefixes(placed: DataFrame) -> DataFrame:
@@ -131,8 +126,8 @@ def format_chats(
 ) -> DataFrame:
     """Maximal conversations: ``conv_id``, ``part``, ``n_turns`` and ``rendered``.
 
-    ``part`` is 0 but for conversations whose turn numbers span several blocks, which
-    have one row per block in order; joined by nothing, the parts are the conversation.
+    ``part`` is 0 but for conversations of more than ``block`` turns, which have one row
+    per block in order; joined by nothing, the parts are the conversation.
     ``n_turns`` is that of the whole conversation.
     """
     placed = _turns(conversations, conv_id, turn, role, text, block)
