@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +121,31 @@ def test_long_runs_of_digits_do_not_stop_a_task():
             assert [s for s in pii.spans(text) if s.kind in pii.BASE_KINDS] is not None
     zeros = "0" * 5000 + ".1.2.3"
     assert [(s.kind, s.start, s.end) for s in pii.spans(zeros) if s.kind == "ip"] == [("ip", 0, len(zeros))]
+
+
+def secrets(text):
+    return [text[s.start : s.end] for s in pii.spans(text) if s.kind == "secret"]
+
+
+def test_secrets():
+    rng = random.Random(2)
+    value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    for text in (f'token = "{value}"', f"API_KEY={value}", f"password: '{value}' x", f"Bearer {value}", f"authToken={value};",
+                 f"client_secret := {value}.", f"the version and token = {value}"):
+        assert secrets(text) == [value]
+        assert value not in pii.masked(text, pii.spans(text)) and "[SECRET]" in pii.masked(text, pii.spans(text))
+    issued = ["AKIA" + "ABCD1234" * 2, "ghp_" + "aB3" * 12, "eyJhbGciOi12.eyJzdWIiOi12.sig-nature1"]
+    assert secrets(" ".join(issued)) == issued
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIab12\nxyz=\n-----END RSA PRIVATE KEY-----"
+    assert secrets(f"a {block} b") == [block]
+    for text in ("token = short1", f"commit {value}", "password: correcthorsebatterystaple", "token = " + "1" * 40,
+                 "secret = a1a1a1a1a1a1a1a1a1", "the tokens of the parser are kept in a list of 16 items"):
+        assert secrets(text) == []
+
+
+def test_hard_secrets_stay_linear():
+    for text in ("token" * 60_000, "token=" * 50_000, "token-" * 50_000, "eyJa" * 70_000, "xoxa-" * 60_000, "token " * 50_000,
+                 "-----BEGIN PRIVATE KEY-----" * 10_000, "eyJaaaaaaaa1." * 20_000):
+        began = time.perf_counter()
+        pii.spans(text + " 1")
+        assert time.perf_counter() - began < 4

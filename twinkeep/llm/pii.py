@@ -1,23 +1,28 @@
 """Personal data in texts: patterns propose, checksums confirm, context adjusts.
 
 Patterns propose spans of each kind; a validator (Luhn for cards, mod-97 for bank
-accounts, ranges for addresses) confirms or drops them, and words close by raise
-or lower the score. Proposals of the base kinds that their validator accepts are
-always kept; weaker kinds (``iban``, ``ssn``) are kept from ``MIN_SCORE`` on.
+accounts, ranges for addresses, entropy for secrets) confirms or drops them, and words close
+by raise or lower the score. Proposals of the base kinds that their validator accepts are
+always kept; weaker kinds (``iban``, ``ssn``, ``secret``) are kept from ``MIN_SCORE`` on.
 
 The patterns are written so that their time is linear in the text: an email is
 found from its ``@``, number runs are taken whole and never tried again. An account
 is one of the beginnings of a run of groups, of which there are at most nine: the one
 of its country's length if the checksum confirms it, else the longest confirmed one.
+A secret is what is assigned to a name that tells so, if it has letters and digits and its
+characters vary as those of random text do, or a key of a form that its issuer fixes.
 
 Null and empty texts have no spans. Rows are independent, so repeated rows and
-repeated or null ids each give their own result. Offsets count code points.
+repeated or null ids each give their own result; an empty table gives no rows, and a
+column of the input that bears the name of a new one is replaced. Offsets count code points.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from collections import Counter
+from math import log2
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from twinkeep.llm import rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 
 #: Context words, the score without context, and their effect.
 CONTEXT = {
@@ -37,9 +42,10 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
+    "secret": ("token", "secret", "password", "passwd", "key", "apikey", "auth", "credential", "bearer"),
 }
 AGAINST = ("version", "isbn", "serial", "order", "build", "invoice")
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.6}
 CONTEXT_GAIN, CONTEXT_LOSS, CONTEXT_REACH, MIN_SCORE = 0.2, 0.2, 40, 0.5
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -61,6 +67,18 @@ IBAN_LENGTH = {
     ).split()
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Names that secrets are assigned to, and forms of issued keys.
+_ASSIGNED = re.compile(
+    r"""(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)"""
+    r"""[A-Za-z0-9_-]{0,32}+["']?(?:[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}|[ \t]{1,4})["']?([A-Za-z0-9+/=_.~-]{16,}+)"""
+)
+_ISSUED = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]++(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+)
+#: Bits per character from which an assigned value counts as random; hexadecimal digits reach 4.
+LEAST_ENTROPY = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -149,6 +167,25 @@ def _ssns(text: str) -> list[tuple[int, int]]:
     ]
 
 
+def entropy(value: str) -> float:
+    """Bits per character, by the characters' shares."""
+    return sum(n / len(value) * log2(len(value) / n) for n in Counter(value).values())
+
+
+def _secrets(text: str) -> list[tuple[int, int]]:
+    found = [m.span() for m in _ISSUED.finditer(text)]
+    for hit in _ASSIGNED.finditer(text):
+        value = hit[1].rstrip(".=")
+        mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+        if len(value) >= 16 and mixed and entropy(value) >= LEAST_ENTROPY:
+            found.append((hit.start(1), hit.start(1) + len(value)))
+    apart = []
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not apart or start >= apart[-1][1]:
+            apart.append((start, end))
+    return apart
+
+
 def spans(text: str | None) -> list[Span]:
     """All spans of a text by kind as listed in ``KINDS``, then by start."""
     if not text:
@@ -162,6 +199,7 @@ def spans(text: str | None) -> list[Span]:
         proposed["phone"] = _phones(text) if "+" in text else []
         proposed["iban"] = _ibans(text)
         proposed["ssn"] = _ssns(text)
+        proposed["secret"] = _secrets(text)
     out = []
     for kind in KINDS:
         for start, end in proposed.get(kind, ()):
