@@ -1,8 +1,10 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: lower case, look-alike letters of other scripts and digits or
-signs that stand for letters become those letters, everything else that is no letter
-becomes one blank. Lexicon entries are whole words (`` word ``) and word beginnings
+Texts are folded first: compatibility forms and accents are taken apart (NFKD), marks and
+characters without shape (zero-width blanks, soft hyphens) go; lower case; look-alike letters of
+other scripts and digits or signs that stand for letters become those letters, where ``i``, ``l``
+and ``1`` are one letter; numbers alone and everything else that is no letter become one blank.
+Lexicon entries are whole words (`` word ``) and word beginnings
 (`` begin``), each with its log-odds of toxic against clean texts. Per word the
 heaviest entry counts, unless an exception phrase covers it. The sum and the sum per
 word (normalised by length) go through a logistic curve.
@@ -11,16 +13,20 @@ Entries and exception phrases are learned from labelled rows, at most about
 ``SAMPLE`` of them taken by the hash of the text: entries whose share of toxic texts
 would be reached by chance less than once in the whole candidate list, exceptions
 from matched words and the two-word phrases around them that clean texts hold more
-often than toxic ones. Equal folded texts count once in the lexicon. The lexicon keeps its ``ENTRIES``
-most significant entries, so what is broadcast is bounded.
-
-Null and empty texts score like a text without any match. Rows are independent:
-repeated rows and null ids each give their result. Without labels of both kinds every
-score is the share of toxic rows (0 without any). Scores do not depend on ids.
+often than toxic ones. Copies are no evidence of their own: of equal and nearly equal folded
+texts, told by the least hashes of their word shingles, one counts in the lexicon. Significance alone decides
+what is an entry, so the sample's vocabulary bounds what is broadcast.
+
+Null and empty texts score like a text without any match. A text of any length is read whole.
+Rows are independent: repeated rows and null ids each give their result; equal texts tie. An empty
+table gives no rows, and an input column named ``score`` or ``hits`` is replaced. Without labels of
+both kinds every score is the share of toxic rows (0 without any). Scores do not depend on ids.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 from math import exp, lgamma, log, log1p
@@ -30,23 +36,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from twinkeep.llm import rows
 
-#: Bounds: labelled rows learned from, entries, phrases; texts an entry must be in.
-SAMPLE, ENTRIES, PHRASES, LEAST_TEXTS = 20_000, 5_000, 2_000, 3
+#: Labelled rows learned from at most; texts an entry or a phrase must be in.
+SAMPLE, LEAST_TEXTS = 20_000, 3
+#: Words of a shingle, and least hashes of which one in common makes two texts count once.
+SHINGLE, NEAR = 5, ("near0", "near1", "near2")
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 8)
 LEAST_WEIGHT = 1.5
 
 #: Characters that stand for Latin letters.
 LOOK_ALIKES = {
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "|": "l",
+    "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
+    "@": "a", "$": "s", "|": "i", "l": "i",
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c",
     "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
-    "υ": "u", "χ": "x", "ı": "i", "ⅼ": "l", "ℓ": "l",
+    "υ": "u", "χ": "x", "ı": "i", "ß": "ss", "æ": "ae", "ø": "o", "đ": "d", "ł": "i",
 }
+#: Signs that stand for letters only between letters, digits and each other.
+INSIDE = {"!": "i", "+": "t", "€": "e"}
+
+_SIGNS = re.compile(r"(?<=[^\W_])[!+€]++(?=[^\W_])")
+_NUMBER = re.compile(r"(?<![^\W_])(?<![$@|!+€])[\d$@|!+€]++(?![^\W_])")
+_INSIDE = str.maketrans(INSIDE)
 
 
 class _Fold(dict):
@@ -56,19 +72,25 @@ class _Fold(dict):
         return self[code]
 
 
-def _table() -> _Fold:
-    table = _Fold({ord(k): v for k, v in LOOK_ALIKES.items()})
-    # Full-width forms.
-    table.update({0xFF41 + k: chr(97 + k) for k in range(26)})
-    return table
+class _Shapeless(dict):
+    """Drops marks and characters without shape, keeps all others."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)) in ("Mn", "Me", "Cf") else code
+        return self[code]
 
 
-_FOLD = _table()
+_FOLD = _Fold({ord(k): v for k, v in LOOK_ALIKES.items()})
+_SHAPED = _Shapeless()
 
 
 def folded(text: str | None) -> str:
     """Folded words with one blank before, between and after; a blank for no words."""
-    words = (text or "").lower().translate(_FOLD).split()
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_SHAPED)
+    text = _SIGNS.sub(lambda m: m[0].translate(_INSIDE), _NUMBER.sub(" ", text.lower()))
+    words = text.translate(_FOLD).split()
     return f" {' '.join(words)} " if words else " "
 
 
@@ -120,6 +142,13 @@ def _sample(labelled: DataFrame, bound: int) -> DataFrame:
     return labelled.where(part < int(share * 1_000_000))
 
 
+def least_hashes(text: str) -> list[int]:
+    """Per seed the least hash of the shingles of a folded text."""
+    words = text.split()
+    shingles = {" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+    return [min(xxh64_intdigest(s, seed) for s in shingles) >> 1 for seed in range(len(NEAR))]
+
+
 def _candidates(text: str) -> set[str]:
     out = set()
     for word in text.split():
@@ -158,13 +187,18 @@ def _counted(sample: DataFrame, make_keys, least: int) -> DataFrame:
 
 
 def _tail(hits: int, n: int, p: float) -> float:
-    """log P(Binomial(n, p) >= hits), by its largest terms."""
-    terms = [
-        lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)
-        for k in range(hits, min(n, hits + 400) + 1)
-    ]
-    top = max(terms)
-    return top + log(sum(exp(t - top) for t in terms))
+    """log P(Binomial(n, p) >= hits); 0 where that is no rare event."""
+    if hits <= n * p:
+        return 0.0
+    # Above the mean the terms fall faster and faster: what follows a negligible one is negligible.
+    total, first = 0.0, None
+    for k in range(hits, n + 1):
+        term = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)
+        first = term if first is None else first
+        total += exp(term - first)
+        if term < first - 40:
+            break
+    return min(0.0, first + log(total))
 
 
 def train(
@@ -184,12 +218,20 @@ def train(
     ).where("toxic IN (0, 1)")
 
     def fold():
-        return lambda texts: [pa.array([folded(t) for t in texts.to_pylist()], pa.string())]
+        def work(texts: pa.Array):
+            plain = [folded(t) for t in texts.to_pylist()]
+            return [plain, *zip(*map(least_hashes, plain))] if plain else [[]] * (1 + len(NEAR))
 
-    taken = rows.append(_sample(chosen, sample), ["text"], fold, "folded string")
-    taken = rows.stored(taken.select("folded", "toxic"), "labelled")
-    unique = taken.groupBy("folded").agg(F.max("toxic").alias("toxic"))
-    unique = rows.stored(unique, "labelled")
+        return work
+
+    fields = ", ".join(["folded string", *[f"{n} long" for n in NEAR]])
+    taken = rows.append(_sample(chosen, sample), ["text"], fold, fields)
+    taken = rows.stored(taken.select("folded", "toxic", *NEAR), "labelled")
+    unique = taken
+    for near in NEAR:
+        first = F.max(F.struct("toxic", "folded", *NEAR)).alias("first")
+        unique = unique.groupBy(F.col(near).alias("near")).agg(first).select("first.*")
+    unique = rows.stored(unique.select("folded", "toxic"), "labelled")
     sizes = {r.toxic: r["count"] for r in unique.groupBy("toxic").count().collect()}
     hot, cold = sizes.get(1, 0), sizes.get(0, 0)
     rate = taken.agg(F.avg("toxic")).first()[0] or 0.0
@@ -198,15 +240,8 @@ def train(
     counted = rows.stored(_counted(unique, lambda: _candidates, LEAST_TEXTS), "candidates")
     total = max(1, counted.count())
     weight = F.log((F.col("toxic") + 1) / (hot + 2)) - F.log((F.col("clean") + 1) / (cold + 2))
-    top = (
-        counted.withColumn("weight", weight)
-        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("toxic") >= LEAST_TEXTS))
-        .orderBy(
-            F.desc(F.col("weight") / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))), "key"
-        )
-        .limit(ENTRIES)
-        .collect()
-    )
+    heavy = (F.col("weight") >= LEAST_WEIGHT) & (F.col("toxic") >= LEAST_TEXTS)
+    top = counted.withColumn("weight", weight).where(heavy).orderBy("key").collect()
     p = hot / (hot + cold)
     chance = log(1 / total)
     entries = {r.key: r.weight for r in top if _tail(r.toxic, r.toxic + r.clean, p) <= chance}
@@ -240,7 +275,7 @@ def _learned_exceptions(unique: DataFrame, lexicon: Lexicon, hot: int, cold: int
     rate = hot / (hot + cold)
     counted = _counted(unique, phrases, LEAST_TEXTS)
     kept = counted.where(F.col("toxic") <= rate / 2 * (F.col("toxic") + F.col("clean")))
-    return [r.key for r in kept.orderBy(F.desc("clean"), "key").limit(PHRASES).collect()]
+    return [r.key for r in kept.orderBy("key").collect()]
 
 
 def _curve(taken: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
