@@ -127,3 +127,16 @@ def test_odd_rows(spark, model):
     assert extraction.extract(pages.limit(0), model).count() == 0
     alone = extraction.train(pages.limit(0))
     assert extraction.main_text(labelled_pages.filled(labelled_pages.PAGES[0]).replace("+ ", ""), alone)
+
+
+def test_every_feature_seen_twice_is_kept(spark):
+    def word(n):
+        return "q" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+    def page(k):
+        names = " ".join(word(4 * (k // 2) + j) for j in range(4))
+        return f"<html><body><main class='{names}'><p>One sentence of page {k}, long enough.</p></main></body></html>"
+
+    pages = [(k, "u", page(k)) for k in range(3_600)]
+    model = extraction.train(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sum(n.startswith("n:q") for n in model.weights) > 5_000

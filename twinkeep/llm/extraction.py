@@ -8,8 +8,8 @@ blocks at 0.5 or more are the text, in page order.
 
 Chances are counted on labelled pages: a bounded sample (about ``SAMPLE``, by hash of
 the html) of those pages whose own markup shows an article, and the small hand-labelled
-pages of ``labelled_pages``, which together count as much as the sample does. At most ``FEATURES``
-features are kept, so what is broadcast is bounded.
+pages of ``labelled_pages``, which together count as much as the sample does. Every feature that
+the sample shows ``LEAST_SEEN`` times is kept, so the sample bounds what is broadcast.
 
 A null or empty page gives the empty text. Character references are decoded, white
 space inside a block becomes one space, nothing is capped. Pages are independent:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from twinkeep.llm import labelled_pages, rows
 from twinkeep.llm.htmltree import Node, parse
 
-SAMPLE, FEATURES, SMOOTHING = 4_000, 5_000, 0.5
+SAMPLE, LEAST_SEEN, SMOOTHING = 4_000, 2, 0.5
 
 #: Elements and names that show an article, and what is not part of one.
 _ARTICLE = {"article", "main"}
@@ -122,9 +122,8 @@ def _model(counts: Counter) -> PageModel:
     s = SMOOTHING
     total = {(b, y): counts[(f"node:{'block' if b else 'box'}", y)] + s for b in (False, True) for y in (0, 1)}
     names = sorted({k for k, _ in counts if not k.startswith(("node:", "edge:"))})
-    often = sorted(names, key=lambda k: -(counts[(k, 0)] + counts[(k, 1)]))[:FEATURES]
     weights = {}
-    for name in often:
+    for name in names:
         block = name.startswith(("heading:", "size:", "links:", "end:"))
         a, b = ((counts[(name, y)] + s) / (total[(block, y)] + 2 * s) for y in (1, 0))
         weights[name] = log(a / b)
@@ -180,13 +179,16 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> PageMod
 
     met = (
         rows.generate(chosen, ["html"], make, "name string, y int, n long")
-        .groupBy("name", "y")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "name", "y")
-        .limit(2 * FEATURES)
+        .groupBy("name")
+        .agg(*[F.sum(F.when(F.col("y") == y, F.col("n"))).alias(f"n{y}") for y in (0, 1)])
+        .where(
+            (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0)) >= LEAST_SEEN)
+            | F.col("name").rlike("^(node|edge):")
+        )
+        .orderBy("name")
         .collect()
     )
-    found = {(r.name, r.y): r.n for r in met}
+    found = {(r.name, y): n for r in met for y, n in enumerate((r.n0, r.n1)) if n}
     counts = hand_counts(max(1, found.get(("node:page", 1), 0) // len(labelled_pages.PAGES)))
     counts.update(found)
     return _model(counts)
