@@ -82,6 +82,23 @@ def test_many_blocks_and_hot_label(spark):
     assert got == brute(data, every=1500)
 
 
+def test_shelves_and_anchors_meet_in_any_number_of_partitions(spark, monkeypatch):
+    """Small results are coalesced into one partition, large ones are not: the keys of both sides must meet there too."""
+    monkeypatch.setattr(hardneg, "BLOCK", 16)
+    monkeypatch.setattr(hardneg, "SHELF", 2)
+    monkeypatch.setattr(hardneg, "SLICE", 4)
+    data = vectors(random.Random(9), 400, 8, 3, 300)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        got = found(spark, data, every=20)
+    finally:
+        spark.conf.set(setting, before)
+    expected = brute(data, every=20)
+    assert got == expected and len(expected) > 50
+
+
 def test_curve_moves_one_step_at_a_time():
     for dims, bits in ((2, 4), (3, 2), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)

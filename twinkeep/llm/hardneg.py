@@ -346,12 +346,15 @@ def _sent(asked: DataFrame, zones, width: int, slices: int, allowed) -> DataFram
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
     return rows.generate(asked, columns, make, f"{kinds}, shelf long").withColumn(
-        "slice", F.pmod(F.xxhash64("anchor"), F.lit(slices))
+        "slice", F.pmod(F.xxhash64("anchor"), F.lit(slices)).cast("int")
     )
 
 
 def _met(blocks: DataFrame, sent: DataFrame, slices: int, pair, fields: str) -> DataFrame:
-    """``pair(blocks of a shelf, anchors sent to it)`` for every shelf and slice of anchors."""
+    """``pair(blocks of a shelf, anchors sent to it)`` for every shelf and slice of anchors.
+
+    Both sides' keys have the same types: equal numbers of other types hash to other partitions.
+    """
     all_ = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     left = blocks.select("*", all_).groupBy("shelf", "slice")
     return left.cogroup(sent.groupBy("shelf", "slice")).applyInArrow(pair, fields)
