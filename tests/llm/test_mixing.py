@@ -84,6 +84,20 @@ def test_sample_follows_the_probabilities(spark):
     assert drawn == pytest.approx(mixing.BUDGET * total, rel=0.1)
 
 
+def test_plans_do_not_grow_on_each_other(spark, annotated, monkeypatch):
+    """A step reads what the one before has stored: the driver holds plans of one aggregate and one join."""
+    plans, stored = [], mixing.rows.stored
+
+    def noted(frame, label, *more):
+        plans.append((label, frame._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(frame, label, *more)
+
+    monkeypatch.setattr(mixing.rows, "stored", noted)
+    mixing.mix(annotated)
+    raked = [p for label, p in plans if label == "raked"]
+    assert raked and all(p.count("Join ") <= 1 and p.count("Aggregate ") <= 1 for p in raked)
+
+
 def test_odd_rows(spark):
     data = [(1, "a b c", "s", "en", 9), (1, "a b c", "s", "en", 9), (2, None, None, None, 9), (None, "", "t", "de", 9),
             (3, "longer words " * 30_000, "t", "de", 9)]

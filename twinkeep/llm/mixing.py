@@ -104,27 +104,35 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...], targets: Targets) -> Dat
     Stops when no margin is off by more than ``TOLERANCE`` of its target, or after ``SWEEPS`` rounds
     (targets that contradict each other have no solution; the last round stands).
     """
-    goals = {d: _target(cells, d, targets[d]) for d in dimensions}
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    for d in dimensions:
+        now = now.join(_target(cells, d, targets[d]).withColumnRenamed("goal", f"goal__{d}"), f"__{d}", "left")
+    now = rows.stored(now.withColumn("off", F.lit(0.0)), "goals")
     for _ in range(SWEEPS):
-        off = F.lit(0.0)
+        now = now.withColumn("off", F.lit(0.0))
+        # Stored after each dimension: a step on a step on a step would be planned eight times over.
         for d in dimensions:
-            sums = now.groupBy(f"__{d}").agg(F.sum("weight").alias("s")).join(goals[d], f"__{d}", "left")
-            factor = F.when(F.col("s") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("s")).otherwise(0.0)
-            miss = F.abs(F.col("s") / F.col("goal") - 1)
-            miss = F.when((F.col("goal") > 0) & (F.col("s") > 0), miss).otherwise(0.0)
-            steps = sums.select(f"__{d}", factor.alias("f"), miss.alias("o"))
-            now = now.join(steps, f"__{d}").withColumn("weight", F.col("weight") * F.col("f"))
-            off = F.greatest(off, F.col("o"))
-            now = now.withColumn("off", off).drop("f", "o")
-            off = F.col("off")
-        now = rows.stored(now, "raked")
+            goal = F.col(f"goal__{d}")
+            sums = now.groupBy(f"__{d}").agg(F.sum("weight").alias("s"))
+            factor = F.when(F.col("s") > 0, F.coalesce(goal, F.lit(0.0)) / F.col("s")).otherwise(0.0)
+            miss = F.when((goal > 0) & (F.col("s") > 0), F.abs(F.col("s") / goal - 1)).otherwise(0.0)
+            stepped = now.join(sums, f"__{d}").withColumns(
+                {"weight": F.col("weight") * factor, "off": F.greatest("off", miss)}
+            )
+            now = rows.stored(stepped.drop("s"), "raked")
         worst = now.agg(F.max("off")).first()[0] or 0.0
-        now = now.drop("off")
         if worst <= TOLERANCE:
             break
-    return now
+    return now.drop("off", *[f"goal__{d}" for d in dimensions])
+
+
+def _taken(ratio: DataFrame, scales: np.ndarray) -> np.ndarray:
+    """Expected tokens at each of the ``scales``, in rising order; one plan for any scales."""
+    each = ratio.select("tokens", "ratio", F.posexplode(F.array(*[F.lit(float(c)) for c in scales])).alias("k", "scale"))
+    chance = F.least(F.lit(1.0), F.col("ratio") * F.col("scale"))
+    sums = each.groupBy("k").agg(F.sum(F.col("tokens") * chance).alias("s")).orderBy("k").collect()
+    return np.array([float(r.s) for r in sums])
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
@@ -142,10 +150,7 @@ def probabilities(raked: DataFrame, budget: float) -> DataFrame:
     low, high = 0.0, 1 / least
     for turn in range(ROUNDS):
         at = np.geomspace(budget / most * 1e-3, high, STEPS) if not turn else np.linspace(low, high, STEPS)
-        sums = ratio.agg(
-            *[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.lit(float(c)))) for c in at]
-        ).first()
-        reach = np.array([float(s) for s in sums]) / total
+        reach = _taken(ratio, at) / total
         k = int(np.searchsorted(reach, budget))
         low, high = float(at[max(0, k - 1)]), float(at[min(k, STEPS - 1)])
     a, b = float(reach[max(0, k - 1)]), float(reach[min(k, STEPS - 1)])
