@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinkeep.llm import occurrence, queries
@@ -117,3 +119,23 @@ def test_divide_skip_counts_exactly():
             at, count = lists.search(query, least)
             assert at.tolist() == np.flatnonzero(plain >= least).tolist()
             assert count.tolist() == plain[plain >= least].tolist()
+
+
+def test_a_group_of_the_counting_step_is_small():
+    """A task holds a group several times over (sort, Arrow batch, arrays): its shuffled bytes and its arrays are bounded."""
+    total, cores = 70_000_000, 6
+    size = -(-2 * total // (5 * occurrence._groups(total, cores)))
+    rng = np.random.default_rng(3)
+    packed = []
+    for part in np.array_split(np.sort(rng.integers(0, 1 << 62, size, np.uint64)), 200):
+        owner = np.arange(len(part), dtype=np.uint32)
+        packed.append((0, rng.bytes(16 * len(part)), owner.tobytes(), part.tobytes(), b""))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    names = ["g", "keys", "owner", "tokens", "counts"]
+    table = pa.table([pa.array(x, t) for x, t in zip(zip(*packed), kinds)], names)
+    tracemalloc.start()
+    counted = occurrence._counted(table, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted.num_rows == 0 or sum(len(k.as_py()) for k in counted.column("keys")) % 16 == 0
+    assert table.nbytes < 8 << 20 and peak < 48 << 20

@@ -49,8 +49,9 @@ LEAST = (4, 5)
 COMMON_SHARE, COMMON_LEAST = 32, 16
 #: Common shingles that are broadcast (16 MB); rarer ones are shuffled like all others.
 COMMON_MOST = 1 << 20
-#: Shingles per group of the counting step, and per shard: bounds the memory of a task.
-GROUP = 1 << 20
+#: Shingles per group of the counting step, and per shard: they bound the memory of a task. A group is whole in the
+#: JVM's sort, its Arrow batch and a Python worker at once, some 28 bytes a shingle each.
+COUNTED, GROUP = 1 << 18, 1 << 20
 #: Texts whose counts one task adds up.
 PART_TEXTS = 100_000
 #: Texts per Arrow batch.
@@ -212,11 +213,11 @@ def _counted(table: pa.Table, parts: int) -> pa.Table:
     keys, owner, tokens, counts = [], [], [], []
     base = 0
     for k in range(table.num_rows):
-        joined, own, token, count = (table.column(c)[k].as_py() for c in ("keys", "owner", "tokens", "counts"))
+        joined, own, token, count = (table.column(c)[k].as_buffer() for c in ("keys", "owner", "tokens", "counts"))
         mine = np.frombuffer(joined, _U).reshape(-1, 2)
         own = np.frombuffer(own, np.uint32).astype(np.int64) + base
         keys.append(mine)
-        if count:  # sets with so many common shingles
+        if count.size:  # sets with so many common shingles
             counts.append(np.stack([own, np.frombuffer(count, np.int32).astype(np.int64)]))
         else:
             owner.append(own)
@@ -273,11 +274,16 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * LEAST[0] + LEAST[1] - 1) / LEAST[1]).cast("long")
 
 
+def _groups(total: int, cores: int) -> int:
+    """Groups of the counting step for sets with ``total`` shingles, of which it takes up to 40 %."""
+    return max(cores, -(-2 * total // (5 * COUNTED)))
+
+
 def possible(docs: DataFrame, marked: DataFrame, folded: DataFrame, text: str) -> DataFrame:
     """Rows of ``folded`` whose set shares enough of its first shingles to have a partner."""
     total, texts = (x or 0 for x in folded.agg(F.sum("n"), F.count("*")).first())
     parts = max(256, -(-texts // PART_TEXTS))
-    groups = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * total // (5 * GROUP)))
+    groups = _groups(total, docs.sparkSession.sparkContext.defaultParallelism)
     packed = _probes(docs, text, _common(marked), groups)
     counted = packed.groupBy("g").applyInArrow(
         lambda table: _counted(table, parts), "h int, keys binary, counts binary"
