@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,18 @@ def test_hot_tree_spans_partitions(spark):
     own = merkle.placed(frame.repartition(8), "lang", "doc_id", "leaf", [], depth=3)
     assert own.select("g").distinct().count() > 4
     assert own.where("pos <> id").count() == 0
+
+
+def test_leaf_partitions_and_what_they_send_are_small(spark):
+    """A proof has a kilobyte or two: a task holds some thousand, and sends them in batches."""
+    frame = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("leaf"))
+    own = merkle.placed(frame.repartition(8), "lang", "doc_id", "leaf", [])
+    assert own.select("g").distinct().count() > 3
+    some = own.where("pos < 4096").orderBy("pos").toArrow().append_column("extra", pa.array(range(4096)))
+    asked = merkle._requests(some)
+    given = asked.append_column("digest", pa.array([b"x" * 32] * asked.num_rows, pa.binary()))
+    found = merkle._expand(some, given)
+    assert [b.num_rows for b in found.to_batches()] == [1000, 1000, 1000, 1000, 96]
+    assert found.column("extra").to_pylist() == list(range(4096))
+    for row in found.slice(999, 3).to_pylist():
+        assert merkle.folded(row["leaf"], row["pos"], row["n"], row["t"], row["trees"], row["proof"]) == row["root"]

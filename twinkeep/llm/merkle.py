@@ -8,14 +8,14 @@ are the leaves of one more tree, whose top is the root.
 Positions come from one range shuffle: rows are sorted by tree and id over all partitions,
 and a row's position is its place in its partition plus the counts of the partitions
 before, so a tree that holds most rows still spans many tasks. Levels are raised a block of
-``ARITY ** DEPTH`` nodes at a time: one pass over the leaves, a second over 1/32768 of them.
+``ARITY ** DEPTH`` nodes at a time: one pass over the leaves, a second over 1/4096 of them.
 
 Proofs follow the Octopus scheme: a leaf partition (some aligned blocks of leaves) looks at
 all its leaves together, lists level by level the nodes that their paths need and that it
 can't derive itself, and drops what is listed twice. That minimal set is fetched by one join
 with the stored nodes; the partition then derives the interior nodes its leaves share and
-expands each leaf's own proof locally. Where 256 000 leaves would ask for some 40 nodes each,
-a block of 32 768 asks for a few dozen.
+expands each leaf's own proof locally, a thousand leaves at a time. Where 256 000 leaves would
+ask for some 40 nodes each, a block of 4096 asks for a few dozen.
 
 A proof is the siblings' digests, level by level from the leaf to the root, left to right
 within a level; ``folded`` recomputes the root from a leaf and its proof.
@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from twinkeep.llm import rows
 
 ARITY, ARITY_BITS = 8, 3
-#: Levels raised in one pass: blocks of 8 ** 5 = 32 768 nodes.
-DEPTH = 5
-#: Leaves per group of blocks: bounds the memory of a task.
-GROUP_ROWS = 1 << 17
+#: Levels raised in one pass: blocks of 8 ** 4 = 4096 nodes.
+DEPTH = 4
+#: Leaves per group of blocks, in the mean: bounds the memory of a task. A proof has a kilobyte or two.
+GROUP_ROWS = 1 << 13
 #: The tree of the subroots.
 TOP = -1
 
@@ -297,16 +297,20 @@ def _expand(leaves: pa.Table, fetched: pa.Table) -> pa.Table:
         below[tree] = _Tree({int(pos[k]): digest[k] for k in at}, int(n[at[0]]), given.get(tree, {}))
         tops[tree] = below[tree].top
     above = _Tree(dict(tops), int(trees[0]), given.get(TOP, {})) if groups else None
-    proof, subroot = [b""] * len(t), [b""] * len(t)
-    for tree, at in groups:
-        rest, own = above.proof(tree), below[tree]
-        for k in at.tolist():
-            proof[k], subroot[k] = own.proof(int(pos[k])) + rest, own.top
-    root = [above.top] * len(t) if groups else []
-    more = [pa.array(x, pa.binary()) for x in (subroot, root, proof)]
-    kept = leaves.drop_columns(["g"])
-    for name, x in zip(("subroot", "root", "proof"), more):
-        kept = kept.append_column(name, x)
+    rest = {tree: above.proof(tree) for tree in below}
+    kept, parts = leaves.drop_columns(["g"]).combine_chunks(), []
+    # In parts, each sent as a batch: neither side holds all proofs as one buffer.
+    for low in range(0, len(t), rows.BATCH_ROWS):
+        part, own = kept.slice(low, rows.BATCH_ROWS), [int(x) for x in t[low : low + rows.BATCH_ROWS]]
+        proof = [below[x].proof(int(p)) + rest[x] for x, p in zip(own, pos[low : low + rows.BATCH_ROWS])]
+        new = {"subroot": [below[x].top for x in own], "root": [above.top] * len(own), "proof": proof}
+        for name, values in new.items():
+            part = part.append_column(name, pa.array(values, pa.binary()))
+        parts.append(part)
+    if parts:
+        return pa.concat_tables(parts)
+    for name in ("subroot", "root", "proof"):
+        kept = kept.append_column(name, pa.array([], pa.binary()))
     return kept
 
 
