@@ -61,3 +61,23 @@ def test_odd_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
     none = quality.train(spark.createDataFrame([], "text string, quality int"))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.0}
+
+
+def test_votes_hold_little_memory():
+    """A block of texts against all labelled vectors: what a worker holds, it keeps for a session."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((quality.SAMPLE, quality.DIMENSIONS)).astype(np.float32)
+    axes = rng.standard_normal((quality.WORDS + quality.SHAPES, quality.DIMENSIONS)).astype(np.float32)
+    weights, labels = np.ones(len(axes), np.float32), rng.integers(0, 2, len(vectors)).astype(np.float32)
+    model = quality.Neighbours(vectors, labels, weights, axes, 0.5)
+    data, at = utf8(pa.array([f"word{k} other{k} " * (k % 90) for k in range(1000)]))
+    tracemalloc.start()
+    for low, high in quality._slices(at):
+        model.vote(quality.terms(data, at, low, high))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6

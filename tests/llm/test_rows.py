@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import weakref
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -30,3 +33,30 @@ def test_batches_are_small_whatever_the_session_sends(spark, monkeypatch, size):
         assert max(r.n for r in found) == size
     kept = rows.append(frame, ["text"], make, fields).select("k", "text").collect()
     assert [tuple(r) for r in kept] == texts
+
+
+def test_a_batch_is_gone_before_the_next_is_read():
+    """Workers of long sessions keep the most that they ever held, so two batches at once count for good."""
+    made, alive = [], []
+
+    def batch(n):
+        out = pa.record_batch({"k": pa.array(range(n))})
+        made.append(weakref.ref(out))
+        return out
+
+    def sent():
+        for n in (2500, 2 * rows.BATCH_ROWS, 7, 0, 3000):
+            alive.append(sum(x() is not None and x().num_rows > rows.BATCH_ROWS for x in made))
+            yield batch(n)
+
+    got = [part.column("k").to_pylist() for part in rows._parts(sent())]
+    assert alive == [0] * 5
+    assert sum(got, []) == [k for n in (2500, 2 * rows.BATCH_ROWS, 7, 0, 3000) for k in range(n)]
+
+
+def test_chunks_hold_every_row_once():
+    at = np.cumsum([0, 10, 0, 300, 5, 5, 5, 0])
+    for size in (1, 10, 20, 1000, None):
+        found = list(rows.chunks(at, size))
+        assert [low for low, _ in found] == [0, *[high for _, high in found[:-1]]] and found[-1][1] == 7
+        assert all(high == low + 1 or at[high] - at[low] <= (size or rows.CHUNK_BYTES) for low, high in found)

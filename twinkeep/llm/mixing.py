@@ -49,7 +49,7 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
             data, at = rows.utf8(texts)
             tokens = np.zeros(len(at) - 1, np.int64)
             topic = np.zeros(len(at) - 1, np.int32)
-            for low, high in rows.chunks(at):
+            for low, high in rows.chunks(at, rows.SMALL_CHUNK_BYTES):
                 words = Words(data, at, low, high)
                 tokens[low:high] = np.diff(words.at)
                 long = words.size >= LONG_WORD

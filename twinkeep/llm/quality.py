@@ -13,7 +13,7 @@ What is broadcast is bounded: at most about ``SAMPLE`` labelled rows, taken by h
 
 Null and empty texts have no terms and get the share of good texts. Rows are
 independent: repeated rows and null ids each give their result. Without labels every
-score is 0. Whole texts are read, in slices of about ``rows.CHUNK_BYTES``.
+score is 0. Whole texts are read, in slices of about ``rows.SMALL_CHUNK_BYTES``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from twinkeep.llm.winnowing import _constants, _mix, _Powers
 SAMPLE, NEIGHBOURS, SHARPNESS, DIMENSIONS = 8_000, 15, 8, 64
 WORDS, SHAPES = 512, 512
 #: Texts compared at a time: bounds memory whatever the batch.
-BLOCK = 512
+BLOCK = 128
 #: Weight of the vote for the share of good texts.
 PRIOR = 0.05
 
@@ -87,7 +87,7 @@ def terms(data: np.ndarray, at: np.ndarray, low: int, high: int) -> np.ndarray:
 
 
 def _slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    for low, high in rows.chunks(at):
+    for low, high in rows.chunks(at, rows.SMALL_CHUNK_BYTES):
         for first in range(low, high, BLOCK):
             yield first, min(first + BLOCK, high)
 
