@@ -60,3 +60,20 @@ def test_chunks_hold_every_row_once():
         found = list(rows.chunks(at, size))
         assert [low for low, _ in found] == [0, *[high for _, high in found[:-1]]] and found[-1][1] == 7
         assert all(high == low + 1 or at[high] - at[low] <= (size or rows.CHUNK_BYTES) for low, high in found)
+
+
+def test_a_stored_job_has_its_own_bounds(spark):
+    keys = [rows._BATCH, rows._BATCH_BYTES, rows._READ]
+    before = [spark.conf.get(k) for k in keys]
+    frame = spark.range(5000).selectExpr("id", "repeat('x', 1000) AS text").coalesce(1)
+    read = lambda n: rows.generate(frame, ["text"], lambda: lambda t: [[t.nbytes]], "n long") if n else frame
+    sizes = [r.n for r in rows.stored(read(1), "sizes", batch_bytes=100_000, read_rows=7).collect()]
+    assert sum(sizes) > 5_000_000 and max(sizes) < 200_000
+    assert rows.stored(read(0), "rows", batch_rows=3).count() == 5000
+    with pytest.raises(Exception, match="no such"):
+        rows.stored(frame.selectExpr("raise_error('no such') AS x"), "none", 1, 1, 1)
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_a_bound_is_never_above_the_setting():
+    assert [rows._least(x, 500) for x in ("10000", "67108864b", "200", "200b", "64m", "-1")] == [500, 500, 200, 200, 500, 500]
